@@ -20,6 +20,8 @@ def local_session(cpus: int | str = "*", app: str = "sourcegauge", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Call sites recorded for every expression cost more than planning does.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
