@@ -8,10 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pick(key: Column, table: Mapping[str, object], default: object = None) -> Column:
+def _literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def pick(key: Column, table: Mapping[object, object], default: object = None) -> Column:
     """Value of ``key`` in a small literal table, ``default`` where it is missing."""
-    entries = [F.lit(part) for pair in table.items() for part in pair]
-    found = F.try_element_at(F.create_map(*entries), key)
+    entries = F.expr(f"map({', '.join(_literal(part) for pair in table.items() for part in pair)})")
+    found = F.try_element_at(entries, key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.lookup import one_of, texts
 from ..functions.numbers import fixed_text, round_half_up
 from ..schema import COHORT, ORD
-from ..session import freeze
 from ..settings import PAUSE, PROMOTE, WARN
 from .cohorts import premium
 from .ordering import positions
@@ -250,11 +249,8 @@ def overall_insights(insights: Insights, scenarios: DataFrame, alerts: DataFrame
 
 def executive_facts(insights: Insights, overall: DataFrame, health: DataFrame, filter_context: str = "All Data") -> DataFrame:
     """One-row fact sheet: counts, revenue, clusters and short lists."""
-    overall, health = freeze(overall, "overall"), freeze(health, "health")
-
-    def fact(frame: DataFrame, column: str) -> Column:
-        return frame.select(column).scalar().alias(column)
-
+    row = overall.select(F.struct("*")).scalar()
+    risk = health.select("revenue_at_risk").scalar()
     cluster = F.struct("cluster_id", "label", F.col("sources").alias("count"), "avg_revenue")
     clusters = cluster_summary(insights.sources).select(F.sort_array(F.collect_list(cluster))).scalar()
     return insights.base.agg(
@@ -263,10 +259,10 @@ def executive_facts(insights: Insights, overall: DataFrame, health: DataFrame, f
         F.count_if(F.col("current_classification") == "Standard").alias("standard_count"),
         F.count_if(F.col("action") == "pause_immediate").alias("pause_count"),
         F.coalesce(F.sum("total_revenue"), F.lit(0.0)).alias("total_revenue"),
-    ).select(
-        "*",
-        fact(health, "revenue_at_risk"),
-        *[fact(overall, c) for c in ("high_risk_count", "optimization_opportunity", "top_performers", "at_risk_performers",
+    ).withColumn("facts", row).select(
+        "total_sources", "premium_count", "standard_count", "pause_count", "total_revenue",
+        risk.alias("revenue_at_risk"),
+        *[F.col(f"facts.{c}") for c in ("high_risk_count", "optimization_opportunity", "top_performers", "at_risk_performers",
                                      "positive_anomalies", "negative_anomalies")],
         clusters.alias("cluster_summary"),
         F.lit(filter_context).alias("filter_context"),

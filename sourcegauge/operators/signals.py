@@ -58,13 +58,13 @@ ACTION_RISK = {
 UNKNOWN_RISK = (5, "Unknown action")
 
 OPPORTUNITIES = {
-    # action: (type, urgency, timeframe, recommended action, rationale); {uplift} and {revenue} are filled in
+    # action: (type, urgency, timeframe, recommended action, rationale); <uplift> and <revenue> are filled in
     "upgrade_to_premium": ("promote", 70, "immediate",
-                           "Promote to Premium tier - {uplift}% revenue uplift expected",
-                           "Already meeting Premium thresholds. Cohort data shows {uplift}% average uplift for Premium sources."),
+                           "Promote to Premium tier - <uplift>% revenue uplift expected",
+                           "Already meeting Premium thresholds. Cohort data shows <uplift>% average uplift for Premium sources."),
     "pause_immediate": ("pause", 100, "immediate",
                         "PAUSE immediately - quality below minimum thresholds",
-                        "Both metrics in Pause range. Continuing traffic risks partner quality reputation. Revenue at risk: ${revenue}"),
+                        "Both metrics in Pause range. Continuing traffic risks partner quality reputation. Revenue at risk: $<revenue>"),
     "warning_14_day": ("remediate", 85, "short-term",
                        "Urgent remediation needed within 14 days",
                        "One metric in Pause range. Without intervention, this source will require pause. Work with partner on quality improvement."),
@@ -370,7 +370,7 @@ def with_opportunity(ranked: DataFrame, total_revenue: Column) -> DataFrame:
     uplift = fixed_text((m - 1) * 100, 0)
 
     def filled(i: int) -> Column:
-        return F.replace(F.replace(column(i), F.lit("{uplift}"), uplift), F.lit("{revenue}"), grouped_text(revenue))
+        return F.replace(F.replace(column(i), F.lit("<uplift>"), uplift), F.lit("<revenue>"), grouped_text(revenue))
 
     low = F.col("has_insufficient_volume")
     both = F.col("call_quality_rate").isNotNull() & F.col("lead_transfer_rate").isNotNull()
@@ -428,6 +428,11 @@ class Insights:
             .transform(with_opportunity, total)
         )
 
+    def keep(self) -> Insights:
+        """Freeze the sources with their columns, where several results read them."""
+        self.sources = freeze(self.sources.drop("steps_call", "steps_lead", "steps_revenue"), "sources")
+        return self
+
 
 def source_profile(insights: Insights) -> DataFrame:
     """Record, risk, peers, cluster and anomaly of each source in one row."""

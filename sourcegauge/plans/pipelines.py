@@ -41,7 +41,7 @@ class Analysis:
 
     @cached_property
     def insights(self) -> Insights:
-        return Insights(self._classified, **self._scope)
+        return Insights(self._classified, **self._scope).keep()
 
     @property
     def sources(self) -> DataFrame:

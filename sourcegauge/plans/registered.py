@@ -23,7 +23,7 @@ from ..session import freeze, shared_folder
 from ..sinks.export import export_rows
 from ..sinks.history import HistoryStore
 from ..sinks.runs import RunStore
-from ..sources.star import decision_events, link_facts, source_dimension, transaction_facts
+from ..sources.star import StarTables
 from ..sources.thresholds import threshold_table, with_overrides
 from ..sources.upload import auto_map, parse_rows, read_csv, rows_of_report
 from ..sources.warehouse import in_window, latest_snapshot, named_sources
@@ -40,8 +40,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def _report(spark: SparkSession, folder: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
-    return performance_report(transaction_facts(spark, folder), source_dimension(spark, folder), start, end,
-                              link_facts=link_facts(spark, folder))
+    tables = StarTables(spark, folder)
+    return performance_report(tables.facts(), tables.dimension(), start, end, link_facts=tables.link_facts())
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +56,10 @@ def _analysis(spark: SparkSession, folder: str) -> Analysis:
     return Analysis(_classified(spark, folder))
 
 
+def _insights(spark: SparkSession, folder: str) -> Insights:
+    return Insights(_classified(spark, folder))
+
+
 def _insight_base(spark: SparkSession, folder: str) -> DataFrame:
     return signals.insight_scope(_classified(spark, folder))
 
@@ -72,23 +76,23 @@ def _rounded(*columns: str, digits: int = 6) -> list[Column]:
 
 @query
 def report_direct_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return direct_metrics(named_sources(in_window(transaction_facts(spark, folder), None, None))).drop("top_placement", "top_channel")
+    return direct_metrics(named_sources(in_window(StarTables(spark, folder).facts(), None, None))).drop("top_placement", "top_channel")
 
 
 @query
 def report_top_placement(spark: SparkSession, folder: str) -> DataFrame:
-    return direct_metrics(named_sources(in_window(transaction_facts(spark, folder), None, None))).select(
+    return direct_metrics(named_sources(in_window(StarTables(spark, folder).facts(), None, None))).select(
         "sub_id", "vertical", "top_placement", "top_channel")
 
 
 @query
 def report_outbound_link(spark: SparkSession, folder: str) -> DataFrame:
-    return outbound_on_leads(named_sources(in_window(link_facts(spark, folder), None, None)))
+    return outbound_on_leads(named_sources(in_window(StarTables(spark, folder).link_facts(), None, None)))
 
 
 @query
 def report_outbound_link_deduped(spark: SparkSession, folder: str) -> DataFrame:
-    return outbound_on_leads(named_sources(in_window(link_facts(spark, folder), None, None)), dedupe_sessions=True)
+    return outbound_on_leads(named_sources(in_window(StarTables(spark, folder).link_facts(), None, None)), dedupe_sessions=True)
 
 
 @query
@@ -103,7 +107,7 @@ def report_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def latest_snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return latest_snapshot(source_dimension(spark, folder))
+    return latest_snapshot(StarTables(spark, folder).dimension())
 
 
 # ---- upload -----------------------------------------------------------------------------
@@ -312,7 +316,7 @@ def selection_compare_total(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    return _analysis(spark, folder).sources.select(
+    return _insights(spark, folder).sources.select(
         "sub_id", "cohort_name", "is_anomaly", "anomaly_type", *_rounded("call_z", "lead_z", "revenue_z"),
         _join("anomaly_reasons").alias("anomaly_reasons"))
 
@@ -343,13 +347,13 @@ def risk_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def peer_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return _analysis(spark, folder).sources.select(
+    return _insights(spark, folder).sources.select(
         "sub_id", "peer_group", "peer_count", "call_percentile", "lead_percentile", "revenue_percentile", "overall_percentile")
 
 
 @query
 def cohort_multiplier(spark: SparkSession, folder: str) -> DataFrame:
-    cohorts = Insights(_classified(spark, folder)).cohorts
+    cohorts = _insights(spark, folder).cohorts
     return cohorts.select("vertical", "traffic_type", "peers", "premium_peers", "other_peers", "median_premium", "median_other",
                           signals.impact_multiplier().alias("impact_multiplier"),
                           signals.opportunity_multiplier().alias("opportunity_multiplier"))
@@ -357,45 +361,45 @@ def cohort_multiplier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def revenue_impacts(spark: SparkSession, folder: str) -> DataFrame:
-    return _analysis(spark, folder).sources.select(
+    return _insights(spark, folder).sources.select(
         "sub_id", "vertical", "total_revenue", *_rounded("projected_revenue", "potential_gain", "potential_loss", digits=4),
         "impact_action", "impact_confidence")
 
 
 @query
 def momentum(spark: SparkSession, folder: str) -> DataFrame:
-    return _analysis(spark, folder).sources.select(
+    return _insights(spark, folder).sources.select(
         "sub_id", "vertical", "quality_momentum", "volume_momentum", "trajectory", "revenue_efficiency", "performance_index",
         "momentum_confidence")
 
 
 @query
 def opportunity_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return _analysis(spark, folder).sources.select(
+    return _insights(spark, folder).sources.select(
         "sub_id", "vertical", "opportunity_type", "impact_score", "urgency_score", "priority_score", "potential_revenue",
         "opportunity_action", "timeframe", "opportunity_confidence", "rationale")
 
 
 @query
 def priority_top(spark: SparkSession, folder: str) -> DataFrame:
-    return views.priority_list(_analysis(spark, folder).sources, "remediate", 3).select("sub_id", "opportunity_type", "priority_score")
+    return views.priority_list(_insights(spark, folder).sources, "remediate", 3).select("sub_id", "opportunity_type", "priority_score")
 
 
 @query
 def opportunity_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return views.counts_by(_analysis(spark, folder).sources, "opportunity_type")
+    return views.counts_by(_insights(spark, folder).sources, "opportunity_type")
 
 
 @query
 def source_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return signals.source_profile(_analysis(spark, folder).insights).drop("ord").withColumn("risk_factors", _join("risk_factors"))
+    return signals.source_profile(_insights(spark, folder)).drop("ord").withColumn("risk_factors", _join("risk_factors"))
 
 
 # ---- insights per cohort and portfolio --------------------------------------------------
 
 @query
 def cohort_intelligence(spark: SparkSession, folder: str) -> DataFrame:
-    return portfolio.cohort_intelligence(_analysis(spark, folder).insights).select(
+    return portfolio.cohort_intelligence(_insights(spark, folder)).select(
         "vertical", "traffic_type", "cohort_name", "source_count", "total_revenue",
         *_rounded("revenue_share", "avg_call_quality", "avg_lead_quality", "call_quality_delta", "lead_quality_delta"),
         *_rounded("revenue_delta", digits=3),
@@ -410,12 +414,12 @@ def cohort_top_performers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def portfolio_health(spark: SparkSession, folder: str) -> DataFrame:
-    return portfolio.portfolio_health(_analysis(spark, folder).insights)
+    return portfolio.portfolio_health(_insights(spark, folder))
 
 
 @query
 def what_if(spark: SparkSession, folder: str) -> DataFrame:
-    return scenarios.what_if_scenarios(_analysis(spark, folder).insights).select(
+    return scenarios.what_if_scenarios(_insights(spark, folder)).select(
         "scenario_no", "scenario", "affected_count", "current_revenue",
         *_rounded("projected_revenue", "revenue_change", digits=3), *_rounded("revenue_change_percent"),
         "quality_impact", "risk_assessment")
@@ -423,7 +427,7 @@ def what_if(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def what_if_members(spark: SparkSession, folder: str) -> DataFrame:
-    return scenarios.scenario_members(_analysis(spark, folder).insights).drop("ord")
+    return scenarios.scenario_members(_insights(spark, folder)).drop("ord")
 
 
 @query
@@ -468,7 +472,7 @@ def scoped_health(spark: SparkSession, folder: str) -> DataFrame:
 # ---- decisions and runs -----------------------------------------------------------------
 
 def _history(spark: SparkSession, folder: str) -> DataFrame:
-    return decisions.valid_decisions(decision_events(spark, folder))
+    return decisions.valid_decisions(StarTables(spark, folder).decisions())
 
 
 @query
@@ -486,7 +490,7 @@ def history_by_person(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def history_latest(spark: SparkSession, folder: str) -> DataFrame:
     store = HistoryStore(spark, f"{shared_folder(spark)}/history/{uuid.uuid4().hex}")
-    store.append(decision_events(spark, folder))
+    store.append(StarTables(spark, folder).decisions())
     return decisions.latest_decisions(store.read().drop("created_day"), limit=50, ties=("sub_id", "action_taken"))
 
 

@@ -88,25 +88,33 @@ FROM {events}
 """
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+class StarTables:
+    """The adapter over one folder of tables; each table is opened once."""
 
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._opened: dict[str, DataFrame] = {}
 
-def transaction_facts(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {t: _table(spark, folder, t) for t in ("lineitem", "supplier", "orders", "part")}
-    return spark.sql(FACTS_SQL, **tables)
+    def table(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
+    def _sql(self, text: str, *names: str) -> DataFrame:
+        return self.spark.sql(text, **{n: self.table(n) for n in names})
 
-def link_facts(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {t: _table(spark, folder, t) for t in ("lineitem", "supplier")}
-    return spark.sql(LINK_FACTS_SQL, **tables)
+    def facts(self) -> DataFrame:
+        """Transaction facts with all columns."""
+        return self._sql(FACTS_SQL, "lineitem", "supplier", "orders", "part")
 
+    def link_facts(self) -> DataFrame:
+        """The same rows without placement and channel."""
+        return self._sql(LINK_FACTS_SQL, "lineitem", "supplier")
 
-def source_dimension(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(DIMENSION_SQL, supplier=_table(spark, folder, "supplier"))
+    def dimension(self) -> DataFrame:
+        """Source dimension in two snapshots."""
+        return self._sql(DIMENSION_SQL, "supplier")
 
-
-def decision_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(HISTORY_SQL, events=_table(spark, folder, "events")).withColumn(
-        "created_at", F.col("created_at").cast("timestamp")
-    )
+    def decisions(self) -> DataFrame:
+        """Decision records made from the event log."""
+        return self._sql(HISTORY_SQL, "events").withColumn("created_at", F.col("created_at").cast("timestamp"))
