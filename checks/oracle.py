@@ -101,7 +101,10 @@ def report_ctes(win: str = "win", tag: str = "") -> str:
     link_over = LONG_CALL.format(v="l.vertical", d="c.call_duration")
 
     def rate(a: str, b: str, d: int) -> str:
-        return f"round(CAST({a} AS DOUBLE) / nullif({b}, 0), {d})"
+        # Rounds the exact quotient of whole numbers, halves away from zero. round() of a
+        # double quotient can miss a half (1002321 / 200 is 5011.60499... in binary).
+        whole = f"((CAST({a} AS HUGEINT) * {2 * 10 ** d} + {b}) // (2 * {b}))"
+        return f"CASE WHEN {b} <> 0 THEN CAST({whole} AS DOUBLE) / {10 ** d}e0 END"
 
     return f"""
 direct{tag} AS (

@@ -37,6 +37,7 @@ def direct_metrics(facts: DataFrame) -> DataFrame:
         "direct_paid_calls": total(kind == "Call", F.col("paid_calls")),
         "direct_calls_over_threshold": total(quality_call, F.col("call_transfers")),
         "total_leads": F.count_if(kind == "Lead"),
+        "session_leads": F.count_if((kind == "Lead") & F.col("session_id").isNotNull()),
         "lead_revenue": total(kind == "Lead", revenue),
         "total_clicks": total(kind == "Click", F.coalesce("clicks", F.lit(0))),
         "click_revenue": total(kind == "Click", revenue),
@@ -60,27 +61,35 @@ def direct_metrics(facts: DataFrame) -> DataFrame:
     )
 
 
-def outbound_on_leads(facts: DataFrame, dedupe_sessions: bool = False) -> DataFrame:
-    """Outbound calls credited to the source that owns the lead of the same session.
-
-    A session with several leads counts its calls once per lead, unless ``dedupe_sessions``.
-    Both sides are aggregated per session before they meet, so the join is many-to-one and a
-    session that occurs in a large part of the facts does not multiply rows.
-    """
+def _outbound_per_session(facts: DataFrame) -> DataFrame:
+    """Outbound calls of each session, with the transfers over each duration limit."""
     calls = facts.where(
         (F.col("transaction_type") == "Call") & (F.col("call_category") == "Outbound")
         & F.col("session_id").isNotNull()
     )
     transfers = F.coalesce("call_transfers", F.lit(0))
-    limits = sorted(set(CALL_SECONDS.values()))
-    per_session = calls.groupBy("session_id").agg(
+    return calls.groupBy("session_id").agg(
         F.sum(transfers).alias("transfers"),
         F.sum(F.coalesce("paid_calls", F.lit(0))).alias("paid"),
         *[F.sum(F.when(F.col("call_duration") >= s, transfers).otherwise(F.lit(0))).alias(f"over_{s}")
-          for s in limits],
+          for s in sorted(set(CALL_SECONDS.values()))],
     )
-    leads = facts.where((F.col("transaction_type") == "Lead") & F.col("session_id").isNotNull())
-    lead_sessions = leads.groupBy("sub_id", "vertical", "session_id").agg(F.count("*").alias("leads"))
+
+
+def _session_leads(facts: DataFrame) -> DataFrame:
+    return facts.where((F.col("transaction_type") == "Lead") & F.col("session_id").isNotNull()).select(
+        "sub_id", "vertical", "session_id")
+
+
+def outbound_on_leads(facts: DataFrame, dedupe_sessions: bool = False) -> DataFrame:
+    """Outbound calls credited to the source that owns the lead of the same session.
+
+    A session with several leads counts its calls once per lead, unless ``dedupe_sessions``.
+    Both sides are aggregated per session before they meet, so the join is many-to-one and a
+    session that occurs in a large part of the facts does not multiply rows.
+    """
+    per_session = _outbound_per_session(facts)
+    lead_sessions = _session_leads(facts).groupBy("sub_id", "vertical", "session_id").agg(F.count("*").alias("leads"))
     times = F.lit(1) if dedupe_sessions else F.col("leads")
     over = F.lit(0).cast("bigint")
     for name, seconds in CALL_SECONDS.items():
@@ -97,6 +106,20 @@ def outbound_on_leads(facts: DataFrame, dedupe_sessions: bool = False) -> DataFr
     )
 
 
+def outbound_transfers(facts: DataFrame, dedupe_sessions: bool = False) -> DataFrame:
+    """Only the credited transfers, for sources that have any.
+
+    An inner join: leads without an outbound call drop out early (by a broadcast or a runtime
+    filter where the calls are few) and the leads are shuffled once at most. The calls side has
+    one row per session, so a hot session only makes a long left side, which AQE splits.
+    """
+    leads = _session_leads(facts)
+    if dedupe_sessions:
+        leads = leads.distinct()
+    calls = _outbound_per_session(facts).select("session_id", "transfers")
+    return leads.join(calls, "session_id").groupBy("sub_id", "vertical").agg(F.sum("transfers").alias("credited"))
+
+
 def _share(numerator: str, denominator: str, digits: int) -> Column:
     return F.round(F.try_divide(F.col(numerator).cast("double"), F.col(denominator)), digits)
 
@@ -116,12 +139,15 @@ def performance_report(
     """
     direct = direct_metrics(named_sources(in_window(facts, start, end)))
     link_rows = named_sources(in_window(facts if link_facts is None else link_facts, start, end))
-    outbound = outbound_on_leads(link_rows, dedupe_sessions).select("sub_id", "vertical", "outbound_transfers")
+    outbound = outbound_transfers(link_rows, dedupe_sessions)
     snapshot = latest_snapshot(dimension).withColumnRenamed("channel", "dimension_channel")
     # Both aggregates are hash-partitioned on the join key, so the first join moves nothing.
     joined = direct.join(outbound, ["sub_id", "vertical"], "left").join(
         snapshot, F.col("sub_id") == F.col("subid"), "left"
     )
+    # No credited call: 0 for a source with session leads, unknown for one without.
+    linked = F.when(F.col("session_leads") > 0, F.coalesce("credited", F.lit(0)))
+    joined = joined.withColumn("outbound_transfers", linked)
     tier = F.when(F.col("tier") == 1, "Premium").when(F.col("tier") == 2, "Standard").otherwise("")
     return joined.select(
         F.coalesce("subid", "sub_id").alias("sub_id"),

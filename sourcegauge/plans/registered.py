@@ -76,7 +76,8 @@ def _rounded(*columns: str, digits: int = 6) -> list[Column]:
 
 @query
 def report_direct_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return direct_metrics(named_sources(in_window(StarTables(spark, folder).facts(), None, None))).drop("top_placement", "top_channel")
+    return direct_metrics(named_sources(in_window(StarTables(spark, folder).facts(), None, None))).drop(
+        "top_placement", "top_channel", "session_leads")
 
 
 @query
