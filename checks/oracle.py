@@ -263,7 +263,7 @@ def scoped(where: str = "true") -> str:
                        f"/ count({c}) OVER (PARTITION BY vertical, traffic_type) * 100e0")
 
     def z(c: str, mean: str, sd: str, count: str) -> str:
-        return f"CASE WHEN {c} IS NOT NULL AND {count} >= 3 THEN CASE WHEN {sd} = 0 THEN 0e0 ELSE ({c} - {mean}) / {sd} END END"
+        return f"CASE WHEN {c} IS NOT NULL AND {count} >= 3 THEN CASE WHEN {sd} = 0 THEN 0e0 ELSE round(({c} - {mean}) / {sd}, 9) END END"
 
     promote, pause, warn = ("action IN ('upgrade_to_premium', 'promote')", "action IN ('pause_immediate', 'pause')",
                             "action IN ('warning_14_day', 'below')")

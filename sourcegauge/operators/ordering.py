@@ -26,8 +26,9 @@ def cumulate(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], weig
     ``order`` must be a total order within the group. Columns added: ``before_<weight>`` and
     ``whole_<weight>``. With weight 1 per row, ``before_`` is the zero-based position.
     """
-    keys, slices = list(keys), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.repartitionByRange(slices, *keys, *order).withColumn("slice", F.spark_partition_id())
+    keys = list(keys)
+    # No partition number: AQE merges neighbouring ranges that are small.
+    cut = rows.repartitionByRange(*keys, *order).withColumn("slice", F.spark_partition_id())
     # Written once: range bounds are sampled, so slices must not be computed twice.
     cut = freeze(cut, "slices")
     per_slice = cut.groupBy(*keys, "slice").agg(*[F.sum(w).alias(w) for w in weights])

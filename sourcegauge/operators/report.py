@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import freeze
 from ..settings import CALL_SECONDS
 from ..sources.warehouse import in_window, latest_snapshot, named_sources
 
@@ -109,14 +110,15 @@ def outbound_on_leads(facts: DataFrame, dedupe_sessions: bool = False) -> DataFr
 def outbound_transfers(facts: DataFrame, dedupe_sessions: bool = False) -> DataFrame:
     """Only the credited transfers, for sources that have any.
 
-    An inner join: leads without an outbound call drop out early (by a broadcast or a runtime
-    filter where the calls are few) and the leads are shuffled once at most. The calls side has
-    one row per session, so a hot session only makes a long left side, which AQE splits.
+    An inner join of the raw leads with one row per session. The session rows are frozen first,
+    for two reasons: Spark then broadcasts them when their measured size allows, and the leads
+    are not shuffled at all; otherwise the join reads plain shuffles on both sides, and only
+    then AQE can split the partition of a session that holds a large part of the leads.
     """
     leads = _session_leads(facts)
     if dedupe_sessions:
         leads = leads.distinct()
-    calls = _outbound_per_session(facts).select("session_id", "transfers")
+    calls = freeze(_outbound_per_session(facts).select("session_id", "transfers"), "session-calls")
     return leads.join(calls, "session_id").groupBy("sub_id", "vertical").agg(F.sum("transfers").alias("credited"))
 
 

@@ -222,12 +222,16 @@ def with_peers(joined: DataFrame) -> DataFrame:
 
 
 def with_anomalies(joined: DataFrame) -> DataFrame:
-    """z-scores within the cohort (three peers at least) and what they flag beyond 2."""
+    """z-scores within the cohort (three peers at least) and what they flag beyond 2.
+
+    Scores are rounded to nine decimals: one outlier among five equal peers has a score of
+    exactly 2, and the order in which Spark adds up a deviation must not decide its flag.
+    """
 
     def z(value: str, metric: str, count: str) -> Column:
         distance = F.when(F.col(f"{metric}_sd") == 0, F.lit(0.0)).otherwise(
             (F.col(value) - F.col(f"{metric}_mean")) / F.col(f"{metric}_sd"))
-        return F.when(F.col(value).isNotNull() & (F.col(count) >= 3), distance)
+        return F.when(F.col(value).isNotNull() & (F.col(count) >= 3), F.round(distance, 9))
 
     scored = joined.withColumns({
         "call_z": z("call_quality_rate", "call", "call_peers"),

@@ -73,6 +73,13 @@ def test_anomaly_needs_six_peers_and_negative_wins(spark):
     assert got["S0020"].anomaly_reasons == ["Premium source recommended for demotion - quality dropped"]
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 3, 5])
+def test_score_of_exactly_two_is_no_flag(spark, partitions):
+    rows = [record(i, call=0.0, lead=0.3) for i in range(4)] + [record(4, call=0.07661290322580645, lead=0.3)]
+    got = by_id(Insights(records(spark, rows).repartition(partitions)).sources)
+    assert got["S0004"].call_z == 2.0 and not got["S0004"].is_anomaly
+
+
 def test_multipliers(spark):
     def cohort(vertical, premium, other):
         rows = [record(0, vertical=vertical, tier="Premium", revenue=r, action="upgrade_to_premium") for r in premium]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sourcegauge.operators import portfolio, scenarios, selection, signals, views
 from sourcegauge.operators.classify import classify
-from sourcegauge.operators.report import direct_metrics, outbound_transfers, performance_report
+from sourcegauge.operators.report import _outbound_per_session, direct_metrics, outbound_transfers, performance_report
 from sourcegauge.operators.rollup import rollup
 from sourcegauge.plans.pipelines import Analysis
 from sourcegauge.plans.registered import REGISTERED, _classified, _rows
@@ -88,10 +88,11 @@ def test_facts_are_pruned_and_filtered_at_the_scan(spark, tables, tmp_path):
     report = performance_report(facts, StarTables(spark, tables).dimension(), dt.date(1998, 6, 1), dt.date(1998, 7, 1))
     text = plan(report)
     scans = [line for line in text.splitlines() if "FileScan" in line and "date_platform" in line]
-    assert len(scans) == 3 and all("PartitionFilters: [isnotnull(date_platform" in s for s in scans)
+    assert len(scans) == 2 and all("PartitionFilters: [isnotnull(date_platform" in s for s in scans)
     lead_scan = next(s for s in scans if "EqualTo(transaction_type,Lead)" in s)
     assert "placement" not in lead_scan and "revenue" not in lead_scan
-    assert any("EqualTo(call_category,Outbound)" in s for s in scans)
+    calls = plan(_outbound_per_session(facts))
+    assert "EqualTo(call_category,Outbound)" in calls and "placement" not in calls
 
 
 def test_facts_are_summed_in_hash_maps(spark, tables):
@@ -102,6 +103,31 @@ def test_facts_are_summed_in_hash_maps(spark, tables):
     assert "SortAggregate" not in plan(outbound_transfers(StarTables(spark, tables).link_facts()))
 
 
+def test_hot_session_is_split(spark):
+    """A session that owns a third of the leads is divided among tasks."""
+    rows = spark.range(600000).select(
+        F.concat(F.lit("S"), F.col("id") % 100).alias("sub_id"), F.lit("Health").alias("vertical"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("session_id"),
+        F.when(F.col("id") % 10 == 1, "Call").otherwise("Lead").alias("transaction_type"), F.lit("Outbound").alias("call_category"),
+        F.lit(1).alias("call_transfers"), F.lit(1).alias("paid_calls"), F.lit(1500.0).alias("call_duration"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    old = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        total = outbound_transfers(rows).agg(F.sum("credited").alias("n"))
+        calls_of_hot = rows.where("session_id = 0 AND transaction_type = 'Call'").count()
+        leads_of_hot = rows.where("session_id = 0 AND transaction_type = 'Lead'").count()
+        assert total.first().n == calls_of_hot * leads_of_hot > 0
+        total.collect()
+        assert "SortMergeJoin(skew=true)" in plan(total)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_few_rows_per_cohort_are_kept_before_the_shuffle(spark, tables, analysis):
     text = plan(scenarios.alert_members(analysis.insights, analysis.cohorts, analysis.health))
     assert "WindowGroupLimit" in text
