@@ -75,11 +75,15 @@ class RunStore:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def write(self, classified: DataFrame, start_date: str = "", end_date: str = "", file_name: str = "",
-              name: str | None = None, run_id: str | None = None, created_at: dt.datetime | None = None) -> str:
+              name: str | None = None, run_id: str | None = None, created_at: dt.datetime | None = None,
+              dimension: str = "sub_id") -> str:
         """Add a run. The header follows its results: a run that is listed is complete.
 
-        Each run owns its partition, so writing the same run again leaves no duplicates.
+        Each run owns its partition, so writing the same run again leaves no duplicates. Only
+        runs per sub_id are stored; rolled-up views of the same upload are not runs of their own.
         """
+        if dimension != "sub_id":
+            raise ValueError(f"runs are stored per sub_id, not per {dimension}")
         run_id = run_id or uuid.uuid4().hex
         now = F.lit(created_at or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
         place = f"run_id={run_id}"

@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import source, sources
@@ -32,6 +33,8 @@ def test_runs(spark, tmp_path):
     plan = store.results().where("run_id = '003'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan
     assert len(store.write(classified)) == 32
+    with pytest.raises(ValueError):
+        store.write(classified, dimension="overall")
 
 
 def test_decisions_and_history(spark, tmp_path):
