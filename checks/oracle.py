@@ -683,7 +683,7 @@ def _stat(action: str) -> str:
             f"WHEN {action} = 'review' THEN 'review' ELSE 'correct' END")
 
 
-def _counters(table: str) -> str:
+def _counters() -> str:
     return ", ".join(f"count(*) FILTER (WHERE cat = '{c}') AS {c}" for c in ("promote", "demote", "below", "correct", "review", "pause", "insufficient_volume"))
 
 
@@ -825,7 +825,7 @@ def oracle_queries() -> dict[str, str]:
             action_label, recommended_classification, classification_reason, has_warning, warning_reason, is_paused,
             CASE WHEN is_paused THEN classification_reason END AS pause_reason, has_insufficient_volume, insufficient_volume_reason, premium_min, standard_min,
             'sub_id' AS dimension FROM cls""",
-        "action_counters": f"{b} SELECT count(*) AS total_records, {_counters('cls')} FROM (SELECT {_stat('action')} AS cat FROM cls)",
+        "action_counters": f"{b} SELECT count(*) AS total_records, {_counters()} FROM (SELECT {_stat('action')} AS cat FROM cls)",
         "rp_metrics": f"{b} SELECT sub_id, vertical, rp_lead, rp_qcall, rp_click, rp_redirect FROM cls",
         **{f"rollup_{d}": _rollup(d) for d in ("source_name", "placement", "media_type", "overall")},
         "rollup_metadata": f"""{b}, g AS (SELECT *, coalesce(nullif(media_type, ''), 'Unknown') AS grp, coalesce(internal_channel, 'Standard') AS chan FROM src)
@@ -833,7 +833,7 @@ def oracle_queries() -> dict[str, str]:
             FROM g GROUP BY grp, vertical, traffic_type, chan""",
         **{f"mode_{m}": f"{b}, {_mode_ctes(m)} SELECT sub_id, vertical, action, action_label, recommended_classification, is_paused, classification_reason, has_warning FROM mode"
            for m in ("call", "lead")},
-        "view_counters": f"{b}, {_mode_ctes('lead')} SELECT {_counters('mode')} FROM (SELECT {_stat('action')} AS cat FROM mode WHERE traffic_type = 'Full O&O')",
+        "view_counters": f"{b}, {_mode_ctes('lead')} SELECT {_counters()} FROM (SELECT {_stat('action')} AS cat FROM mode WHERE traffic_type = 'Full O&O')",
         "perf_status": f"{b} SELECT sub_id, vertical, {_status('call_quality_rate', 'c', 'total_calls', 50)} AS call_status, {_status('lead_transfer_rate', 'l', 'lead_volume', 100)} AS lead_status FROM cls",
         "quality_remarks": _remarks(),
         "explanation": _explanation(),

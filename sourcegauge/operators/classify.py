@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lookup import one_of, pick
 from ..functions.numbers import percent_text, plain_text, ratio
-from ..schema import COHORT, ORD, SOURCE_ROW
+from ..schema import COHORT, SOURCE_ROW
 from ..settings import ACTION_LABELS, MIN_CALLS, MIN_LEADS, STAT_CATEGORIES, STAT_NAMES
 from ..sources.thresholds import threshold_table
 
@@ -224,7 +224,3 @@ def action_stats(classified: DataFrame) -> DataFrame:
         F.count("*").alias("total_records"),
         *[F.count_if(category == name).alias(name) for name in STAT_NAMES],
     )
-
-
-def first_by_ord(classified: DataFrame) -> DataFrame:
-    return classified.orderBy(ORD)
