@@ -7,7 +7,7 @@ an anchor; around anchors alone the ``window``-word sequences are hashed whole (
 that a repeat extends as far as its words agree and no further. Unions of equal windows are maximal repeats.
 
 Documents are dealt to ``chunks`` by key, once; Spark reuses that exchange. What a chunk asks goes, packed, to
-``buckets`` by hash, at most two copies of a hash for each chunk, and the answers return to the chunk. So a
+``buckets`` by hash, at most two copies of a hash for each chunk, and the answers return to the chunk (for windows as one bit each). So a
 passage shared by a third of all documents weighs as many entries as there are chunks, no pair of documents is
 ever formed, and every task holds one chunk or one bucket. Both numbers follow spark.sql.shuffle.partitions.
 """
@@ -138,10 +138,6 @@ def _both(w: hashing.Words, start: np.ndarray, window: int) -> tuple[np.ndarray,
     return w.window_hashes(start, start + window), w.window_hashes(start, start + window, second=True)
 
 
-def _found(answers: pa.Table) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers["found"]] or [np.zeros(0, np.uint64)])
-
-
 def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs in order, and how often each occurs."""
     order = np.lexsort((b, a))
@@ -152,42 +148,58 @@ def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.stack([a[first], b[first]], 1) if len(a) else np.zeros((0, 2), np.uint64), np.diff(np.append(first, len(a)))
 
 
+def _asked_windows(chunk: pa.Table, answers: pa.Table, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a chunk asks about windows, the same each time: distinct hash pairs in order, how often each occurs, bounds of buckets."""
+    found = [np.frombuffer(x.as_py(), np.uint64) for b, x in zip(answers["bucket"], answers["found"]) if b.as_py() < 0]
+    found, a, b = np.sort(np.concatenate(found or [np.zeros(0, np.uint64)])), [], []
+    if len(found):
+        for _, data, offsets in hashing.slices(chunk):
+            w = hashing.words(data, offsets)
+            for x, y in zip((a, b), _both(w, _near_anchors(w, found, window, buckets), window)):
+                x.append(y)
+    none = [np.zeros(0, np.uint64)]
+    pairs, n = _sorted_pairs(np.concatenate(a or none), np.concatenate(b or none))
+    return pairs, n, _cut(pairs[:, 0], buckets)
+
+
 def _ask_windows(window: int, buckets: int):
     def ask(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        found, a, b = np.sort(_found(answers)), [], []
-        if len(found):
-            for _, data, offsets in hashing.slices(chunk):
-                w = hashing.words(data, offsets)
-                for x, y in zip((a, b), _both(w, _near_anchors(w, found, window, buckets), window)):
-                    x.append(y)
-        none = [np.zeros(0, np.uint64)]
-        pairs, n = _sorted_pairs(np.concatenate(a or none), np.concatenate(b or none))
-        cuts = _cut(pairs[:, 0], buckets)
+        pairs, n, cuts = _asked_windows(chunk, answers, window, buckets)
         used = np.flatnonzero(np.diff(cuts))
         return pa.table({
             "bucket": pa.array(used, pa.int32()), "chunk": pa.array(np.full(len(used), chunk["chunk"][0].as_py() if chunk.num_rows else 0), pa.int32()),
             "pairs": pa.array([pairs[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()),
-            "many": pa.array([(n[cuts[i] : cuts[i + 1]] > 1).tobytes() for i in used], pa.binary()),
+            "many": pa.array([np.packbits(n[cuts[i] : cuts[i + 1]] > 1).tobytes() for i in used], pa.binary()),
         })
 
     return ask
 
 
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+
+
 def _answer_windows(bucket: pa.Table) -> pa.Table:
+    """For each of a chunk's windows, one bit: whether its words start at two places at least."""
     asked = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in bucket["pairs"]]
-    many = [np.frombuffer(x.as_py(), bool) for x in bucket["many"]]
+    many = [_bits(x.as_py(), len(y)) for x, y in zip(bucket["many"], asked)]
     everything = np.concatenate([*asked, *(x[m] for x, m in zip(asked, many))])
     pairs, n = _sorted_pairs(everything[:, 0], everything[:, 1])
     twice = pairs[n > 1]
-    out = [(c.as_py(), x[_member2(x[:, 0], x[:, 1], twice)]) for c, x in zip(bucket["chunk"], asked)]
-    out = [(c, x) for c, x in out if len(x)]
-    return pa.table({"chunk": pa.array([c for c, _ in out], pa.int32()), "found": pa.array([x.tobytes() for _, x in out], pa.binary())})
+    out = [(b.as_py(), c.as_py(), _member2(x[:, 0], x[:, 1], twice)) for b, c, x in zip(bucket["bucket"], bucket["chunk"], asked)]
+    out = [x for x in out if x[2].any()]
+    return pa.table({"bucket": pa.array([b for b, _, _ in out], pa.int32()), "chunk": pa.array([c for _, c, _ in out], pa.int32()),
+                     "found": pa.array([np.packbits(x).tobytes() for _, _, x in out], pa.binary())})
 
 
-def _remove(window: int):
+def _remove(window: int, buckets: int):
     def remove(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        found = _found(answers).reshape(-1, 2)
-        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        pairs, _, cuts = _asked_windows(chunk, answers, window, buckets)
+        repeated = np.zeros(len(pairs), bool)
+        for b, x in zip(answers["bucket"].to_pylist(), answers["found"]):
+            if b >= 0:
+                repeated[cuts[b] : cuts[b + 1]] = _bits(x.as_py(), cuts[b + 1] - cuts[b])
+        found = pairs[repeated]
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []}
         for rows, data, offsets in hashing.slices(chunk):
             w = hashing.words(data, offsets)
@@ -229,13 +241,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunks: int | None = N
     be null or repeat. Other columns are not read. An empty table gives an empty result.
     """
     n = partitions(docs.sparkSession)
-    chunks, buckets = chunks or 4 * n, 2 * n
+    chunks, buckets = chunks or 2 * n, n
     rows = keyed(docs)
     dealt = rows.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
-    asked = dealt.groupBy("chunk").applyInArrow(_ask_anchors(window, buckets), "bucket int, chunk int, rolling binary, index binary")
-    anchors = asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk int, found binary")
-    asked = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(window, buckets), "bucket int, chunk int, pairs binary, many binary")
-    repeats = asked.groupBy("bucket").applyInArrow(_answer_windows, "chunk int, found binary")
-    return dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(
-        _remove(window), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first:int,last:int>>")
-
+    by_chunk = dealt.groupBy("chunk")
+    asked = by_chunk.applyInArrow(_ask_anchors(window, buckets), "bucket int, chunk int, rolling binary, index binary")
+    anchors = asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk int, found binary").select(F.lit(-1).alias("bucket"), "chunk", "found")
+    asked = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(window, buckets), "bucket int, chunk int, pairs binary, many binary")
+    repeats = asked.groupBy("bucket").applyInArrow(_answer_windows, "bucket int, chunk int, found binary")
+    return by_chunk.cogroup(anchors.unionAll(repeats).groupBy("chunk")).applyInArrow(
+        _remove(window, buckets), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first:int,last:int>>")
