@@ -7,7 +7,7 @@ words decides a result, windows are compared by two independent hashes (128 bits
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +57,7 @@ class _Powers:
                 a = np.full(max(n, 1024), b, np.uint64)
                 a[0] = 1
                 made.append(np.cumprod(a, dtype=np.uint64))
-            if n > 4 * SLICE:  # a giant text: not kept
+            if n > 8 * SLICE:  # a giant text: not kept
                 return made[0], made[1]
             self.up, self.down = made
         return self.up, self.down
@@ -66,12 +66,21 @@ class _Powers:
 _BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
 
 
-def _windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair."""
+def _hasher(values: np.ndarray, powers: _Powers) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Function of bounds that gives the polynomial hash of values[start:end] for each pair."""
     up, down = powers.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
-    return (sums[end] - sums[start]) * down[start]
+    return lambda start, end: (sums[end] - sums[start]) * down[start]
+
+
+def byte_window_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The same for stretches of bytes; not mixed yet."""
+    return _hasher(_TABLE[data], _BYTES)
+
+
+def byte_windows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return byte_window_hasher(data)(start, end)
 
 
 @dataclass
@@ -99,7 +108,7 @@ class Words:
 
     def window_hashes(self, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
         values = mix(self.hash ^ _M2) if second else self.hash
-        return mix(_windows(values, start, end, _WORDS) ^ (end - start).astype(np.uint64))
+        return mix(_hasher(values, _WORDS)(start, end) ^ (end - start).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME) -> Words:
@@ -110,7 +119,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE,
     before[1:], after[:-1] = mask[:-1], mask[1:]
     before[cuts], after[cuts - 1] = False, False
     start, end = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
-    hashes = mix(_windows(_TABLE[fold[data]], start, end, _BYTES) ^ (end - start).astype(np.uint64))
+    hashes = mix(byte_windows(fold[data], start, end) ^ (end - start).astype(np.uint64))
     return Words(data, start, end, np.searchsorted(start, offsets), hashes)
 
 
