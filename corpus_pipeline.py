@@ -12,18 +12,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegauge.llm import mixing, neardup, pii
+from sourcegauge.llm import decontaminate, langid, mixing, neardup, pii
 from sourcegauge.llm.common import NO_ID, table, text_of
 from sourcegauge.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Posterior that a document's language must have.
+MIN_SCORE = 0.5
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key by which operators name documents."""
+    return docs.withColumns({"x_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "x_k2": F.xxhash64(text_of())})
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    return found.select(F.col("k1").alias("x_k1"), F.col("k2").alias("x_k2")).distinct()
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is in doubt, go. Models are learned from ``docs`` itself."""
+    named = langid.identify(docs, langid.train(docs))
+    return named.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SCORE)).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of the smallest id; of rows equal in id and text, one."""
-    keep = neardup.near_duplicates(docs).where("kept").select(F.col("k1").alias("x_k1"), F.col("k2").alias("x_k2")).distinct()
-    rows = docs.withColumns({"x_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "x_k2": F.xxhash64(text_of())})
-    return rows.join(keep, ["x_k1", "x_k2"], "left_semi").select(*docs.columns)
+    keep = _keys(neardup.near_duplicates(docs).where("kept"))
+    kept = _keyed(docs).join(keep, ["x_k1", "x_k2"], "left_semi").dropDuplicates(["x_k1", "x_k2"])
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    found = _keys(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
+    return _keyed(docs).join(found, ["x_k1", "x_k2"], "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +63,9 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("personal_data", personal_data),
     ("mixing", mixing_to_weights),
 ]
