@@ -168,7 +168,7 @@ def rows_cte(tag: str = "") -> str:
     numbers = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in MEASURES)
     texts = ", ".join(f"coalesce({t}, '') AS {t}" for t in TEXTS)
     return (f"src{tag} AS (SELECT sub_id, vertical, traffic_type, nullif(internal_channel, '') AS internal_channel, {texts}, {numbers}, "
-            f"row_number() OVER (ORDER BY sub_id, vertical) AS ord FROM report{tag})")
+            f"row_number() OVER (ORDER BY total_revenue DESC, sub_id, vertical) AS ord FROM report{tag})")
 
 
 def classified_ctes(src: str = "src", tag: str = "", limits: str = "limits", calls: int = 50, leads: int = 100) -> str:
@@ -503,7 +503,7 @@ sc AS (
     'Estimate ~60% can be remediated with focused attention; remaining 40% likely need pause'
   FROM (SELECT count(*) AS n, sum(total_revenue) AS r FROM ins WHERE cluster = 3) WHERE n > 0
   UNION ALL
-  SELECT 4, 'Quality Improvement Initiative', least(n, 10), r, r + k * avg_r * (obs - 1), k * avg_r * (obs - 1),
+  SELECT 4, 'Quality Improvement Initiative', n, r, r + k * avg_r * (obs - 1), k * avg_r * (obs - 1),
     coalesce(k * avg_r * (obs - 1) / nullif(r, 0) * 100e0, 0e0),
     '~' || CAST(k AS BIGINT) || ' of ' || n || ' Stable Standard sources could reach Premium thresholds',
     'Medium effort - requires quality coaching and optimization programs'
@@ -541,7 +541,7 @@ al0 AS (
   UNION ALL SELECT 5, 'info', 'quality', '📊 ' || n || ' Cohorts Underperforming',
     'These vertical/traffic type combinations have health scores below 50%: ' || names || '. Combined revenue: ' || {money('r')} || '.', m,
     'Review cohort-specific quality standards. Consider vertical-specific optimization programs.', r * 0.2e0, 'this_month', 3
-    FROM (SELECT count(*) AS n, sum(total_revenue) AS r, CAST(sum(least(source_count, 5)) AS BIGINT) AS m,
+    FROM (SELECT count(*) AS n, sum(total_revenue) AS r, CAST(sum(source_count) AS BIGINT) AS m,
             string_agg(cohort_name, ', ' ORDER BY total_revenue DESC, cohort_name) AS names FROM ci WHERE health_score < 50 AND source_count >= 3) WHERE n > 0
   UNION ALL SELECT 6, 'warning', 'risk', '⚡ ' || n || ' High-Revenue Sources at Elevated Risk',
     'These sources each represent >5% of total revenue but have high risk scores. Combined: ' || {money('r')} || ' (' || {fixed('r / tot * 100e0', 1)} || '% of portfolio).',
@@ -713,30 +713,34 @@ def _history() -> str:
 RUN_COUNTERS = ("promote_count", "demote_count", "below_min_count", "correct_count", "review_count", "pause_count", "insufficient_volume_count")
 
 
-def _run_header(year: int, day: int, table: str) -> str:
+def _run_header(run: str, start: str, end: str, day: int, table: str) -> str:
     names = dict(zip(RUN_COUNTERS, ("promote", "demote", "below", "correct", "review", "pause", "insufficient_volume")))
     counts = ", ".join(f"count(*) FILTER (WHERE {_stat('action')} = '{c}') AS {n}" for n, c in names.items())
-    return (f"SELECT '{year}' AS run_id, CAST(NULL AS VARCHAR) AS name, '{year}-01-01' AS start_date, '{year}-12-31' AS end_date, 'report_{year}.csv' AS file_name, "
+    return (f"SELECT '{run}' AS run_id, CAST(NULL AS VARCHAR) AS name, '{start}' AS start_date, '{end}' AS end_date, 'report_{run}.csv' AS file_name, "
             f"count(*) AS total_records, {counts}, TIMESTAMP '2024-01-0{day} 00:00:00' AS created_at FROM {table}")
 
 
-def _yearly(*years: int) -> str:
+# Adjoining windows, which together hold every date.
+RUNS = {"early": ("1900-01-01", "1996-12-31"), "middle": ("1997-01-01", "1998-12-31"), "late": ("1999-01-01", "2199-12-31")}
+
+
+def _runs_ctes(*runs: str) -> str:
     steps = [limits_cte(), facts_cte()]
-    for y in years:
-        t = f"_{y}"
-        steps += [window_cte(f"{y}-01-01", f"{y}-12-31", f"win{t}"), report_ctes(f"win{t}", t), rows_cte(t), classified_ctes(f"src{t}", t)]
+    for run in runs:
+        t = f"_{run}"
+        steps += [window_cte(*RUNS[run], f"win{t}"), report_ctes(f"win{t}", t), rows_cte(t), classified_ctes(f"src{t}", t)]
     return "WITH " + ", ".join(steps)
 
 
 def _run_with_results() -> str:
     header = ", ".join(f"run_{c}" for c in ("start_date", "end_date", "file_name", "total_records", *RUN_COUNTERS, "created_at"))
     renamed = ", ".join(f"{c} AS run_{c}" for c in ("start_date", "end_date", "file_name", "total_records", *RUN_COUNTERS, "created_at"))
-    return f"""{_yearly(1998)}, hd AS (SELECT run_id, {renamed} FROM ({_run_header(1998, 2, 'cls_1998')}))
+    return f"""{_runs_ctes("middle")}, hd AS (SELECT run_id, {renamed} FROM ({_run_header("middle", *RUNS["middle"], 2, "cls_middle")}))
     SELECT run_id, sub_id, vertical, traffic_type, current_classification AS current_tier_label, recommended_classification AS recommended_tier, action, action_label,
       channel, placement, description, source_name, media_type AS media_type_name, campaign_type, CAST(total_calls AS BIGINT) AS total_calls,
       CAST(calls_over_threshold AS BIGINT) AS calls_over_threshold, call_quality_rate, CAST(lead_volume AS BIGINT) AS total_leads, CAST(0 AS BIGINT) AS total_clicks,
       lead_transfer_rate AS lead_ctr_rate, total_revenue, classification_reason, premium_min, standard_min, TIMESTAMP '2024-01-02 00:00:00' AS created_at, {header}
-    FROM cls_1998, hd"""
+    FROM cls_middle, hd"""
 
 
 def _overrides() -> str:
@@ -805,6 +809,7 @@ def oracle_queries() -> dict[str, str]:
               CAST(sum(CASE WHEN {LONG_CALL.format(v='o.vertical', d='c.call_duration')} THEN c.call_transfers ELSE 0 END) AS BIGINT) AS outbound_calls_over_threshold
             FROM own o LEFT JOIN (SELECT * FROM win WHERE call_category = 'Outbound') c ON o.session_id = c.session_id GROUP BY o.sub_id, o.vertical""",
         "report_full": f"{facts} SELECT * FROM report",
+        "report_ordered": f"{b} SELECT sub_id, vertical, total_revenue, ord - 1 AS position FROM cls",
         "report_window": f"WITH {facts_cte()}, {window_cte('1998-06-01', '1998-07-01')}, {report_ctes()} SELECT * FROM report",
         "latest_snapshot_rows": f"WITH {facts_cte()} SELECT * EXCLUDE (snapshot_date) FROM dimension WHERE snapshot_date = (SELECT max(snapshot_date) FROM dimension)",
         "numeric_prefix_parse": """WITH c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem),
@@ -887,7 +892,7 @@ def oracle_queries() -> dict[str, str]:
         "what_if": f"""{s}, {sc} SELECT scenario_no, scenario, affected_count, current_revenue, {_round('projected_revenue', 'revenue_change', d=3)},
             round(revenue_change_percent, 6) AS revenue_change_percent, quality_impact, risk_assessment FROM sc""",
         "what_if_members": f"""{s}, mm AS (SELECT CASE WHEN action = 'upgrade_to_premium' THEN 1 WHEN action = 'pause_immediate' THEN 2 WHEN cluster = 3 THEN 3 END AS scenario_no, sub_id FROM ins
-            UNION ALL SELECT 4, sub_id FROM (SELECT sub_id, row_number() OVER (ORDER BY ord) AS k, count(*) OVER () AS n FROM ins WHERE cluster = 2) WHERE k <= 10 AND n > 3)
+            UNION ALL SELECT 4, sub_id FROM (SELECT sub_id, count(*) OVER () AS n FROM ins WHERE cluster = 2) WHERE n > 3)
             SELECT scenario_no, sub_id, CASE scenario_no WHEN 1 THEN 'Promote All Eligible to Premium' WHEN 2 THEN 'Pause All Critical Sources'
               WHEN 3 THEN 'Remediate Watch List Sources' ELSE 'Quality Improvement Initiative' END AS scenario FROM mm WHERE scenario_no IS NOT NULL""",
         "scenario_facts": f"""{s}, {sc} SELECT scenario, affected_count, current_revenue, round(projected_revenue, 3) AS projected_revenue,
@@ -896,8 +901,8 @@ def oracle_queries() -> dict[str, str]:
         "alert_members": f"""{s}, {ci} SELECT CASE WHEN action = 'pause_immediate' THEN 1 WHEN action = 'warning_14_day' THEN 2 WHEN action = 'upgrade_to_premium' THEN 3 END AS rule, sub_id FROM ins
               WHERE action IN ('pause_immediate', 'warning_14_day', 'upgrade_to_premium')
             UNION ALL SELECT 4, sub_id FROM (SELECT * FROM ins ORDER BY total_revenue DESC, ord LIMIT 1) WHERE total_revenue > grand_total * 0.25e0
-            UNION ALL SELECT 5, sub_id FROM (SELECT i.sub_id, row_number() OVER (PARTITION BY i.vertical, i.traffic_type ORDER BY ord) AS k FROM ins i
-              JOIN ci ON ci.vertical = i.vertical AND ci.traffic_type = i.traffic_type WHERE health_score < 50 AND source_count >= 3) WHERE k <= 5
+            UNION ALL SELECT 5, sub_id FROM (SELECT i.sub_id FROM ins i
+              JOIN ci ON ci.vertical = i.vertical AND ci.traffic_type = i.traffic_type WHERE health_score < 50 AND source_count >= 3)
             UNION ALL SELECT 6, sub_id FROM ins WHERE risk_level = 'high' AND total_revenue > grand_total * 0.05e0
             UNION ALL SELECT 7, sub_id FROM ins WHERE action = 'keep_standard_close' AND (SELECT count(*) FROM ins WHERE action = 'keep_standard_close') >= 3""",
         "overall_insights": f"""{s}, {ci}, {sc}, {al}, {ov} SELECT * REPLACE (round(total_potential_gain, 3) AS total_potential_gain, round(total_potential_loss, 3) AS total_potential_loss,
@@ -924,7 +929,7 @@ def oracle_queries() -> dict[str, str]:
               CASE action_taken WHEN 'promote' THEN 'Premium' WHEN 'demote' THEN 'Standard' WHEN 'pause' THEN 'PAUSED' ELSE current_classification END AS new_state,
               'both' AS metric_mode, call_quality_rate AS call_quality, lead_transfer_rate AS lead_quality, total_revenue, CAST(NULL AS VARCHAR) AS notes, 'Ana' AS taken_by,
               TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM g""",
-        "runs_latest": _yearly(1996, 1998, 2000) + " " + " UNION ALL ".join(_run_header(y, i + 1, f"cls_{y}") for i, y in enumerate((1996, 1998, 2000))),
+        "runs_latest": _runs_ctes(*RUNS) + " " + " UNION ALL ".join(_run_header(run, *RUNS[run], i + 1, f"cls_{run}") for i, run in enumerate(RUNS)),
         "run_with_results": _run_with_results(),
         "threshold_overrides": _overrides(),
         "export_view": _export(),

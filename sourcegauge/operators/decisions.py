@@ -27,6 +27,8 @@ LOG_LABELS = {
 }
 NEW_STATES = {"promote": "Premium", "demote": "Standard", "pause": "PAUSED"}
 
+#: Partition column of a store of decisions.
+DAY = "created_day"
 HISTORY_COLUMNS = (
     "sub_id", "vertical", "traffic_type", "media_type", "action_taken", "action_label", "previous_state", "new_state",
     "metric_mode", "call_quality", "lead_quality", "total_revenue", "notes", "taken_by", "created_at",
@@ -75,10 +77,11 @@ def valid_decisions(decisions: DataFrame) -> DataFrame:
     }).select(*HISTORY_COLUMNS)
 
 
-def latest_decisions(history: DataFrame, sub_id: str | None = None, limit: int = 50, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Newest records of one source or of all."""
+def latest_decisions(history: DataFrame, sub_id: str | None = None, limit: int | None = 50, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Newest records of one source or of all; no limit with None."""
     kept = history if sub_id is None else history.where(F.col("sub_id") == sub_id)
-    return kept.orderBy(F.col("created_at").desc(), *ties).limit(limit)
+    newest = kept.orderBy(F.col("created_at").desc(), *ties)
+    return newest if limit is None else newest.limit(limit)
 
 
 def search_history(
@@ -91,11 +94,16 @@ def search_history(
     person: str | None = None,
     text: str | None = None,
 ) -> DataFrame:
-    """Records that meet all given conditions; both dates are included."""
+    """Records that meet all given conditions; both dates are included. Of a store only the days between are read."""
+    by_day = DAY in history.columns
     wanted = {"vertical": vertical, "traffic_type": traffic_type, "media_type": media_type, "taken_by": person}
     for column, value in wanted.items():
         if value:
             history = history.where(F.col(column) == value)
+    if by_day and date_from is not None:
+        history = history.where(F.col(DAY) >= F.lit(date_from))
+    if by_day and date_to is not None:
+        history = history.where(F.col(DAY) <= F.lit(date_to))
     if date_from is not None:
         history = history.where(F.col("created_at") >= F.lit(date_from).cast("timestamp"))
     if date_to is not None:

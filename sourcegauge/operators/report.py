@@ -156,6 +156,8 @@ def performance_report(
         tier.alias("internal_channel"),
         F.coalesce("traffic_type", F.lit("Unknown")).alias("traffic_type"),
         F.coalesce("vertical_name", "vertical").alias("vertical"),
+        # The vertical of the facts: with sub_id the report's key, which the dimension's name is not.
+        F.col("vertical").alias("fact_vertical"),
         F.col("direct_calls").alias("total_calls"),
         F.col("direct_paid_calls").alias("paid_calls"),
         _share("direct_paid_calls", "direct_calls", 4).alias("qr_rate"),
@@ -187,4 +189,4 @@ def performance_report(
 
 def sorted_report(report: DataFrame) -> DataFrame:
     """Highest revenue first."""
-    return report.orderBy(F.col("total_revenue").desc(), "sub_id", "vertical")
+    return report.orderBy(F.col("total_revenue").desc(), "sub_id", "vertical", "fact_vertical")

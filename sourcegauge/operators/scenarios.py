@@ -13,9 +13,6 @@ from ..settings import PAUSE, PROMOTE, WARN
 from .cohorts import portfolio_medians
 from .signals import Insights
 
-STABLE_SAMPLE = 10
-COHORT_SAMPLE = 5
-
 # Scenario and alert texts.
 SCENARIOS = {
     1: "Promote All Eligible to Premium",
@@ -116,21 +113,22 @@ def what_if_scenarios(insights: Insights) -> DataFrame:
         row(3, n[3] > 0, n[3], r[3] * 0.6, r[3] * 0.6 - r[3],
             F.concat(_number(n[3]), F.lit(" sources have 14-day warnings or declining quality")),
             F.lit("Estimate ~60% can be remediated with focused attention; remaining 40% likely need pause")),
-        row(4, n[4] > 3, F.least(n[4], F.lit(STABLE_SAMPLE)), r[4] + extra, extra,
+        row(4, n[4] > 3, n[4], r[4] + extra, extra,
             F.concat(F.lit("~"), _number(reachable), F.lit(" of "), _number(n[4]), F.lit(" Stable Standard sources could reach Premium thresholds")),
             F.lit("Medium effort - requires quality coaching and optimization programs")),
     )
     return facts.select(F.inline(F.array_compact(rows)))
 
 
-def scenario_members(insights: Insights) -> DataFrame:
-    """(scenario, source) pairs; the last scenario lists a sample of its first ten sources."""
+def scenario_members(insights: Insights, sample: int | None = None) -> DataFrame:
+    """(scenario, source) pairs. ``sample``: list only so many first sources of the last scenario, as a preview."""
     narrow = insights.sources.select(ORD, "sub_id", "action", "cluster")
     rules = _scenario_rules()
     whole = _memberships(narrow, {no: rules[no] for no in (1, 2, 3)}).select(F.col("rule").alias("scenario_no"), ORD, "sub_id")
-    sample = narrow.where(rules[4]).orderBy(ORD).limit(STABLE_SAMPLE).select(F.lit(4).alias("scenario_no"), ORD, "sub_id")
+    stable = narrow.where(rules[4]) if sample is None else narrow.where(rules[4]).orderBy(ORD).limit(sample)
+    stable = stable.select(F.lit(4).alias("scenario_no"), ORD, "sub_id")
     enough = narrow.where(rules[4]).select(F.count("*")).scalar() > 3
-    return whole.unionByName(sample.where(enough)).withColumn("scenario", pick(F.col("scenario_no"), SCENARIOS))
+    return whole.unionByName(stable.where(enough)).withColumn("scenario", pick(F.col("scenario_no"), SCENARIOS))
 
 
 def scenario_facts(scenarios: DataFrame) -> DataFrame:
@@ -162,7 +160,7 @@ def smart_alerts(insights: Insights, cohorts: DataFrame, health: DataFrame) -> D
     weak = _weak_cohorts(cohorts).select(F.struct(
         F.count("*").alias("n"),
         F.coalesce(F.sum("total_revenue"), F.lit(0.0)).alias("revenue"),
-        F.coalesce(F.sum(F.least("source_count", F.lit(COHORT_SAMPLE))), F.lit(0)).alias("members"),
+        F.coalesce(F.sum("source_count"), F.lit(0)).alias("members"),
         F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct((-F.col("total_revenue")).alias("r"), F.col("cohort_name").alias("name")))),
             lambda c: c["name"]), ", ").alias("names"),
@@ -232,8 +230,8 @@ def sorted_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy("severity_rank", "rule")
 
 
-def alert_members(insights: Insights, cohorts: DataFrame, health: DataFrame) -> DataFrame:
-    """(rule, source) pairs behind the alerts."""
+def alert_members(insights: Insights, cohorts: DataFrame, health: DataFrame, sample: int | None = None) -> DataFrame:
+    """(rule, source) pairs behind the alerts. ``sample``: list only so many first sources of each weak cohort, as a preview."""
     total = insights.cohorts.select(F.sum("cohort_revenue")).scalar()
     narrow = insights.sources.select(ORD, "sub_id", *COHORT, "action", "risk_level", "total_revenue")
     whole = _memberships(narrow, _alert_rules(total))
@@ -242,8 +240,9 @@ def alert_members(insights: Insights, cohorts: DataFrame, health: DataFrame) ->
     single = health.select("single_source_dependency").scalar()
     largest = narrow.orderBy(F.col("total_revenue").desc(), ORD).limit(1).where(single).select(F.lit(4).alias("rule"), ORD, "sub_id")
     weak = _weak_cohorts(cohorts).select(*COHORT)
-    # row_number with a small limit: Spark prunes to a few rows per cohort before it shuffles.
-    first = narrow.join(weak, list(COHORT), "left_semi").withColumn(
-        "place", F.row_number().over(W.partitionBy(*COHORT).orderBy(ORD)))
-    sampled = first.where(F.col("place") <= COHORT_SAMPLE).select(F.lit(5).alias("rule"), ORD, "sub_id")
-    return whole.unionByName(largest).unionByName(sampled)
+    members = narrow.join(weak, list(COHORT), "left_semi")
+    if sample is not None:
+        # row_number with a small limit: Spark prunes to a few rows per cohort before it shuffles.
+        place = F.row_number().over(W.partitionBy(*COHORT).orderBy(ORD))
+        members = members.withColumn("place", place).where(F.col("place") <= sample)
+    return whole.unionByName(largest).unionByName(members.select(F.lit(5).alias("rule"), ORD, "sub_id"))

@@ -37,14 +37,16 @@ def selected_rows(view: DataFrame, selection: DataFrame) -> DataFrame:
     return view.join(selection.select("sub_id").distinct(), "sub_id", "left_semi")
 
 
-def _first_rows(view: DataFrame, selection: DataFrame) -> DataFrame:
-    """One row per sub_id, the first in view order, with a selected flag.
+def _first_rows(view: DataFrame, selection: DataFrame, direction: str | None) -> DataFrame:
+    """One row per sub_id, the first in view order (see ``views.view_order``), with a selected flag.
 
     min_by combines on the map side, so a sub_id with very many rows is no hot task, and the
     result is already partitioned for the join with the selection.
     """
     row = F.struct(*COHORT, *[F.coalesce(F.col(c), F.lit(0.0)).alias(name) for name, c in COMPARED.items()])
-    place = F.struct((-F.coalesce("total_revenue", F.lit(0.0))).alias("r"), F.col(ORD).alias("o"))
+    revenue = F.coalesce("total_revenue", F.lit(0.0))
+    by = {"desc": [(-revenue).alias("r")], "asc": [revenue.alias("r")], None: []}[direction]
+    place = F.struct(*by, F.col(ORD).alias("o"))
     first = view.groupBy("sub_id").agg(F.min_by(row, place).alias("row")).select("sub_id", "row.*")
     marked = selection.select("sub_id").distinct().withColumn("selected", F.lit(True))
     return first.join(marked, "sub_id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
@@ -66,15 +68,15 @@ def _with_percentages(compared: DataFrame) -> DataFrame:
     return compared.withColumns({f"{name}_pct": percent(name) for name in COMPARED})
 
 
-def compare_groups(view: DataFrame, selection: DataFrame) -> DataFrame:
+def compare_groups(view: DataFrame, selection: DataFrame, direction: str | None = "desc") -> DataFrame:
     """Selected against all, per (vertical, traffic type) that holds a selected source."""
-    groups = _first_rows(view, selection).groupBy(*COHORT).agg(*_sums(F.col("selected")))
+    groups = _first_rows(view, selection, direction).groupBy(*COHORT).agg(*_sums(F.col("selected")))
     return _with_percentages(groups.where("selected_count > 0"))
 
 
-def compare_total(view: DataFrame, selection: DataFrame) -> DataFrame:
+def compare_total(view: DataFrame, selection: DataFrame, direction: str | None = "desc") -> DataFrame:
     """Selected against all, over the verticals that hold a selected source; no row without any."""
-    verticals = _first_rows(view, selection).groupBy("vertical").agg(*_sums(F.col("selected"))).where("selected_count > 0")
+    verticals = _first_rows(view, selection, direction).groupBy("vertical").agg(*_sums(F.col("selected"))).where("selected_count > 0")
     columns = [c for c in verticals.columns if c != "vertical"]
     total = verticals.agg(*[F.sum(c).alias(c) for c in columns],
                           F.sort_array(F.collect_list("vertical")).alias("verticals"))

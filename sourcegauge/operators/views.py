@@ -131,7 +131,16 @@ def view_order(direction: str | None = "desc") -> list[Column]:
     return [*first, F.col(ORD).asc()]
 
 
-def page_of(view: DataFrame, number: int = 1, size: int = 25, direction: str | None = "desc") -> DataFrame:
+def page_count(view: DataFrame, size: int = 25) -> DataFrame:
+    """One row: how many records and pages the view has."""
+    return view.agg(F.count("*").alias("records"), F.ceil(F.count("*") / size).alias("pages"))
+
+
+def page_of(view: DataFrame, number: int = 1, size: int = 25, direction: str | None = "desc", deep: bool = False) -> DataFrame:
+    """One page of the sorted view. Far from its start use ``deep``: positions are counted in slices, and no task keeps the pages before."""
+    if deep:
+        first = (number - 1) * size
+        return positions(view, [], view_order(direction)).where(F.col("position").between(first, first + size - 1)).drop("position", "group_size")
     return view.orderBy(*view_order(direction)).offset((number - 1) * size).limit(size)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import parse_number, threshold_text
 from ..operators import decisions, portfolio, rollup, scenarios, selection, signals, views
 from ..operators.classify import action_stats, classify, current_tier, is_unmapped
+from ..operators.ordering import positions
 from ..operators.report import direct_metrics, outbound_on_leads, performance_report
 from ..operators.signals import Insights
 from ..schema import MEASURES
@@ -31,7 +32,9 @@ from .pipelines import Analysis
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WINDOW = (dt.date(1998, 6, 1), dt.date(1998, 7, 1))
-YEARS = (1996, 1998, 2000)
+# Adjoining windows, which together hold every date.
+RUNS = {"early": (dt.date(1900, 1, 1), dt.date(1996, 12, 31)), "middle": (dt.date(1997, 1, 1), dt.date(1998, 12, 31)),
+        "late": (dt.date(1999, 1, 1), dt.date(2199, 12, 31))}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -98,12 +101,19 @@ def report_outbound_link_deduped(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def report_full(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder)
+    return _report(spark, folder).drop("fact_vertical")
+
+
+@query
+def report_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The report's listing: rank by revenue."""
+    rows = _rows(spark, folder).select("ord", "sub_id", "vertical", "total_revenue")
+    return positions(rows, [], [F.col("ord")]).select("sub_id", "vertical", "total_revenue", "position")
 
 
 @query
 def report_window(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, *WINDOW)
+    return _report(spark, folder, *WINDOW).drop("fact_vertical")
 
 
 @query
@@ -476,23 +486,28 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
     return decisions.valid_decisions(StarTables(spark, folder).decisions())
 
 
+def _stored_history(spark: SparkSession, folder: str) -> HistoryStore:
+    store = HistoryStore(spark, f"{shared_folder(spark)}/history/{uuid.uuid4().hex}")
+    store.append(StarTables(spark, folder).decisions())
+    return store
+
+
 @query
 def history_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = decisions.search_history(_history(spark, folder), date_from=dt.date(2024, 1, 5), date_to=dt.date(2024, 1, 20),
+    found = decisions.search_history(_stored_history(spark, folder).read(), date_from=dt.date(2024, 1, 5), date_to=dt.date(2024, 1, 20),
                                      vertical="Health", text='"K": 1')
-    return decisions.sorted_history(found, "total_revenue")
+    return decisions.sorted_history(found.drop("created_day"), "total_revenue")
 
 
 @query
 def history_by_person(spark: SparkSession, folder: str) -> DataFrame:
-    return decisions.search_history(_history(spark, folder), traffic_type="Full O&O", media_type="Search", person="Ana", text="sub0000")
+    found = decisions.search_history(_stored_history(spark, folder).read(), traffic_type="Full O&O", media_type="Search", person="Ana", text="sub0000")
+    return found.drop("created_day")
 
 
 @query
 def history_latest(spark: SparkSession, folder: str) -> DataFrame:
-    store = HistoryStore(spark, f"{shared_folder(spark)}/history/{uuid.uuid4().hex}")
-    store.append(StarTables(spark, folder).decisions())
-    return decisions.latest_decisions(store.read().drop("created_day"), limit=50, ties=("sub_id", "action_taken"))
+    return decisions.latest_decisions(_stored_history(spark, folder).read().drop("created_day"), limit=50, ties=("sub_id", "action_taken"))
 
 
 @query
@@ -509,12 +524,11 @@ def decision_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored_runs(spark: SparkSession, folder: str) -> RunStore:
-    """One run per year, written to a new store."""
+    """One run per window, written to a new store."""
     store = RunStore(spark, f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}")
-    for i, year in enumerate(YEARS):
-        start, end = dt.date(year, 1, 1), dt.date(year, 12, 31)
-        store.write(classify(rows_of_report(_report(spark, folder, start, end))), str(start), str(end), f"report_{year}.csv",
-                    run_id=f"{year}", created_at=dt.datetime(2024, 1, 1 + i))
+    for i, (run, (start, end)) in enumerate(RUNS.items()):
+        store.write(classify(rows_of_report(_report(spark, folder, start, end))), str(start), str(end), f"report_{run}.csv",
+                    run_id=run, created_at=dt.datetime(2024, 1, 1 + i))
     return store
 
 
@@ -525,7 +539,7 @@ def runs_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def run_with_results(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored_runs(spark, folder).run_with_results("1998").drop("current_tier", "recommended_tier_num", "run_name", "run_updated_at")
+    return _stored_runs(spark, folder).run_with_results("middle").drop("current_tier", "recommended_tier_num", "run_name", "run_updated_at")
 
 
 @query

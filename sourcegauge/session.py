@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,22 +36,54 @@ def local_session(cpus: int | str = "*", app: str = "sourcegauge", **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
     if folder:
+        if not local and _file_system(spark, folder)[0].getUri().getScheme() == "file":
+            raise RuntimeError(f"spark.checkpoint.dir is {folder}, a folder of one machine; name one that all executors share")
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def frozen_until_done(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables frozen inside the block and deletes them at its end: write or collect results before."""
+    _owners.append(mine := [])
+    try:
+        yield
+    finally:
+        _owners.remove(mine)
+        for path in mine:
+            system, place = _file_system(spark, path)
+            system.delete(place, True)
+
+
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
     Cuts the lineage, survives lost executors, keeps column pruning for the readers, and
     gives the planner real file sizes: a frozen aggregate is broadcast by Spark's own
-    size check (spark.sql.autoBroadcastJoinThreshold) and shuffled when it is larger.
+    size check (spark.sql.autoBroadcastJoinThreshold) and shuffled when it is larger. The table
+    belongs to the innermost ``frozen_until_done``; outside of any it stays.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/frozen/{name}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.decisions import valid_decisions
+from ..operators.decisions import DAY, valid_decisions
+from ..session import path_exists
 
-DAY = "created_day"
+SCHEMA = """
+    sub_id STRING, vertical STRING, traffic_type STRING, media_type STRING, action_taken STRING, action_label STRING, previous_state STRING,
+    new_state STRING, metric_mode STRING, call_quality DOUBLE, lead_quality DOUBLE, total_revenue DOUBLE, notes STRING, taken_by STRING,
+    created_at TIMESTAMP, created_day DATE"""
 
 
 class HistoryStore:
@@ -20,4 +24,7 @@ class HistoryStore:
         rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(self.folder)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.folder)  # a range of created_day prunes whole days
+        """All records; a range of created_day prunes whole days. A store without data is empty."""
+        if not path_exists(self.spark, self.folder):
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.folder)

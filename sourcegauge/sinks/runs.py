@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,8 +86,12 @@ class RunStore:
         if dimension != "sub_id":
             raise ValueError(f"runs are stored per sub_id, not per {dimension}")
         run_id = run_id or uuid.uuid4().hex
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", run_id):
+            raise ValueError(f"not a run id: {run_id!r}")
         now = F.lit(created_at or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
         place = f"run_id={run_id}"
+        # A run that is written again is not listed until it is complete.
+        self.spark.createDataFrame([], RUN_SCHEMA).drop("run_id").write.mode("overwrite").parquet(f"{self.folder}/runs/{place}")
         result_rows(classified, now).write.mode("overwrite").parquet(f"{self.folder}/results/{place}")
         stored = self.results().where(F.col("run_id") == run_id)
         header = run_header(stored, start_date, end_date, file_name, now, name)
@@ -100,8 +105,10 @@ class RunStore:
         """All results; a filter on run_id reads that run only."""
         return self.spark.read.schema(RESULT_SCHEMA).parquet(f"{self.folder}/results")
 
-    def latest(self, k: int = 10) -> DataFrame:
-        return self.runs().drop("updated_at").orderBy(F.col("created_at").desc()).limit(k)
+    def latest(self, k: int | None = 10) -> DataFrame:
+        """The newest runs; all with ``k=None``."""
+        newest = self.runs().drop("updated_at").orderBy(F.col("created_at").desc())
+        return newest if k is None else newest.limit(k)
 
     def run_with_results(self, run_id: str) -> DataFrame:
         """Header columns (prefixed with ``run_``) beside each result of one run."""

@@ -89,10 +89,10 @@ def require_rows(raw: DataFrame) -> DataFrame:
 
 
 def rows_of_report(report: DataFrame) -> DataFrame:
-    """Source rows straight from a report, in the order (sub_id, vertical)."""
+    """Source rows straight from a report, in its listing's order; ``ord`` is unique, as the facts' vertical is in it."""
     numbers = [F.coalesce(F.col(key).cast("double"), F.lit(0.0)).alias(name) for name, key in MEASURES.items()]
     return report.select(
-        F.struct("sub_id", "vertical").alias(ORD),
+        F.struct((-F.coalesce(F.col("total_revenue").cast("double"), F.lit(0.0))).alias("revenue"), "sub_id", "vertical", "fact_vertical").alias(ORD),
         "sub_id", "vertical", "traffic_type",
         F.nullif(F.col("internal_channel"), F.lit("")).alias("internal_channel"),
         *[F.coalesce(F.col(key), F.lit("")).alias(key) for key in SOURCE_TEXTS],
