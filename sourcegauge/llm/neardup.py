@@ -9,8 +9,8 @@ six standard deviations below the expected overlap of pairs at the threshold.
 
 The union-sketch estimate filters pairs, the exact similarity of the whole sets decides. Equal sets were merged before.
 Groups of thousands of near copies are never paired all with all: lists first link their members to one member, the one
-whose hashes are commonest, then those still apart to eight more; what remains apart in a list is compared pair by pair, so
-that no link between components is lost.
+whose hashes are commonest. Documents still apart from others of their lists are listed again by their whole sets and linked the
+same way; what then remains apart in a list is compared pair by pair, so that no link between components is lost.
 
 Intermediate tables are written to the shared folder; nothing but counts comes to the driver.
 """
@@ -33,7 +33,6 @@ SKETCH = 40
 SHARED = 20
 #: Threshold of the links, in hundredths.
 SIMILAR = 85
-_SALTS = 8
 _SKETCHED = "k1 long, k2 long, doc_id long, s1 long, s2 long, n long, sketch array<long>"
 
 
@@ -142,38 +141,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # One row for each different word sequence, with the document that stands for it.
     reps = freeze(sketched.groupBy("node").agg(F.min(key).alias("k"), F.min("n").alias("n"), F.min_by("sketch", key).alias("sketch")), "sketches")
 
-    retained = reps.select("node", "n", F.explode("sketch").alias("h"))
-    shared = retained.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = retained.join(shared, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    kept = F.least("n", F.lit(SKETCH))
     must = F.when(F.col("n") >= SKETCH, SHARED).otherwise(F.ceil(F.col("n") * SIMILAR / 100))
-    # Hashes of this document alone come first in the order and are not listed.
-    listed = kept - must + 1 - (kept - F.size("common"))
-    weight = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double")))
-    lists = freeze(common.where(listed > 0).select("node", "n", weight.alias("weight"), F.explode(F.slice("common", 1, listed.cast("int"))).alias("x"))
-                   .select("node", "n", "weight", "x.h"), "lists")
+    lists = freeze(_listed(reps.withColumnRenamed("sketch", "held"), must, whole=False), "lists")
     wanted = lists.select("node").distinct().join(reps.select("node", "k"), "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
     sets = freeze(rows.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(_whole, "node string, hashes array<long>"), "sets")
 
     # Before any link each node is a component of its own.
     alone = lists.withColumn("label", F.col("node"))
-    first = alone.groupBy("h").agg(F.max_by(F.struct("node", "n", "label"), F.struct("weight", "node")).alias("c"))
-    links = _verified(_across(alone, first), reps, sets)
-
-    def apart(links: DataFrame) -> DataFrame:
-        """Members of lists in which more than one component is left."""
-        labels = freeze(components(links), "labels")
-        now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = now.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("h")
-        return freeze(now.join(several, "h"), "apart")
-
-    # Few of a list are apart from its largest component; they meet eight members each, spread by hash.
-    rest = apart(links)
-    salted = rest.groupBy("h", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).alias("salt")).agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(1))).alias("c"))
-    links = links.unionAll(_verified(_across(rest, salted), reps, sets))
-    # What still is apart is compared whole.
-    rest = apart(links)
-    links = links.unionAll(_verified(_across(rest, rest.select("h", F.struct("node", "n", "label").alias("c"))), reps, sets))
+    links = _verified(_across(alone, _centres(alone)), reps, sets)
+
+    # Members of lists in which more than one component is left are listed anew by their whole sets, without any chance of error:
+    # of documents that are no more than alike, hashes of their own fill the part that is listed.
+    rest = _apart(lists, links).select("node").distinct()
+    whole = sets.join(rest, "node").select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("held"))
+    lists = freeze(_listed(whole, F.ceil(F.col("n") * SIMILAR / 100), whole=True), "whole-lists")
+    rest = _apart(lists, links)
+    links = links.unionAll(_verified(_across(rest, _centres(rest)), reps, sets))
+    # What still is apart is compared pair by pair.
+    rest = _apart(lists, links)
+    links = links.unionAll(_verified(_across(rest, rest.select("h", F.struct("node", "n", "label", "most", "listed").alias("c"))), reps, sets))
 
     labels = freeze(components(links), "labels")
     same = rows.mapInArrow(_identify, _SKETCHED.removesuffix(", sketch array<long>")).withColumn("node", F.when(F.col("n") > 0, _node()))
@@ -185,7 +171,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == of, F.col("label").isNull() | F.col("least").isNull()).alias("kept"))
 
 
+def _listed(reps: DataFrame, must: Column, whole: bool) -> DataFrame:
+    """Inverted lists, one row for each (node, h): ``listed`` are all of a node's listed hashes, ``weight`` grows with how common its hashes are,
+    ``most`` is the largest intersection that it can have with any other; of sketches, as opposed to ``whole`` sets, only its size is known.
+
+    ``reps``: (node, n, held); two linked nodes share ``must`` of their held hashes at least, so they share one of the ``size - must + 1``
+    rarest of each. Hashes held by one node alone come first in that order, and need no list.
+    """
+    held = reps.select("node", F.explode("held").alias("h"))
+    shared = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = held.join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    weight = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double")))
+    sized = reps.select("node", "n", must.alias("must"))
+    # size - must + 1, less the hashes held by this node alone.
+    rarest = F.greatest(F.size("common") - F.col("must") + 1, F.lit(0)).cast("int")
+    rows = common.join(sized, "node")
+    most = F.size("common").cast("long") if whole else F.col("n")
+    return rows.select("node", "n", weight.alias("weight"), most.alias("most"), F.transform(F.slice("common", 1, rarest), lambda x: x["h"]).alias("listed")).withColumn("h", F.explode("listed"))
+
+
+def _centres(rest: DataFrame) -> DataFrame:
+    """Of each list the node whose hashes are commonest: of a group of near copies, the one nearest to all."""
+    return rest.groupBy("h").agg(F.max_by(F.struct("node", "n", "label", "most", "listed"), F.struct("weight", "node")).alias("c"))
+
+
+def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with the label of their component, of lists that hold more than one component."""
+    labels = freeze(components(links), "labels")
+    now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = now.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("h")
+    return freeze(now.join(several, "h"), "apart")
+
+
 def _across(rest: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs of different components in one list; each pair once."""
-    found = rest.join(centres.select("h", "c"), "h").where((F.col("label") != F.col("c.label")) & _close(F.col("n"), F.col("c.n")))
+    """Pairs (a, b) of members and centres of one list that are different components and whose sizes and hashes of their own allow a link.
+
+    A pair comes from the least of the lists it shares only; a pair of two centres may come twice.
+    """
+    possible = (F.col("n") + F.col("c.n")) * SIMILAR <= F.least("most", "c.most") * (100 + SIMILAR)
+    once = F.array_min(F.array_intersect("listed", "c.listed")) == F.col("h")
+    found = rest.join(centres, "h").where((F.col("label") != F.col("c.label")) & _close(F.col("n"), F.col("c.n")) & possible & once)
     return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
