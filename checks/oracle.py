@@ -818,6 +818,7 @@ def oracle_queries() -> dict[str, str]:
             SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, cell,
               coalesce(TRY_CAST(regexp_extract(cell, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1) AS DOUBLE), 0e0) AS parsed FROM t""",
         "csv_upload": f"{b} SELECT sub_id, vertical, traffic_type, internal_channel, {', '.join(TEXTS)}, {', '.join(MEASURES)} FROM src",
+        "csv_upload_semicolon": f"{b} SELECT sub_id, vertical, traffic_type, internal_channel, {', '.join(TEXTS)}, {', '.join(MEASURES)} FROM src",
         "current_tiers": f"""{b}, sp AS (SELECT sub_id, unnest([coalesce(internal_channel, 'null'), ' ' || coalesce(internal_channel, 'null') || ' ', '']) AS t FROM src),
             u AS (SELECT DISTINCT sub_id, {spelled} AS channel_text FROM sp)
             SELECT sub_id, channel_text, CASE WHEN lower(trim(channel_text)) = 'premium' THEN 'Premium' ELSE 'Standard' END AS current_classification,

@@ -59,7 +59,7 @@ def cohort_intelligence(insights: Insights) -> DataFrame:
         F.avg("call_quality_rate").alias("top_call"),
         F.avg("lead_transfer_rate").alias("top_lead"),
     )
-    risky = insights.sources.groupBy(*COHORT).agg(
+    risky = insights.scored.groupBy(*COHORT).agg(
         F.avg("risk_score").alias("avg_risk"),
         F.count_if(_acts(PAUSE)).alias("pauses"),
         F.count_if(_acts(WARN)).alias("warnings"),
@@ -141,7 +141,7 @@ def portfolio_health(insights: Insights) -> DataFrame:
     """One row with risk, concentration, distribution, action summary, trend and health."""
     total = F.coalesce(insights.base.select(F.sum("total_revenue")).scalar(), F.lit(0.0))
     share = F.when(total > 0, F.col("total_revenue") / total).otherwise(F.lit(0.0))
-    counted = insights.sources.agg(
+    counted = insights.scored.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum("total_revenue"), F.lit(0.0)).alias("total"),
         F.coalesce(_revenue_where(_acts(AT_RISK)), F.lit(0.0)).alias("revenue_at_risk"),

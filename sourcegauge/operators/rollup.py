@@ -35,8 +35,8 @@ def _filled(column: str, default: str) -> Column:
 def rollup(rows: DataFrame, dimension: Dimension | str) -> DataFrame:
     """Source rows per (dimension value, vertical, traffic type, channel).
 
-    ``sub_id`` passes rows through. Sums combine on the map side; the distinct counts of the
-    descriptive columns shuffle on (group, value), so a large group spreads over its values.
+    ``sub_id`` passes rows through. Sums combine on the map side; the descriptive columns are
+    made distinct by (group, column, value) first, so a large group spreads over its values.
     """
     dimension = Dimension(dimension)
     if dimension is Dimension.SUB_ID:
@@ -52,13 +52,18 @@ def rollup(rows: DataFrame, dimension: Dimension | str) -> DataFrame:
         return F.nullif(F.col(column), F.lit(""))
 
     described = [c for c in SEVERAL if c != own]
-    grouped = rows.groupBy(*[c.alias(name) for name, c in keys.items()]).agg(
-        F.min(ORD).alias(ORD),
-        F.min_by("channel", ORD).alias("channel"),
-        *[F.sum(m).alias(m) for m in MEASURES],
-        *[F.min(filled_or_null(c)).alias(f"one_{c}") for c in described],
-        *[F.count_distinct(filled_or_null(c)).alias(f"n_{c}") for c in described],
+    keyed = rows.withColumns({f"by_{name}": c for name, c in keys.items()})
+    by = [f"by_{name}" for name in keys]
+    # Numbers alone, so that they are summed in hash maps; texts and order apart from them, in narrow rows.
+    sums = keyed.groupBy(*by).agg(*[F.sum(m).alias(m) for m in MEASURES])
+    first = keyed.groupBy(*by).agg(F.min(ORD).alias(ORD), F.min_by("channel", ORD).alias("channel"))
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), filled_or_null(c).alias("value")) for c in described])
+    values = keyed.select(*by, F.inline(cells)).where("value IS NOT NULL").distinct()
+    texts = values.groupBy(*by).agg(
+        *[F.count_if(F.col("cell") == c).alias(f"n_{c}") for c in described],
+        *[F.min(F.when(F.col("cell") == c, F.col("value"))).alias(f"one_{c}") for c in described],
     )
+    grouped = sums.join(first, by).join(texts, by, "left").withColumnsRenamed({f"by_{name}": name for name in keys})
     name = F.col("group_value") if own else F.concat(
         "vertical", F.lit(" - "), "traffic_type", F.lit(" "), "channel_group")
     texts = {

@@ -65,7 +65,7 @@ def what_if_scenarios(insights: Insights) -> DataFrame:
     """Up to four rows: revenue now and after acting. A scenario without members has no row."""
     revenue = F.coalesce("total_revenue", F.lit(0.0))
     rules = _scenario_rules()
-    sums = insights.sources.agg(
+    sums = insights.scored.agg(
         F.sum(revenue).alias("all_revenue"),
         *[F.count_if(c).alias(f"n{no}") for no, c in rules.items()],
         *[F.sum(F.when(c, revenue).otherwise(F.lit(0.0))).alias(f"r{no}") for no, c in rules.items()],
@@ -122,7 +122,7 @@ def what_if_scenarios(insights: Insights) -> DataFrame:
 
 def scenario_members(insights: Insights, sample: int | None = None) -> DataFrame:
     """(scenario, source) pairs. ``sample``: list only so many first sources of the last scenario, as a preview."""
-    narrow = insights.sources.select(ORD, "sub_id", "action", "cluster")
+    narrow = insights.scored.select(ORD, "sub_id", "action", "cluster")
     rules = _scenario_rules()
     whole = _memberships(narrow, {no: rules[no] for no in (1, 2, 3)}).select(F.col("rule").alias("scenario_no"), ORD, "sub_id")
     stable = narrow.where(rules[4]) if sample is None else narrow.where(rules[4]).orderBy(ORD).limit(sample)
@@ -154,7 +154,7 @@ def _weak_cohorts(cohorts: DataFrame) -> DataFrame:
 
 def smart_alerts(insights: Insights, cohorts: DataFrame, health: DataFrame) -> DataFrame:
     """Up to seven rows, ids in rule order. ``cohorts``: cohort intelligence; ``health``: portfolio health."""
-    total = insights.cohorts.select(F.sum("cohort_revenue")).scalar()
+    total = insights.moments.select(F.sum("cohort_revenue")).scalar()
     rules = _alert_rules(total)
     revenue = F.coalesce("total_revenue", F.lit(0.0))
     weak = _weak_cohorts(cohorts).select(F.struct(
@@ -165,7 +165,7 @@ def smart_alerts(insights: Insights, cohorts: DataFrame, health: DataFrame) -> D
             F.sort_array(F.collect_list(F.struct((-F.col("total_revenue")).alias("r"), F.col("cohort_name").alias("name")))),
             lambda c: c["name"]), ", ").alias("names"),
     )).scalar()
-    facts = insights.sources.agg(
+    facts = insights.scored.agg(
         F.sum(revenue).alias("total"),
         F.max(revenue).alias("largest"),
         *[F.count_if(c).alias(f"n{no}") for no, c in rules.items()],
@@ -232,8 +232,8 @@ def sorted_alerts(alerts: DataFrame) -> DataFrame:
 
 def alert_members(insights: Insights, cohorts: DataFrame, health: DataFrame, sample: int | None = None) -> DataFrame:
     """(rule, source) pairs behind the alerts. ``sample``: list only so many first sources of each weak cohort, as a preview."""
-    total = insights.cohorts.select(F.sum("cohort_revenue")).scalar()
-    narrow = insights.sources.select(ORD, "sub_id", *COHORT, "action", "risk_level", "total_revenue")
+    total = insights.moments.select(F.sum("cohort_revenue")).scalar()
+    narrow = insights.scored.select(ORD, "sub_id", *COHORT, "action", "risk_level", "total_revenue")
     whole = _memberships(narrow, _alert_rules(total))
     close = narrow.where(F.col("action") == "keep_standard_close").select(F.count("*")).scalar()
     whole = whole.where((F.col("rule") != 7) | (close >= 3)).select("rule", ORD, "sub_id")

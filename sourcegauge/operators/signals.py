@@ -6,6 +6,8 @@ with its cohort expect the columns of ``cohorts.cohort_profile`` on it.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions.numbers import fixed_text, grouped_text, percent_text, plain_te
 from ..schema import COHORT, ORD
 from ..session import freeze
 from ..settings import DEMOTE, PAUSE, PROMOTE, WARN
-from .cohorts import cohort_profile, percentile_at, premium
+from .cohorts import distribution, moments, percentile_at, premium
 
 INSIGHT_COLUMNS = (
     ORD, "sub_id", *COHORT, "media_type", "current_classification", "action", "call_quality_rate",
@@ -411,7 +413,7 @@ def insight_scope(classified: DataFrame, vertical: str | None = None, traffic_ty
 
 
 class Insights:
-    """Sources with all insight columns, and the small frames they were computed from.
+    """Sources with their insight columns, each group of columns computed when it is asked for.
 
     The scope is frozen once; cohort statistics are a few rows that Spark broadcasts by their
     measured size, so the sources themselves are never shuffled to get their columns.
@@ -419,9 +421,35 @@ class Insights:
 
     def __init__(self, classified: DataFrame, **scope: str):
         self.base = freeze(insight_scope(classified, **scope), "scope")
-        self.cohorts = cohort_profile(self.base)
-        total = self.cohorts.select(F.sum("cohort_revenue")).scalar()
-        self.sources = (
+        self._kept: DataFrame | None = None
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        """Counts, means and deviations of each cohort: one aggregation."""
+        return freeze(moments(self.base), "moments")
+
+    @cached_property
+    def cohorts(self) -> DataFrame:
+        """Moments with medians and percentile steps, which need the values in order."""
+        return freeze(self.moments.join(distribution(self.base), list(COHORT), "left"), "cohorts")
+
+    @property
+    def scored(self) -> DataFrame:
+        """Sources with cluster and risk, which depend on the source alone."""
+        return self._kept if self._kept is not None else self.base.transform(with_clusters).transform(with_risk)
+
+    @property
+    def compared(self) -> DataFrame:
+        """Sources with their deviation from their cohort."""
+        return self._kept if self._kept is not None else self.base.join(self.moments, list(COHORT), "left").transform(with_anomalies)
+
+    @property
+    def sources(self) -> DataFrame:
+        """Sources with all columns."""
+        if self._kept is not None:
+            return self._kept
+        total = self.moments.select(F.sum("cohort_revenue")).scalar()
+        return (
             self.base.join(self.cohorts, list(COHORT), "left")
             .transform(with_clusters)
             .transform(with_risk)
@@ -434,7 +462,8 @@ class Insights:
 
     def keep(self) -> Insights:
         """Freeze the sources with their columns, where several results read them."""
-        self.sources = freeze(self.sources.drop("steps_call", "steps_lead", "steps_revenue"), "sources")
+        if self._kept is None:
+            self._kept = freeze(self.sources.drop("steps_call", "steps_lead", "steps_revenue"), "sources")
         return self
 
 

@@ -13,13 +13,13 @@ from ..operators.report import performance_report
 from ..operators.rollup import Dimension, rollup
 from ..operators.signals import Insights
 from ..session import freeze
-from ..sources.upload import auto_map, parse_rows, read_csv, rows_of_report
+from ..sources.upload import auto_map, parse_rows, read_csv, require_rows, rows_of_report
 
 
 def classify_csv(spark: SparkSession, path: str, dimension: Dimension | str = Dimension.SUB_ID,
                  mapping: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
     """Upload to decisions along one dimension."""
-    raw = read_csv(spark, path, multi_line)
+    raw = require_rows(read_csv(spark, path, multi_line))
     rows = parse_rows(raw, mapping or auto_map(raw.columns))
     return classify(rollup(rows, dimension), dimension=Dimension(dimension).value)
 
@@ -41,11 +41,11 @@ class Analysis:
 
     @cached_property
     def insights(self) -> Insights:
-        return Insights(self._classified, **self._scope).keep()
+        return Insights(self._classified, **self._scope)
 
     @property
     def sources(self) -> DataFrame:
-        return self.insights.sources
+        return self.insights.keep().sources
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -64,9 +64,9 @@ class Analysis:
         return freeze(scenarios.smart_alerts(self.insights, self.cohorts, self.health), "alerts")
 
     def overall(self) -> DataFrame:
-        return portfolio.overall_insights(self.insights, self.scenarios, self.alerts, self.health)
+        return portfolio.overall_insights(self.insights.keep(), self.scenarios, self.alerts, self.health)
 
     def executive_facts(self) -> DataFrame:
         words = {"vertical": "Vertical", "traffic_type": "Traffic Type", "media_type": "Media Type"}
         context = ", ".join(f"{words[k]}: {v}" for k, v in self._scope.items() if v is not None)
-        return portfolio.executive_facts(self.insights, self.overall(), self.health, context or "All Data")
+        return portfolio.executive_facts(self.insights.keep(), self.overall(), self.health, context or "All Data")

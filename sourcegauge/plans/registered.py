@@ -140,9 +140,7 @@ def numeric_prefix_parse(spark: SparkSession, folder: str) -> DataFrame:
         "parsed", parse_number(F.col("cell")))
 
 
-@query
-def csv_upload(spark: SparkSession, folder: str) -> DataFrame:
-    """The report written as CSV under upload headers and read back as an upload."""
+def _uploaded(spark: SparkSession, folder: str, sep: str) -> DataFrame:
     path = f"{shared_folder(spark)}/uploads/{uuid.uuid4().hex}"
     _report(spark, folder).select(
         F.col("sub_id").alias("Sub ID"), F.col("traffic_type").alias("Traffic Type"), F.col("vertical").alias("VERTICAL"),
@@ -151,11 +149,23 @@ def csv_upload(spark: SparkSession, folder: str) -> DataFrame:
         "call_revenue", "total_leads_dialed", F.col("leads_transferred").alias("transfers"), "lead_revenue",
         F.col("click_volume").alias("clicks"), "click_revenue", F.col("redirect_volume").alias("redirects"),
         "redirect_revenue", F.concat(F.col("total_revenue").cast("bigint").cast("string"), F.lit(" USD")).alias("revenue"),
-    ).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    ).write.option("header", True).option("sep", sep).option("quoteAll", True).option("escape", '"').csv(path)
     raw = read_csv(spark, path)
     return parse_rows(raw, auto_map(raw.columns)).drop("ord")
 
 
+@query
+def csv_upload(spark: SparkSession, folder: str) -> DataFrame:
+    """The report written as CSV under upload headers and read back as an upload."""
+    return _uploaded(spark, folder, ",")
+
+
+@query
+def csv_upload_semicolon(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with semicolons, which the reader finds out."""
+    return _uploaded(spark, folder, ";")
+
+
 # ---- decisions --------------------------------------------------------------------------
 
 @query
@@ -327,7 +337,7 @@ def selection_compare_total(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    return _insights(spark, folder).sources.select(
+    return _insights(spark, folder).compared.select(
         "sub_id", "cohort_name", "is_anomaly", "anomaly_type", *_rounded("call_z", "lead_z", "revenue_z"),
         _join("anomaly_reasons").alias("anomaly_reasons"))
 

@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import parse_number
 from ..schema import MEASURES, ORD, SOURCE_ROW, SOURCE_TEXTS
 from ..settings import HEADER_ALIASES, REQUIRED_COLUMNS
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+SEPARATORS = (",", "\t", "|", ";")
+
+
+def guess_separator(header: str) -> str:
+    """The separator that splits the header line into most cells."""
+    return max(SEPARATORS, key=lambda s: len(next(csv.reader([header], delimiter=s), [])))
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Names for Spark: of headers that repeat, also but for case, the first keeps its name, others are named by position."""
+    names: list[str] = []
+    seen = {ORD}
+    for i, cell in enumerate(next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), [])):
+        names.append(cell if cell.strip() and cell.lower() not in seen else f"_c{i}")
+        seen.add(cell.lower())
+    return names
+
+
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, sep: str | None = None) -> DataFrame:
     """All cells as strings, plus ``ord``: file, block and position within the block.
 
+    ``sep``: guessed from the first header line if not given. All files of an upload have one header.
+
     Quoted line breaks need ``multi_line``; Spark then reads each file in one task. For very
     large files without line breaks in cells, ``multi_line=False`` lets Spark split them.
     """
+    first = spark.read.text(path).limit(1).collect()  # one line
+    if not first:
+        raise ValueError("no data provided")
+    header = first[0][0].rstrip("\r")
+    sep = sep or guess_separator(header)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header_names(header, sep)])
     raw = (
-        spark.read.option("header", True)
+        spark.read.schema(schema).option("header", True)
+        .option("sep", sep)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .option("inferSchema", False)
         .csv(path)
     )
     place = F.struct(
