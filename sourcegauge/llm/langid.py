@@ -34,7 +34,7 @@ LONGEST = 32
 WIDEST = 12
 PER_LANGUAGE = 1500
 #: Bytes of text whose distinct words are scored together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 ROUNDS = 3
 #: Added to every expected count.
 SMOOTH = 0.05

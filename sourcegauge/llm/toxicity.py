@@ -75,7 +75,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either label that have a feature, slice by slice."""
     for batch in batches:
-        for rows, data, offsets in hashing.slices(batch, limit=8 << 20):
+        for rows, data, offsets in hashing.slices(batch, limit=4 << 20):
             toxic = rows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             for of, h in features(data, offsets):
                 order = np.lexsort((of, h))
