@@ -9,7 +9,7 @@ six standard deviations below the expected overlap of pairs at the threshold.
 
 The union-sketch estimate filters pairs, the exact similarity of the whole sets decides. Equal sets were merged before.
 Groups of thousands of near copies are never paired all with all: lists first link their members to one member, the one
-whose hashes are commonest. Documents still apart from others of their lists are listed again by their whole sets and linked the
+that has the fewest hashes of its own. Documents still apart from others of their lists are listed again by their whole sets and linked the
 same way; what then remains apart in a list is compared pair by pair, so that no link between components is lost.
 
 Intermediate tables are written to the shared folder; nothing but counts comes to the driver.
@@ -84,10 +84,10 @@ def _close(a: Column, b: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps until no edge changes; the number of rounds grows with the logarithm of the
-    number of nodes. Each step groups edges by node without gathering a neighbourhood, and is written out, which cuts the lineage.
+    Alternates large-star and small-star steps until all links are stars around their smallest node; the number of rounds grows with
+    the logarithm of the number of nodes. No neighbourhood is gathered, and each round is written out, which cuts the lineage.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    links = freeze(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
 
     def star(links: DataFrame, large: bool) -> DataFrame:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
@@ -97,17 +97,18 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         else:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+        return out.where("u <> v")
 
-    links, before = freeze(links, "links"), None
-    while True:
-        # Equal sums of all edges mean equal edges, but for chance of 2**-64.
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before, links = now, freeze(star(star(links, True), False), "links")
-    least = links.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
-    return least.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    def stars(links: DataFrame) -> bool:
+        """Whether each node has one smaller neighbour, or only larger ones."""
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("v", F.lit(0), F.lit(1)))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return nodes.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+    while not stars(links):
+        links = freeze(star(star(links, True), False).distinct(), "links")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(
+        links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,18 +151,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = lists.withColumn("label", F.col("node"))
     links = _verified(_across(alone, _centres(alone)), reps, sets)
 
+    labels = freeze(components(links), "labels")
+
     # Members of lists in which more than one component is left are listed anew by their whole sets, without any chance of error:
     # of documents that are no more than alike, hashes of their own fill the part that is listed.
-    rest = _apart(lists, links).select("node").distinct()
+    rest = _apart(lists, labels).select("node").distinct()
     whole = sets.join(rest, "node").select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("held"))
     lists = freeze(_listed(whole, F.ceil(F.col("n") * SIMILAR / 100), whole=True), "whole-lists")
-    rest = _apart(lists, links)
-    links = links.unionAll(_verified(_across(rest, _centres(rest)), reps, sets))
+    rest = _apart(lists, labels)
+    more = _verified(_across(rest, _centres(rest)), reps, sets)
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        labels = freeze(components(links), "labels")
+        rest = _apart(lists, labels)
     # What still is apart is compared pair by pair.
-    rest = _apart(lists, links)
-    links = links.unionAll(_verified(_across(rest, rest.select("h", F.struct("node", "n", "label", "most", "listed").alias("c"))), reps, sets))
+    every = rest.select("h", F.struct("node", "n", "label", "most", "listed").alias("c"))
+    more = _verified(_across(rest, every, F.col("node") < F.col("c.node")), reps, sets)
+    if not more.isEmpty():
+        labels = freeze(components(links.unionAll(more)), "labels")
 
-    labels = freeze(components(links), "labels")
     same = rows.mapInArrow(_identify, _SKETCHED.removesuffix(", sketch array<long>")).withColumn("node", F.when(F.col("n") > 0, _node()))
     known = freeze(same.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
     least = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
@@ -172,8 +180,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _listed(reps: DataFrame, must: Column, whole: bool) -> DataFrame:
-    """Inverted lists, one row for each (node, h): ``listed`` are all of a node's listed hashes, ``weight`` grows with how common its hashes are,
-    ``most`` is the largest intersection that it can have with any other; of sketches, as opposed to ``whole`` sets, only its size is known.
+    """Inverted lists, one row for each (node, h): ``listed`` are all of a node's listed hashes, ``weight`` is large for a node
+    whose hashes others have too, ``most`` is the largest intersection that it can have with any other; of sketches, as opposed to ``whole`` sets, only its size is known.
 
     ``reps``: (node, n, held); two linked nodes share ``must`` of their held hashes at least, so they share one of the ``size - must + 1``
     rarest of each. Hashes held by one node alone come first in that order, and need no list.
@@ -181,8 +189,10 @@ def _listed(reps: DataFrame, must: Column, whole: bool) -> DataFrame:
     held = reps.select("node", F.explode("held").alias("h"))
     shared = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = held.join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    weight = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double")))
-    sized = reps.select("node", "n", must.alias("must"))
+    # Hashes of its own tell a copy from what it was copied from; between those without, the commoner wins.
+    shared_by = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / F.size("common")
+    weight = F.size("common") * 4 - F.col("held_size") * 3 + shared_by / 1000
+    sized = reps.select("node", "n", must.alias("must"), F.size("held").alias("held_size"))
     # size - must + 1, less the hashes held by this node alone.
     rarest = F.greatest(F.size("common") - F.col("must") + 1, F.lit(0)).cast("int")
     rows = common.join(sized, "node")
@@ -191,24 +201,23 @@ def _listed(reps: DataFrame, must: Column, whole: bool) -> DataFrame:
 
 
 def _centres(rest: DataFrame) -> DataFrame:
-    """Of each list the node whose hashes are commonest: of a group of near copies, the one nearest to all."""
+    """Of each list the node with the fewest hashes of its own: of a group of near copies, the one nearest to all."""
     return rest.groupBy("h").agg(F.max_by(F.struct("node", "n", "label", "most", "listed"), F.struct("weight", "node")).alias("c"))
 
 
-def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with the label of their component, of lists that hold more than one component."""
-    labels = freeze(components(links), "labels")
     now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = now.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("h")
     return freeze(now.join(several, "h"), "apart")
 
 
-def _across(rest: DataFrame, centres: DataFrame) -> DataFrame:
+def _across(rest: DataFrame, centres: DataFrame, order: Column | None = None) -> DataFrame:
     """Pairs (a, b) of members and centres of one list that are different components and whose sizes and hashes of their own allow a link.
 
-    A pair comes from the least of the lists it shares only; a pair of two centres may come twice.
+    A pair comes from the least of the lists it shares only; ``order`` keeps one of its two directions where all are centres.
     """
     possible = (F.col("n") + F.col("c.n")) * SIMILAR <= F.least("most", "c.most") * (100 + SIMILAR)
     once = F.array_min(F.array_intersect("listed", "c.listed")) == F.col("h")
-    found = rest.join(centres, "h").where((F.col("label") != F.col("c.label")) & _close(F.col("n"), F.col("c.n")) & possible & once)
+    found = rest.join(centres, "h").where((F.col("label") != F.col("c.label")) & _close(F.col("n"), F.col("c.n")) & possible & once & (F.lit(True) if order is None else order))
     return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
