@@ -204,10 +204,13 @@ def _expect(model: Model) -> Callable:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text) of about ``per_language`` training documents of each language, or of all where there are fewer."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    # One row for each language: a label, of which there are few.
-    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    # One count for each language: the labels are few, and texts are not shuffled by them.
+    counts = dict(known.groupBy("lang").count().collect())
+    if not counts:
+        return known.select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, per_language / n)])[F.col("lang")]
     lot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return known.join(share, "lang").where(lot < F.col("share")).select("lang", "text")
+    return known.where(lot < share).select("lang", "text")
 
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
