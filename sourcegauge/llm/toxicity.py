@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     n = marked.count()
     lot = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     some = marked.where(lot < min(1.0, sample_rows / max(1, n)))
-    rows = freeze(docs.select("doc_id", text_of().alias("text")).join(some, "doc_id").select("text", "toxic"), "toxicity-sample")
+    # The sample is bounded by sample_rows, so its ids go to the documents.
+    rows = freeze(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxicity-sample")
     total, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     if not 0 < bad < total:
