@@ -1,10 +1,12 @@
 """Benchmark items in documents, re-parameterised ones included, by template canonicalisation.
 
-Texts become sequences of typed tokens: numbers, units after numbers and capitalised names are placeholders, all else is its
-lower-case word. Windows of ``WINDOW`` tokens are hashed and joined with the windows of the benchmark. A match fixes where an
-item would lie in a document; along one such alignment each slot value of the item must always meet the same value in the
-document, so a question with other numbers counts and text of a like shape alone does not. A document holds an item
-if consistent windows cover ``COVERED`` of the tokens that the item's windows can cover.
+Texts become sequences of tokens in two views. In the typed one numbers, units after numbers and capitalised names are
+placeholders, all else is its lower-case word; in the folded one names are lower-case words too, so that a copy in another case is
+seen. Windows of ``WINDOW`` tokens of both views are hashed and joined with the windows of the benchmark; each document is then
+laid beside the items that it shares a window with. A match fixes where an item would lie in the document; along such an
+alignment each slot value of the item must always meet the same value in the document, so a question with other numbers counts
+and text of a like shape alone does not. A document holds an item if consistent windows of both views cover ``COVERED`` of the
+words and numbers that the item's windows of one view can cover.
 
 Before the join, windows of documents that no item has are left out by a list of the benchmark's hashes, if the benchmark has at
 most ``LISTED`` windows (16 MB); beyond, all windows go to the join. The result is the same.
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 from . import hashing
-from .common import keyed, text_of
+from .common import NO_ID, keyed, text_of
 
 WINDOW = 8
 #: Plain words that a window must have; the rest may be placeholders.
 PLAIN = 4
 COVERED = 0.8
+#: Words by which runs of windows of one alignment may be off each other.
+DRIFT = 0
 #: Items of fewer tokens are not looked for: they say nothing.
 LEAST_TOKENS = 3
 LISTED = 2_000_000
@@ -51,27 +55,58 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = _hash_words(UNITS)
 
 
+def _folds() -> np.ndarray:
+    """Lower case of the characters of two and three bytes, where it has as many bytes."""
+    out = np.arange(0x10000)
+    for c in range(0x80, 0x10000):
+        if len(x := chr(c).lower()) == 1 and (ord(x) >= 0x800) == (c >= 0x800) and ord(x) >= 0x80:
+            out[c] = ord(x)
+    return out
+
+
+_FOLDS = _folds()
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """UTF-8 in lower case but for A-Z; each character keeps its number of bytes. A sharp s becomes ss, as in capitals."""
+    lead = np.flatnonzero(data >= 0xC3)
+    if not len(lead):
+        return data
+    out = data.copy()
+    two, three = lead[data[lead] < 0xE0], lead[(data[lead] >= 0xE0) & (data[lead] < 0xF0)]
+    c = _FOLDS[(data[two] & 0x1F).astype(np.int64) << 6 | data[two + 1] & 0x3F]
+    sharp = c == 0xDF
+    out[two], out[two + 1] = np.where(sharp, 0x73, 0xC0 | c >> 6), np.where(sharp, 0x73, 0x80 | c & 0x3F)
+    c = _FOLDS[(data[three] & 0x0F).astype(np.int64) << 12 | (data[three + 1] & 0x3F).astype(np.int64) << 6 | data[three + 2] & 0x3F]
+    out[three], out[three + 1], out[three + 2] = 0xE0 | c >> 12, 0x80 | c >> 6 & 0x3F, 0x80 | c & 0x3F
+    return out
+
+
 @dataclass
 class Tokens:
-    """Canonical tokens of some texts; ``slot`` is the hash of what a placeholder stands for, 0 for plain words."""
+    """Canonical tokens of some texts; ``slot`` is the hash of what a placeholder stands for, 0 for plain words. ``at`` counts the words and
+    numbers before each token, and before the end."""
 
     first: np.ndarray
     hash: np.ndarray
     slot: np.ndarray
+    at: np.ndarray
 
     def sequence(self) -> hashing.Words:
         return hashing.Words(np.zeros(0, np.uint8), self.slot, self.slot, self.first, self.hash)
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    letters, digits = (hashing.words(data, offsets, inside, hashing.LOWER) for inside in (hashing.LETTER, _DIGIT))
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, Tokens]:
+    """The typed and the folded view."""
+    folded = fold_case(data)
+    letters, digits = (hashing.words(folded, offsets, inside, hashing.LOWER) for inside in (hashing.LETTER, _DIGIT))
     start = np.concatenate([letters.start, digits.start])
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.concatenate([letters.end, digits.end])[order]
     word = np.concatenate([letters.hash, digits.hash])[order]
     number = np.concatenate([np.zeros(len(letters.start), bool), np.ones(len(digits.start), bool)])[order]
     if not len(start):
-        return Tokens(np.zeros(len(offsets), np.int64), word, word)
+        return (Tokens(np.zeros(len(offsets), np.int64), word, word, np.zeros(1, np.int64)),) * 2
     head = data[start]
     # Capitals of ASCII, and of Latin-1 in UTF-8.
     second = data[np.minimum(start + 1, len(data) - 1)]
@@ -83,16 +118,22 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     near = ~begins & (np.append(1, start[1:] - end[:-1]) == 1)
     before_number, before_name = np.append(False, number[:-1]), np.append(False, name[:-1])
     # "1,234.5" is one number, "New York" one name.
-    goes_on = near & ((number & before_number & ((gap == 0x2E) | (gap == 0x2C))) | (name & before_name & (gap == 0x20)))
+    one_number = near & number & before_number & ((gap == 0x2E) | (gap == 0x2C))
+    one_name = near & name & before_name & (gap == 0x20)
     unit = ~number & ~begins & before_number & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word), len(_UNIT_HASHES) - 1)] == word)
     name &= ~unit
-    heads = np.flatnonzero(~goes_on)
-    # What a placeholder stands for: its words in order.
-    turn = np.arange(len(word)) - np.repeat(heads, np.diff(np.append(heads, len(word))))
-    slot = np.bitwise_xor.reduceat(hashing.mix(word + turn.astype(np.uint64)), heads) | np.uint64(1)
-    out = np.where(number[heads], _NUMBER, np.where(unit[heads], _UNIT, np.where(name[heads], _NAME, word[heads])))
-    plain = ~(number | unit | name)[heads]
-    return Tokens(np.searchsorted(start[heads], offsets), out, np.where(plain, np.uint64(0), slot))
+    each = np.flatnonzero(~one_number)
+
+    def view(heads: np.ndarray, name: np.ndarray) -> Tokens:
+        # What a placeholder stands for: its words in order.
+        turn = np.arange(len(word)) - np.repeat(heads, np.diff(np.append(heads, len(word))))
+        slot = np.bitwise_xor.reduceat(hashing.mix(word + turn.astype(np.uint64)), heads) | np.uint64(1)
+        out = np.where(number[heads], _NUMBER, np.where(unit[heads], _UNIT, np.where(name[heads], _NAME, word[heads])))
+        plain = ~(number | unit | name)[heads]
+        at = np.append(np.searchsorted(each, heads), len(each))
+        return Tokens(np.searchsorted(start[heads], offsets), out, np.where(plain, np.uint64(0), slot), at)
+
+    return view(np.flatnonzero(~(one_number | one_name)), name), view(each, np.zeros(len(name), bool))
 
 
 def _windows(t: Tokens, size: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,98 +145,194 @@ def _windows(t: Tokens, size: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
     return start, w.window_hashes(start, start + size)
 
 
-_HIT = "h long, pos int, size int, slots array<long>"
+def _item_windows(t: Tokens) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first tokens, hashes) of all windows of each item; an item without any is one window as a whole."""
+    start, h = _windows(t, WINDOW, PLAIN)
+    has = np.zeros(len(t.first) - 1, bool)
+    has[np.searchsorted(t.first, start, "right") - 1] = True
+    parts = [(WINDOW, start, h)]
+    for i in np.flatnonzero(~has & (np.diff(t.first) >= LEAST_TOKENS)):
+        a, b = t.first[i : i + 1], t.first[i + 1 : i + 2]
+        parts.append((int(b[0] - a[0]), a, t.sequence().window_hashes(a, b)))
+    return parts
 
 
-def _slots(t: Tokens, start: np.ndarray, size: int) -> list[np.ndarray]:
-    return [t.slot[a : a + size].view(np.int64) for a in start.tolist()]
+def _document_windows(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
+    # Other sizes are of items that are shorter, or too full of placeholders.
+    return _windows(t, size, PLAIN if size == WINDOW else 0)
 
 
-def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of each item; an item without any is one window as a whole."""
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in hashing.slices(batch):
-            t = canonical(data, offsets)
-            start, h = _windows(t, WINDOW, PLAIN)
-            has = np.zeros(len(offsets) - 1, bool)
-            has[np.searchsorted(t.first, start, "right") - 1] = True
-            parts = [(start, h, WINDOW)]
-            for i in np.flatnonzero(~has & (np.diff(t.first) >= LEAST_TOKENS)):
-                a, b = t.first[i : i + 1], t.first[i + 1 : i + 2]
-                parts.append((a, t.sequence().window_hashes(a, b), int(b[0] - a[0])))
-            for start, h, size in parts:
-                of = np.searchsorted(t.first, start, "right") - 1
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("item_id").take(pa.array(of)), pa.array(h.view(np.int64)), pa.array(start - t.first[of], pa.int32()),
-                    pa.array(np.full(len(start), size), pa.int32()), pa.array(_slots(t, start, size), pa.list_(pa.int64()))], ["item_id", "h", "pos", "size", "slots"])
-
-
-def _document(listed: np.ndarray | None, sizes: list[int]) -> Callable:
+            for t in canonical(data, offsets):
+                for size, start, h in _item_windows(t):
+                    of = np.searchsorted(t.first, start, "right") - 1
+                    yield pa.RecordBatch.from_arrays([rows.column("x").take(pa.array(of)), pa.array(h.view(np.int64)), pa.array(np.full(len(start), size), pa.int32())],
+                                                     ["x", "h", "size"])
+
+
+def _probe(listed: np.ndarray | None, sizes: list[int]) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in hashing.slices(batch):
-                t = canonical(data, offsets)
-                for size in sizes:
-                    # Other sizes are of items that are shorter, or too full of placeholders.
-                    start, h = _windows(t, size, PLAIN if size == WINDOW else 0)
-                    if listed is not None:
-                        hit = listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
-                        start, h = start[hit], h[hit]
-                    of = np.searchsorted(t.first, start, "right") - 1
-                    yield pa.RecordBatch.from_arrays([
-                        *(rows.column(c).take(pa.array(of)) for c in ("k1", "k2", "doc_id")), pa.array(h.view(np.int64)), pa.array(start - t.first[of], pa.int32()),
-                        pa.array(np.full(len(start), size), pa.int32()), pa.array(_slots(t, start, size), pa.list_(pa.int64()))],
-                        ["k1", "k2", "doc_id", "h", "pos", "size", "slots"])
+                for t in canonical(data, offsets):
+                    for size in sizes:
+                        start, h = _document_windows(t, size)
+                        if listed is not None:
+                            hit = listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
+                            start, h = start[hit], h[hit]
+                        of = np.searchsorted(t.first, start, "right") - 1
+                        order = np.lexsort((h, of))
+                        of, h = of[order], h[order]
+                        new = np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+                        yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(of[new])) for c in ("k1", "k2")), pa.array(h[new].view(np.int64))], ["k1", "k2", "h"])
 
     return find
 
 
-def _judge(key: tuple, hits: pa.Table) -> pa.Table:
-    """One document and one item: the alignment whose consistent windows cover most of the item."""
-    rows = sorted(hits.select(["shift", "item_pos", "size", "item_slots", "slots"]).to_pylist(), key=lambda r: (r["shift"], r["item_pos"]))
-    best, changed, shift, meets = 0, 0, None, {}
-    covered: set[int] = set()
-    for r in [*rows, None]:
-        if r is None or r["shift"] != shift:
-            if len(covered) > best:
-                best, changed = len(covered), sum(a != b for a, b in meets.items())
-            if r is None:
-                break
-            shift, meets, covered = r["shift"], {}, set()
-        pairs = [(a, b) for a, b in zip(r["item_slots"], r["slots"]) if a]
-        new = dict(pairs)
-        # A template of hardly any words matches too much: there the values must agree.
-        loose = r["size"] - len(pairs) >= PLAIN
-        if all(new[a] == b and meets.get(a, b) == b and (loose or a == b) for a, b in pairs):
-            meets |= new
-            covered.update(range(r["item_pos"], r["item_pos"] + r["size"]))
-    k1, k2, item = (k.as_py() for k in key)
-    return pa.table({"k1": [k1], "k2": [k2], "doc_id": [hits["doc_id"][0].as_py()], "item_id": [item], "n_tokens": [hits["n_tokens"][0].as_py()],
-                     "n_covered": [best], "n_changed": [changed]},
-                    schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()),
-                                      ("n_covered", pa.int64()), ("n_changed", pa.int64())]))
+class Run:
+    """Windows of an item that follow each other along one shift of a view; bounds in words and numbers of item and document."""
+
+    __slots__ = ("i0", "i1", "d0", "d1", "view", "shift", "windows")
+
+    def __init__(self, view: int, shift: int):
+        self.view, self.shift, self.windows = view, shift, []
+
+
+def _meet(item: tuple[Tokens, Tokens], doc: tuple[Tokens, Tokens]) -> list[list[Run]]:
+    """For each item of a slice, its runs in one document."""
+    runs: list[list[Run]] = [[] for _ in range(len(item[0].first) - 1)]
+    for view, (t, d) in enumerate(zip(item, doc)):
+        parts: list[tuple[np.ndarray, ...]] = []
+        of_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, start, h in _item_windows(t):
+            if size not in of_size:
+                place, g = _document_windows(d, size)
+                order = np.argsort(g, kind="stable")
+                of_size[size] = place[order], g[order]
+            place, g = of_size[size]
+            low, n = np.searchsorted(g, h), np.searchsorted(g, h, "right") - np.searchsorted(g, h)
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            parts.append((np.repeat(start, n), place[at], np.full(len(at), size)))
+        i, p, size = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        of = np.searchsorted(t.first, i, "right") - 1
+        order = np.lexsort((size, i, p - i, of))
+        run = None
+        for o, a, b, n in zip(*(x[order].tolist() for x in (of, i, p, size))):
+            if run is None or run_of != o or run.shift != b - a or a > end:
+                run, run_of, end = Run(view, b - a), o, a
+                runs[o].append(run)
+            run.windows.append((a, b, n))
+            end = max(end, a + n)
+        for mine in runs:
+            for r in mine:
+                if r.view == view:
+                    last = max(a + n for a, _, n in r.windows)
+                    r.i0, r.i1 = int(t.at[r.windows[0][0]]), int(t.at[last])
+                    r.d0, r.d1 = int(d.at[r.windows[0][1]]), int(d.at[last + r.shift])
+    return runs
+
+
+def _fit(r: Run, taken: list[Run]) -> bool:
+    """Whether a run lies in the order of the taken ones, ``DRIFT`` off its neighbours at most."""
+    left = right = None
+    for q in taken:
+        if q.i1 <= r.i0 or r.i1 <= q.i0:
+            a, b = (q, r) if q.i1 <= r.i0 else (r, q)
+            if not (a.d0 < b.d0 and a.d1 < b.d1):
+                return False
+            if a is q:
+                left = q if left is None or q.i1 > left.i1 else left
+            else:
+                right = q if right is None or q.i0 < right.i0 else right
+        elif q.d1 <= r.d0 or r.d1 <= q.d0 or min(abs((q.d0 - q.i0) - (r.d0 - r.i0)), abs((q.d1 - q.i1) - (r.d1 - r.i1))) > DRIFT:
+            return False
+    return all(abs((b.d0 - a.d1) - (b.i0 - a.i1)) <= DRIFT for a, b in ((left, r), (r, right)) if a and b)
+
+
+def _judge(runs: list[Run], reach: list[set[int]], at: list[list[int]], of_item: list[list[int]], of_doc: list[list[int]]) -> tuple[int, int, int]:
+    """(tokens, covered tokens, changed slot values) of one item in one document, for the alignment that covers most of the item."""
+    order = sorted(runs, key=lambda r: (r.i0 - r.i1, r.d0, r.view))
+    span = max(r.i1 for r in runs) - min(r.i0 for r in runs) + 16
+    best = (0.0, 0, 0, 0)
+    for anchor in order:
+        near = [r for r in order if r is not anchor and r.d0 <= anchor.d1 + 2 * span and r.d1 >= anchor.d0 - 2 * span]
+        meets: dict[int, int] = {}
+        covered: set[int] = set()
+        taken: list[Run] = []
+        more = [anchor]
+        while more:
+            for r in more:
+                some = False
+                for a, b, n in r.windows:
+                    pairs = [(x, y) for x, y in zip(of_item[r.view][a : a + n], of_doc[r.view][b : b + n]) if x]
+                    new = dict(pairs)
+                    # A template of hardly any words matches too much: there the values must agree.
+                    loose = n - len(pairs) >= PLAIN
+                    if all(new[x] == y and meets.get(x, y) == y and (loose or x == y) for x, y in pairs):
+                        meets |= new
+                        covered.update(range(at[r.view][a], at[r.view][a + n]))
+                        some = True
+                if some:
+                    taken.append(r)
+            near = [r for r in near if r not in more]
+            more = next(([r] for r in near if taken and _fit(r, taken)), [])
+        for x in reach:
+            if x and (share := len(covered & x) / len(x)) > best[0]:
+                best = share, len(x), len(covered & x), sum(a != b for a, b in meets.items())
+        if best[0] == 1:
+            break
+    return best[1:]
+
+
+_FOUND = "k1 long, k2 long, doc_id long, item_id long, n_tokens long, n_covered long, n_changed long"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document beside the items that it shares windows with."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            (_, data, offsets), = hashing.slices(row)
+            doc = canonical(data, offsets)
+            of_doc = [t.slot.tolist() for t in doc]
+            items = row.column("items").flatten()
+            out: list[tuple] = []
+            for part, data, offsets in hashing.slices(pa.RecordBatch.from_arrays([items.field("item_id"), items.field("item_text")], ["item_id", "text"])):
+                item = canonical(data, offsets)
+                at, of_item = [t.at.tolist() for t in item], [t.slot.tolist() for t in item]
+                reach: list[list[set[int]]] = [[set(), set()] for _ in range(part.num_rows)]
+                for view, t in enumerate(item):
+                    for size, start, _ in _item_windows(t):
+                        for o, a in zip((np.searchsorted(t.first, start, "right") - 1).tolist(), start.tolist()):
+                            reach[o][view].update(range(at[view][a], at[view][a + size]))
+                for o, runs in enumerate(_meet(item, doc)):
+                    if runs:
+                        out.append((part.column("item_id")[o].as_py(), *_judge(runs, reach[o], at, of_item, of_doc)))
+            yield pa.RecordBatch.from_arrays([
+                *(row.column(c).take(pa.array(np.zeros(len(out), np.int64))) for c in ("k1", "k2", "doc_id")),
+                *(pa.array([x[j] for x in out], pa.int64()) for j in range(4))], ["k1", "k2", "doc_id", "item_id", "n_tokens", "n_covered", "n_changed"])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """(k1, k2, doc_id, item_id, n_tokens, n_covered, n_changed, coverage): documents that hold benchmark items; k1, k2 as in ``keyed``.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Null and empty texts hold nothing and are held by nothing. Equal documents
-    give one row for each item; an item_id that is null or repeats is judged as one item of all its texts. n_changed counts slot
+    give one row for each item; of an item_id that is null or repeats, the text that is covered best counts. n_changed counts slot
     values that differ. Other columns are not read. An empty table on either side gives an empty result.
     """
     rows = keyed(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
-    windows = freeze(items.mapInArrow(_benchmark, f"item_id long, {_HIT}"), "benchmark-windows")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
+    items = items.withColumn("x", F.xxhash64(F.coalesce("item_id", F.lit(NO_ID)), "text"))
+    windows = freeze(items.mapInArrow(_index, "x long, h long, size int").distinct(), "benchmark-windows")
     n, sizes = windows.agg(F.count(F.lit(1)), F.collect_set("size")).first()
     listed = np.unique(windows.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)) if n <= LISTED else None
-    # Tokens that an item's windows can cover.
-    reach = windows.select("item_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("p")).distinct()
-    reach = reach.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    reach = reach.withColumnRenamed("item_id", "x_item")
-    of_item = windows.join(reach, F.col("item_id").eqNullSafe(F.col("x_item"))).select(
-        "item_id", "h", F.col("pos").alias("item_pos"), "size", F.col("slots").alias("item_slots"), "n_tokens")
-    hits = rows.mapInArrow(_document(listed, sorted(sizes)), f"k1 long, k2 long, doc_id long, {_HIT}").join(of_item, ["h", "size"])
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).drop("h", "pos")
-    judged = hits.groupBy("k1", "k2", "item_id").applyInArrow(
-        _judge, "k1 long, k2 long, doc_id long, item_id long, n_tokens long, n_covered long, n_changed long")
-    return judged.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).where(F.col("coverage") >= covered)
+    hits = rows.mapInArrow(_probe(listed, sorted(sizes)), "k1 long, k2 long, h long")
+    pairs = hits.join(windows.select("x", "h").distinct(), "h").select("k1", "k2", "x").distinct()
+    beside = pairs.join(items.withColumnRenamed("text", "item_text"), "x").groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    judged = rows.join(freeze(beside, "benchmark-candidates"), ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "items").mapInArrow(_compare, _FOUND)
+    judged = judged.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).where(F.col("coverage") >= covered)
+    best = F.max(F.struct("coverage", (-F.col("n_changed")).alias("less"), "doc_id", "n_tokens", "n_covered", "n_changed")).alias("x")
+    return judged.groupBy("k1", "k2", "item_id").agg(best).select(
+        "k1", "k2", "x.doc_id", "item_id", "x.n_tokens", "x.n_covered", "x.n_changed", "x.coverage")

@@ -136,3 +136,26 @@ def test_items_of_tables(spark, tables, docs, nothing):
     wanted = {(r.doc_id, i) for r in documents.select("doc_id", "text").collect() for t in [flat(r.text)] for i, x in known if x in t}
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_items(documents, items).collect()} == wanted and wanted
     assert decontaminate.find_items(nothing, items).count() == 0 and decontaminate.find_items(docs, items.where("false")).count() == 0
+
+
+def _found(spark, text, item=ITEM):
+    docs = spark.createDataFrame([(5, text)], "doc_id long, text string")
+    return [(r.item_id, r.n_changed) for r in decontaminate.find_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()]
+
+
+ACCENTS = "Übrigens fährt der große Zug 55 km von Köln nach Lódz über Ёлки wie weit fährt er in 9 hours"
+
+
+@pytest.mark.parametrize("text, item", [
+    (ITEM.upper(), ITEM), (ITEM.lower(), ITEM), (ITEM.title(), ITEM), (ITEM, ITEM.upper()), (ITEM.lower(), ITEM.title()), (ITEM.upper().replace("55", "30"), ITEM),
+    (ACCENTS.upper(), ACCENTS), (ACCENTS.lower(), ACCENTS),
+])
+def test_items_in_another_case(spark, text, item):
+    assert _found(spark, f"Before. {text} After", item) == [(7, int("30" in text.split()))]
+
+
+def test_capitals_of_tables(spark):
+    documents, items = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    pairs = [(1699, 130), (6420, 37), (8376, 101)]
+    got = decontaminate.find_items(documents.where(documents.doc_id.isin([d for d, _ in pairs])), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == pairs
