@@ -1,11 +1,13 @@
 """Main text of web pages by removal of site templates.
 
 Every element with text has a hash of its whole subtree. Spark counts, per host, the different pages on which a subtree occurs;
-subtrees on many of the host's pages are its template and are deleted. What a single page shows to be no part of the article
-(menus, footers, forms, comments, by element, role and class) is deleted as well, and the article's blocks are joined.
+subtrees on ``MANY_PAGES`` of them belong to one of the host's layouts, however many it has, and are deleted. What a single page
+shows to be no part of the article (menus, footers, forms, comments, by element, role and class) is deleted as well, and the
+article's blocks are joined.
 
-Equal pages count once, so a page copied all over a host does not become its template. A host's template is an array that is
-bounded by twice the elements of a page, because each of its subtrees is on half of the pages.
+Equal pages count once, so a page copied all over a host does not become its template. An article, or what holds one, is never
+deleted for being on many pages. Recurring subtrees stay rows and are joined to the subtrees of each page, so a page's list is
+bounded by its own elements.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 
-#: Different pages of a host, and their share, on which a subtree must be to belong to the template.
-MANY_PAGES, MANY_SHARE = 5, 0.5
+#: Different pages of a host on which a subtree must be to belong to a template.
+MANY_PAGES = 5
 #: Inside an article only containers on nearly all pages are deleted: a paragraph that recurs still is text.
 INSIDE_SHARE = 0.8
 
@@ -142,7 +144,7 @@ def main_text(page: str, template: dict[int, float]) -> str:
         node, inside = stack.pop()
         holds = node.tag in ("#root", "html", "body") or (not inside and node.tag not in ("article", "main") and (node.marks or node.tag == "form") and _has(node, {"article", "main"}))
         share = template.get(int.from_bytes(node.digest, "big", signed=True), 0.0) if node.digest else 0.0
-        recurs = share >= INSIDE_SHARE and node.tag in CONTAINER if inside else share > 0
+        recurs = share >= INSIDE_SHARE and node.tag in CONTAINER if inside else share > 0 and not _has(node, {"article", "main"})
         if not holds and (
             node.hidden or node.tag in DROPPED or _marked(node) or recurs
             or ((node.tag == "header" or "header" in _PART.split(node.marks)) and not (inside and _has(node, {"h1", "h2"})))
@@ -182,12 +184,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            rows = []
-            for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
+            rows: list[tuple] = []
+            for host, raw, seed, page in zip(*(part.column(c).to_pylist() for c in ("host", "raw", "seed", "html"))):
                 found = hash_subtrees(tree := parse(page or ""))
                 whole = hashlib.blake2b(b"".join(c.digest for c in tree.children if isinstance(c, Node)), digest_size=8).digest()
-                rows += [(host, h, int.from_bytes(whole, "big", signed=True)) for h in [0, *found]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["host", "subtree", "page"])
+                whole = int.from_bytes(whole, "big", signed=True) ^ seed
+                rows.append((host, raw, None, whole))
+                rows += [(None, None, h ^ seed, whole) for h in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))],
+                                             ["host", "raw", "subtree", "page"])
 
 
 def host_of(url: Column) -> Column:
@@ -195,25 +200,33 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def _pages(pages: DataFrame) -> DataFrame:
+    """``raw`` names a page's html, ``seed`` its host: subtrees and pages of different hosts are told apart by it."""
+    rows = pages.select(*[c for c in ("page_id", "url") if c in pages.columns], host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    return rows.withColumns({"raw": F.xxhash64("html"), "seed": F.xxhash64("host")})
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): template maps subtree hashes to the share of the host's different pages that have them."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    # Two steps: a hot host's rows are spread by page before they are counted by subtree.
-    seen = rows.mapInArrow(_count, "host string, subtree long, page long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    found = counts.where(f"subtree <> 0 AND n >= {MANY_PAGES}").join(whole, "host").where(F.col("n") >= F.col("pages") * MANY_SHARE)
-    return found.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("subtree", F.col("n") / F.col("pages")))).alias("template"))
+    """(host, raw, template) of pages with recurring subtrees: template maps these to the share of the host's different pages that have them."""
+    rows = _pages(pages).select("host", "raw", "seed", "html")
+    # A row for each page, and one for each of its subtrees; a hot host's rows are spread, as none is gathered by host.
+    seen = freeze(rows.mapInArrow(_count, "host string, raw long, subtree long, page long").distinct(), "subtrees")
+    subtrees, known = seen.where("subtree IS NOT NULL").select("subtree", "page"), seen.where("subtree IS NULL").select("host", "raw", "page")
+    many = subtrees.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MANY_PAGES}")
+    of_page = subtrees.join(many, "subtree").groupBy("page").agg(F.collect_list(F.struct("subtree", "n")).alias("found"))
+    whole = known.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    share = F.transform("found", lambda x: F.struct(x["subtree"], x["n"] / F.col("pages")))
+    return known.join(of_page, "page").join(whole, "host").select("host", "raw", F.map_from_entries(share).alias("template"))
 
 
-def _texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for pages, found in batches:
-        yield pa.array([main_text(page.as_py() or "", dict(t.as_py() or ())) for page, t in zip(pages, found)], pa.string())
+def _texts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for pages, seeds, found in batches:
+        yield pa.array([main_text(page.as_py() or "", {k ^ seed.as_py(): share for k, share in t.as_py() or ()}) for page, seed, t in zip(pages, seeds, found)], pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, any others) as (page_id, url, text). A null or empty page has an empty text; a page whose url is
     null or has no host belongs to a host of no name. Equal rows give equal texts; other columns are not read."""
     known = freeze(templates(pages), "templates")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left")
-    return rows.select("page_id", "url", F.arrow_udf(_texts, "string")("html", "template").alias("text"))
+    rows = _pages(pages).join(known, ["host", "raw"], "left")
+    return rows.select("page_id", "url", F.arrow_udf(_texts, "string")("html", "seed", "template").alias("text"))

@@ -159,3 +159,14 @@ def test_capitals_of_tables(spark):
     pairs = [(1699, 130), (6420, 37), (8376, 101)]
     got = decontaminate.find_items(documents.where(documents.doc_id.isin([d for d, _ in pairs])), items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == pairs
+
+
+def test_a_host_of_many_layouts(spark):
+    """No layout has half of the pages, and no boilerplate has a mark or an element that shows it."""
+    page = "<body><div><ul><li>Home %d</li><li>Goods %d</li></ul></div><div><div><p>News %d</p></div></div><p>Text %d</p><div>All rights %d</div></body>"
+    rows = [(i, f"http://a.org/{i}", page % (i % 20, i % 20, i, i, i % 20)) for i in range(120)]
+    # An article on many pages of different layouts stays.
+    rows += [(200 + i, "http://a.org/x", f"<body><div>Top {i}</div><div><article><p>One article</p></article></div></body>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[i] == f"News {i}\nText {i}" for i in range(120)) and all(got[200 + i] == "One article" for i in range(9))
