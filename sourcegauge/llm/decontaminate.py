@@ -5,7 +5,8 @@ placeholders, all else is its lower-case word; in the folded one names are lower
 seen. Windows of ``WINDOW`` tokens of both views are hashed and joined with the windows of the benchmark; each document is then
 laid beside the items that it shares a window with. A match fixes where an item would lie in the document; along such an
 alignment each slot value of the item must always meet the same value in the document, so a question with other numbers counts
-and text of a like shape alone does not. A document holds an item if consistent windows of both views cover ``COVERED`` of the
+and text of a like shape alone does not. Where words are added or missing the alignment goes on at a shift near by, in order; it also
+goes on with windows of ``SHORT`` tokens. A document holds an item if consistent windows of both views cover ``COVERED`` of the
 words and numbers that the item's windows of one view can cover.
 
 Before the join, windows of documents that no item has are left out by a list of the benchmark's hashes, if the benchmark has at
@@ -31,7 +32,9 @@ WINDOW = 8
 PLAIN = 4
 COVERED = 0.8
 #: Words by which runs of windows of one alignment may be off each other.
-DRIFT = 0
+DRIFT = 4
+#: Shorter windows, and their least plain words, that go on with an alignment that whole windows have begun.
+SHORT, SHORT_PLAIN = 4, 2
 #: Items of fewer tokens are not looked for: they say nothing.
 LEAST_TOKENS = 3
 LISTED = 2_000_000
@@ -41,6 +44,9 @@ UNITS = ("mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg
          "litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars "
          "euro euros cent cents usd eur gbp w kw mw j kj cal kcal v a hz khz mhz ghz kb mb gb tb degree degrees c f k mph kmh").split()
 
+# Titles whose full stop does not end a sentence.
+TITLES = "mr mrs ms mx dr prof rev hon st sr jr capt col gen lt sgt".split()
+
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
@@ -52,7 +58,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return np.sort(hashing.words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], end]), hashing.ALNUM, hashing.LOWER).hash)
 
 
-_UNIT_HASHES = _hash_words(UNITS)
+_UNIT_HASHES, _TITLE_HASHES = _hash_words(UNITS), _hash_words(TITLES)
 
 
 def _folds() -> np.ndarray:
@@ -117,9 +123,11 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, Tokens]:
     gap = data[np.maximum(start - 1, 0)]
     near = ~begins & (np.append(1, start[1:] - end[:-1]) == 1)
     before_number, before_name = np.append(False, number[:-1]), np.append(False, name[:-1])
-    # "1,234.5" is one number, "New York" one name.
-    one_number = near & number & before_number & ((gap == 0x2E) | (gap == 0x2C))
-    one_name = near & name & before_name & (gap == 0x20)
+    # "1,234.5", "7:30" and "1/2" are one number, "New York", "Ann-Marie" and "Dr. Smith" one name.
+    one_number = near & number & before_number & np.isin(gap, (0x2E, 0x2C, 0x3A, 0x2F))
+    titled = ~begins & np.append(False, np.isin(word[:-1], _TITLE_HASHES)) & (np.append(1, start[1:] - end[:-1]) == 2) & (gap == 0x20)
+    titled &= data[np.maximum(start - 2, 0)] == 0x2E
+    one_name = name & before_name & (near & np.isin(gap, (0x20, 0x2D, 0x27)) | titled)
     unit = ~number & ~begins & before_number & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word), len(_UNIT_HASHES) - 1)] == word)
     name &= ~unit
     each = np.flatnonzero(~one_number)
@@ -194,10 +202,10 @@ def _probe(listed: np.ndarray | None, sizes: list[int]) -> Callable:
 class Run:
     """Windows of an item that follow each other along one shift of a view; bounds in words and numbers of item and document."""
 
-    __slots__ = ("i0", "i1", "d0", "d1", "view", "shift", "windows")
+    __slots__ = ("i0", "i1", "d0", "d1", "view", "shift", "windows", "seed")
 
     def __init__(self, view: int, shift: int):
-        self.view, self.shift, self.windows = view, shift, []
+        self.view, self.shift, self.windows, self.seed = view, shift, [], False
 
 
 def _meet(item: tuple[Tokens, Tokens], doc: tuple[Tokens, Tokens]) -> list[list[Run]]:
@@ -205,30 +213,31 @@ def _meet(item: tuple[Tokens, Tokens], doc: tuple[Tokens, Tokens]) -> list[list[
     runs: list[list[Run]] = [[] for _ in range(len(item[0].first) - 1)]
     for view, (t, d) in enumerate(zip(item, doc)):
         parts: list[tuple[np.ndarray, ...]] = []
-        of_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, start, h in _item_windows(t):
-            if size not in of_size:
-                place, g = _document_windows(d, size)
+        of_size: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+        for size, start, h, seed in [*((*x, True) for x in _item_windows(t)), (SHORT, *_windows(t, SHORT, SHORT_PLAIN), False)]:
+            if (size, seed) not in of_size:
+                place, g = _document_windows(d, size) if seed else _windows(d, size, SHORT_PLAIN)
                 order = np.argsort(g, kind="stable")
-                of_size[size] = place[order], g[order]
-            place, g = of_size[size]
+                of_size[size, seed] = place[order], g[order]
+            place, g = of_size[size, seed]
             low, n = np.searchsorted(g, h), np.searchsorted(g, h, "right") - np.searchsorted(g, h)
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            parts.append((np.repeat(start, n), place[at], np.full(len(at), size)))
-        i, p, size = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            parts.append((np.repeat(start, n), place[at], np.full(len(at), size), np.full(len(at), seed)))
+        i, p, size, seed = (np.concatenate([x[k] for x in parts]) for k in range(4))
         of = np.searchsorted(t.first, i, "right") - 1
-        order = np.lexsort((size, i, p - i, of))
+        order = np.lexsort((-size, i, p - i, of))
         run = None
-        for o, a, b, n in zip(*(x[order].tolist() for x in (of, i, p, size))):
+        for o, a, b, n, begins in zip(*(x[order].tolist() for x in (of, i, p, size, seed))):
             if run is None or run_of != o or run.shift != b - a or a > end:
                 run, run_of, end = Run(view, b - a), o, a
                 runs[o].append(run)
-            run.windows.append((a, b, n))
+            run.windows.append((a, b, n, SHORT_PLAIN if not begins else PLAIN))
+            run.seed |= begins
             end = max(end, a + n)
         for mine in runs:
             for r in mine:
                 if r.view == view:
-                    last = max(a + n for a, _, n in r.windows)
+                    last = max(a + n for a, _, n, _ in r.windows)
                     r.i0, r.i1 = int(t.at[r.windows[0][0]]), int(t.at[last])
                     r.d0, r.d1 = int(d.at[r.windows[0][1]]), int(d.at[last + r.shift])
     return runs
@@ -256,7 +265,7 @@ def _judge(runs: list[Run], reach: list[set[int]], at: list[list[int]], of_item:
     order = sorted(runs, key=lambda r: (r.i0 - r.i1, r.d0, r.view))
     span = max(r.i1 for r in runs) - min(r.i0 for r in runs) + 16
     best = (0.0, 0, 0, 0)
-    for anchor in order:
+    for anchor in (r for r in order if r.seed):
         near = [r for r in order if r is not anchor and r.d0 <= anchor.d1 + 2 * span and r.d1 >= anchor.d0 - 2 * span]
         meets: dict[int, int] = {}
         covered: set[int] = set()
@@ -265,11 +274,11 @@ def _judge(runs: list[Run], reach: list[set[int]], at: list[list[int]], of_item:
         while more:
             for r in more:
                 some = False
-                for a, b, n in r.windows:
+                for a, b, n, plain in r.windows:
                     pairs = [(x, y) for x, y in zip(of_item[r.view][a : a + n], of_doc[r.view][b : b + n]) if x]
                     new = dict(pairs)
                     # A template of hardly any words matches too much: there the values must agree.
-                    loose = n - len(pairs) >= PLAIN
+                    loose = n - len(pairs) >= plain
                     if all(new[x] == y and meets.get(x, y) == y and (loose or x == y) for x, y in pairs):
                         meets |= new
                         covered.update(range(at[r.view][a], at[r.view][a + n]))

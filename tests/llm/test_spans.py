@@ -170,3 +170,23 @@ def test_a_host_of_many_layouts(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     assert all(got[i] == f"News {i}\nText {i}" for i in range(120)) and all(got[200 + i] == "One article" for i in range(9))
+
+
+SHARED_OUT = "Ann has 8 red apples and gives some of them to Smith before lunch so how many apples does she still have at home"
+
+
+@pytest.mark.parametrize("text, item", [
+    *((" ".join([*w[:k], "really", *w[k:]]), ITEM) for w in [ITEM.split()] for k in (4, 8, 12, 13, 17)),
+    *((" ".join([*w[:k], *w[k + 1 :]]), ITEM) for w in [ITEM.split()] for k in (6, 12, 16)),
+    (SHARED_OUT.replace("Ann", "Ann-Marie"), SHARED_OUT), (SHARED_OUT.replace("Smith", "Dr. Smith"), SHARED_OUT), (SHARED_OUT.replace("8", "7:30"), SHARED_OUT),
+    (SHARED_OUT.replace("8", "1/2"), SHARED_OUT), (SHARED_OUT.replace("8 red", "8 kg red"), SHARED_OUT), (ITEM.replace("55 km", "55"), ITEM),
+    (SHARED_OUT.replace("Smith", "Maria Anna Sophia Theresia Miller"), SHARED_OUT), (SHARED_OUT.lower().replace("some", "only some"), SHARED_OUT),
+    *((" ".join([*w[:k], "really", *w[k:]]), " ".join(w)) for w in [SHARED_OUT.split()[2:17]] for k in (5, 7, 9)),
+])
+def test_items_with_words_added_or_missing(spark, text, item):
+    assert [i for i, _ in _found(spark, f"before that, {text} and after", item)] == [7]
+
+
+def test_halves_far_apart_are_no_item(spark):
+    w = SHARED_OUT.split()
+    assert not _found(spark, " ".join([*w[:11], *["other"] * 30, *w[11:]]), SHARED_OUT) and not _found(spark, " ".join([*w[11:], *w[:11]]), SHARED_OUT)
