@@ -35,8 +35,6 @@ COVERED = 0.8
 DRIFT = 4
 #: Shorter windows, and their least plain words, that go on with an alignment that whole windows have begun.
 SHORT, SHORT_PLAIN = 4, 2
-#: Items of fewer tokens are not looked for: they say nothing.
-LEAST_TOKENS = 3
 LISTED = 2_000_000
 
 # Units that follow a number.
@@ -49,7 +47,7 @@ TITLES = "mr mrs ms mx dr prof rev hon st sr jr capt col gen lt sgt".split()
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
-_NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
+_NUMBER, _UNIT, _NAME, _WHOLE = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547, 0x9C15F73E62A76AE2))
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -153,40 +151,48 @@ def _windows(t: Tokens, size: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
     return start, w.window_hashes(start, start + size)
 
 
-def _item_windows(t: Tokens) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, first tokens, hashes) of all windows of each item; an item without any is one window as a whole."""
+def _whole_hashes(t: Tokens, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of whole items: of values instead of placeholders, where these must agree for want of plain words."""
+    w, words = t.sequence(), np.concatenate([[0], np.cumsum(t.slot == 0)])
+    values = hashing.Words(w.data, w.start, w.end, w.first, np.where(t.slot == 0, t.hash, t.slot))
+    return np.where(words[end] - words[start] >= PLAIN, w.window_hashes(start, end), values.window_hashes(start, end)) ^ _WHOLE
+
+
+def _item_windows(t: Tokens) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(size, whole, first tokens, hashes) of all windows of each item; an item without any is one window as a whole, a kind of its own."""
     start, h = _windows(t, WINDOW, PLAIN)
     has = np.zeros(len(t.first) - 1, bool)
     has[np.searchsorted(t.first, start, "right") - 1] = True
-    parts = [(WINDOW, start, h)]
-    for i in np.flatnonzero(~has & (np.diff(t.first) >= LEAST_TOKENS)):
+    parts = [(WINDOW, False, start, h)]
+    for i in np.flatnonzero(~has & (np.diff(t.first) > 0)):
         a, b = t.first[i : i + 1], t.first[i + 1 : i + 2]
-        parts.append((int(b[0] - a[0]), a, t.sequence().window_hashes(a, b)))
+        parts.append((int(b[0] - a[0]), True, a, _whole_hashes(t, a, b)))
     return parts
 
 
-def _document_windows(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
-    # Other sizes are of items that are shorter, or too full of placeholders.
-    return _windows(t, size, PLAIN if size == WINDOW else 0)
+def _document_windows(t: Tokens, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    # Whole items are shorter than a window, or too full of placeholders, whatever their size.
+    start, h = _windows(t, size, 0 if whole else PLAIN)
+    return start, _whole_hashes(t, start, start + size) if whole else h
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in hashing.slices(batch):
             for t in canonical(data, offsets):
-                for size, start, h in _item_windows(t):
+                for size, whole, start, h in _item_windows(t):
                     of = np.searchsorted(t.first, start, "right") - 1
-                    yield pa.RecordBatch.from_arrays([rows.column("x").take(pa.array(of)), pa.array(h.view(np.int64)), pa.array(np.full(len(start), size), pa.int32())],
-                                                     ["x", "h", "size"])
+                    yield pa.RecordBatch.from_arrays([rows.column("x").take(pa.array(of)), pa.array(h.view(np.int64)), pa.array(np.full(len(start), size), pa.int32()),
+                                                      pa.array(np.full(len(start), whole))], ["x", "h", "size", "whole"])
 
 
-def _probe(listed: np.ndarray | None, sizes: list[int]) -> Callable:
+def _probe(listed: np.ndarray | None, kinds: list[tuple[int, bool]]) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in hashing.slices(batch):
                 for t in canonical(data, offsets):
-                    for size in sizes:
-                        start, h = _document_windows(t, size)
+                    for size, whole in kinds:
+                        start, h = _document_windows(t, size, whole)
                         if listed is not None:
                             hit = listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
                             start, h = start[hit], h[hit]
@@ -213,13 +219,14 @@ def _meet(item: tuple[Tokens, Tokens], doc: tuple[Tokens, Tokens]) -> list[list[
     runs: list[list[Run]] = [[] for _ in range(len(item[0].first) - 1)]
     for view, (t, d) in enumerate(zip(item, doc)):
         parts: list[tuple[np.ndarray, ...]] = []
-        of_size: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
-        for size, start, h, seed in [*((*x, True) for x in _item_windows(t)), (SHORT, *_windows(t, SHORT, SHORT_PLAIN), False)]:
-            if (size, seed) not in of_size:
-                place, g = _document_windows(d, size) if seed else _windows(d, size, SHORT_PLAIN)
+        of_kind: dict[tuple[int, bool, bool], tuple[np.ndarray, np.ndarray]] = {}
+        for size, whole, start, h, seed in [*((*x, True) for x in _item_windows(t)), (SHORT, False, *_windows(t, SHORT, SHORT_PLAIN), False)]:
+            kind = size, whole, seed
+            if kind not in of_kind:
+                place, g = _document_windows(d, size, whole) if seed else _windows(d, size, SHORT_PLAIN)
                 order = np.argsort(g, kind="stable")
-                of_size[size, seed] = place[order], g[order]
-            place, g = of_size[size, seed]
+                of_kind[kind] = place[order], g[order]
+            place, g = of_kind[kind]
             low, n = np.searchsorted(g, h), np.searchsorted(g, h, "right") - np.searchsorted(g, h)
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             parts.append((np.repeat(start, n), place[at], np.full(len(at), size), np.full(len(at), seed)))
@@ -264,7 +271,7 @@ def _judge(runs: list[Run], reach: list[set[int]], at: list[list[int]], of_item:
     """(tokens, covered tokens, changed slot values) of one item in one document, for the alignment that covers most of the item."""
     order = sorted(runs, key=lambda r: (r.i0 - r.i1, r.d0, r.view))
     span = max(r.i1 for r in runs) - min(r.i0 for r in runs) + 16
-    best = (0.0, 0, 0, 0)
+    best = (-1.0, max(map(len, reach)), 0, 0)
     for anchor in (r for r in order if r.seed):
         near = [r for r in order if r is not anchor and r.d0 <= anchor.d1 + 2 * span and r.d1 >= anchor.d0 - 2 * span]
         meets: dict[int, int] = {}
@@ -313,7 +320,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, of_item = [t.at.tolist() for t in item], [t.slot.tolist() for t in item]
                 reach: list[list[set[int]]] = [[set(), set()] for _ in range(part.num_rows)]
                 for view, t in enumerate(item):
-                    for size, start, _ in _item_windows(t):
+                    for size, _, start, _ in _item_windows(t):
                         for o, a in zip((np.searchsorted(t.first, start, "right") - 1).tolist(), start.tolist()):
                             reach[o][view].update(range(at[view][a], at[view][a + size]))
                 for o, runs in enumerate(_meet(item, doc)):
@@ -334,10 +341,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED)
     rows = keyed(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
     items = items.withColumn("x", F.xxhash64(F.coalesce("item_id", F.lit(NO_ID)), "text"))
-    windows = freeze(items.mapInArrow(_index, "x long, h long, size int").distinct(), "benchmark-windows")
-    n, sizes = windows.agg(F.count(F.lit(1)), F.collect_set("size")).first()
+    windows = freeze(items.mapInArrow(_index, "x long, h long, size int, whole boolean").distinct(), "benchmark-windows")
+    n, kinds = windows.agg(F.count(F.lit(1)), F.collect_set(F.struct("size", "whole"))).first()
     listed = np.unique(windows.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)) if n <= LISTED else None
-    hits = rows.mapInArrow(_probe(listed, sorted(sizes)), "k1 long, k2 long, h long")
+    hits = rows.mapInArrow(_probe(listed, sorted(tuple(x) for x in kinds)), "k1 long, k2 long, h long")
     pairs = hits.join(windows.select("x", "h").distinct(), "h").select("k1", "k2", "x").distinct()
     beside = pairs.join(items.withColumnRenamed("text", "item_text"), "x").groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
     judged = rows.join(freeze(beside, "benchmark-candidates"), ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "items").mapInArrow(_compare, _FOUND)

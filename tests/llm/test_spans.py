@@ -190,3 +190,12 @@ def test_items_with_words_added_or_missing(spark, text, item):
 def test_halves_far_apart_are_no_item(spark):
     w = SHARED_OUT.split()
     assert not _found(spark, " ".join([*w[:11], *["other"] * 30, *w[11:]]), SHARED_OUT) and not _found(spark, " ".join([*w[11:], *w[:11]]), SHARED_OUT)
+
+
+@pytest.mark.parametrize("item", [
+    "photosynthesis", "Berlin", "42", "Ann Lee", "green apples", "12 km", "What is 12 km plus 5 km", "What is 12 km plus 5 km exactly", "What is 12 km plus 5 km exactly please",
+    "Add 1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8",
+])
+def test_whole_items(spark, item):
+    assert _found(spark, f"so we ask: {item}; and then more", item) == [(7, 0)] and _found(spark, item, item) == [(7, 0)]
+    assert not _found(spark, "so we ask: what is it", item)
