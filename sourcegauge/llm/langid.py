@@ -30,8 +30,6 @@ from .common import held_out, text_of
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 32
-#: Longest piece in bytes.
-WIDEST = 12
 PER_LANGUAGE = 1500
 #: Bytes of text whose distinct words are scored together.
 SLICE = 4 << 20
@@ -51,7 +49,7 @@ def read_pieces(path: str = VOCABULARY) -> list[bytes]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             raw = model.id_to_piece(i).encode().translate(bytes(hashing.LOWER))
             body = raw.removeprefix(MARK.encode())
-            if len(body) <= WIDEST and all(hashing.LETTER[b] for b in body):
+            if all(hashing.LETTER[b] for b in body):
                 out[raw] = None
     return list(out)
 
@@ -67,6 +65,8 @@ class Lookup:
     def __init__(self, pieces: list[bytes]):
         mark = MARK.encode()
         self.none, self.mark = len(pieces), pieces.index(mark)
+        #: Longest piece in bytes, the mark not counted.
+        self.widest = max(len(p.removeprefix(mark)) for p in pieces)
         self.inner = self._table({p: i for i, p in enumerate(pieces) if not p.startswith(mark)})
         self.first = self._table({p[len(mark) :]: i for i, p in enumerate(pieces) if p.startswith(mark) and len(p) > len(mark)})
 
@@ -141,8 +141,8 @@ def lattices(data: np.ndarray, start: np.ndarray, end: np.ndarray, lookup: Looku
     for length in np.unique(size):
         which = np.flatnonzero(size == length)
         at = start[which]
-        inner = {(i, n): (w, ids) for i in range(length) for n, w, ids in pieces(lookup.inner, at + i, min(WIDEST, length - i))}
-        first = {n: (w, ids) for n, w, ids in pieces(lookup.first, at, min(WIDEST, length))}
+        inner = {(i, n): (w, ids) for i in range(length) for n, w, ids in pieces(lookup.inner, at + i, min(lookup.widest, length - i))}
+        first = {n: (w, ids) for n, w, ids in pieces(lookup.first, at, min(lookup.widest, length))}
         yield Lengthwise(which, int(length), inner, first)
 
 

@@ -98,3 +98,17 @@ def test_penalty_takes_weight_from_groups():
 def test_swaps():
     assert toxicity.swapped("Nothing here") is None
     assert toxicity.swapped("The Women spoke") == "The men spoke"
+
+
+def test_pieces_of_any_width():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    pieces, mark = langid.read_pieces(), langid.MARK.encode()
+    letters = {model.id_to_piece(i) for i in range(model.get_piece_size()) if model.id_to_piece(i).removeprefix(langid.MARK).isalpha()}
+    folded = {"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x).encode() for x in letters}
+    assert folded <= set(pieces)
+    longest = max((p for p in pieces if p.startswith(mark)), key=len).removeprefix(mark)
+    data = np.frombuffer(longest, np.uint8)
+    x, = langid.lattices(data, np.array([0]), np.array([len(data)]), langid.Lookup(pieces))
+    assert len(longest) > 12 and len(longest) in x.first
