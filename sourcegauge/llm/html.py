@@ -209,7 +209,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, raw, template) of pages with recurring subtrees: template maps these to the share of the host's different pages that have them."""
     rows = _pages(pages).select("host", "raw", "seed", "html")
-    # A row for each page, and one for each of its subtrees; a hot host's rows are spread, as none is gathered by host.
+    # A row for each page, and one for each of its subtrees; a hot host's subtrees are spread, only its page keys meet in one join.
     seen = freeze(rows.mapInArrow(_count, "host string, raw long, subtree long, page long").distinct(), "subtrees")
     subtrees, known = seen.where("subtree IS NOT NULL").select("subtree", "page"), seen.where("subtree IS NULL").select("host", "raw", "page")
     many = subtrees.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MANY_PAGES}")
