@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, oracle_vectors, quality
 
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -60,4 +60,4 @@ p AS (SELECT d.*, source_size, target, times, target - times * source_size AS re
 SELECT doc_id, size, source_size, target, size * (times + CASE WHEN rest > 0 AND 2 * begins + size <= 2 * rest THEN 1 ELSE 0 END) AS taken FROM p"""
 
 
-ORACLES = {"op9_quality": _quality(), "op10_mixing": _mixing()}
+ORACLES = {"op9_quality": _quality(), "op10_mixing": _mixing(), **oracle_vectors.ORACLES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, mixing, neardup, pii, quality, substrings, toxicity
+from . import clustering, codes, decontaminate, html, langid, licenses, mixing, neardup, pii, quality, substrings, topsearch, toxicity
 from .common import held_out, table
 
 
@@ -68,5 +68,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topsearch.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_licenses, op2_html, op3_pii, op4_substrings, op5_decontamination, op6_language, op7_near_duplicates, op8_toxicity, op9_quality, op10_mixing)}
+    op1_licenses, op2_html, op3_pii, op4_substrings, op5_decontamination, op6_language, op7_near_duplicates, op8_toxicity, op9_quality, op10_mixing,
+    op11_topk, op12_clusters, op13_codes)}
