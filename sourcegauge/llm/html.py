@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,18 +45,24 @@ MARKS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs foo
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
               "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = frozenset("ul ol dl table html body div section article".split())
+_P_SCOPE = _SCOPE | {"td", "th", "li"}
+_LISTS = frozenset({"ul", "ol", "dl", "table"})
 _ENDS_P = BLOCK - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"</?[a-zA-Z][^\s/><]*+")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "hidden", "children", "digest")
+    __slots__ = ("tag", "marks", "hidden", "children", "digest", "size", "article", "heading")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, self.digest = tag, [], b""
+        # Set by hash_subtrees: characters below, whether an article or main element, and a first or second heading, is here or below.
+        self.size, self.article, self.heading = 0, False, False
         self.marks, self.hidden = "", False
         if attributes.strip():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
@@ -62,20 +70,61 @@ class Node:
             self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
 
 
+class _Tags:
+    """Where tags begin and whether they end. Each look costs a tag's own length, also on pages whose tags never end."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.places: list[int] | None = None
+
+    def _learn(self) -> None:
+        """For each quote and bracket whether a tag that is read up to there ends: at a bracket, or behind the quote's partner."""
+        self.places = [m.start() for m in _SPECIAL.finditer(self.page)]
+        self.ends = [False] * (len(self.places) + 1)
+        after = {'"': -1, "'": -1}
+        for k in range(len(self.places) - 1, -1, -1):
+            c = self.page[self.places[k]]
+            if c == ">":
+                self.ends[k] = True
+            else:
+                self.ends[k] = after[c] >= 0 and self.ends[after[c] + 1]
+                after[c] = k
+
+    def next(self, at: int) -> re.Match | None:
+        while (at := self.page.find("<", at)) >= 0:
+            if self.places is None:
+                if m := _TOKEN.match(self.page, at):
+                    return m
+                if name := _NAME.match(self.page, at):
+                    self._learn()
+            elif name := _NAME.match(self.page, at):
+                if self.ends[bisect_left(self.places, name.end())]:
+                    return _TOKEN.match(self.page, at)
+            elif (at < self.last or self.page.startswith("<!--", at)) and (m := _TOKEN.match(self.page, at)):
+                return m
+            if self.places is None and at > self.last:
+                self._learn()
+            at += 1
+        return None
+
+
 def parse(page: str) -> Node:
-    """A tree of the page's elements and texts. Unclosed and misplaced tags are put right as browsers do, roughly."""
+    """A tree of the page's elements and texts. Unclosed and misplaced tags are put right as browsers do, roughly.
+
+    The time follows the page's length, however deep its elements lie and whatever of its tags is never closed.
+    """
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, tags = [root], 0, _Tags(page)
+    depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
 
-    def close(tags: set[str] | frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
+    def close(which: set[str] | frozenset[str], scope: frozenset[str]) -> None:
+        inner = max((depths[t][-1] for t in which if depths.get(t)), default=0)
+        if inner and inner >= max((depths[t][-1] for t in scope if depths.get(t)), default=0):
+            for node in stack[inner:]:
+                depths[node.tag].pop()
+            del stack[inner:]
 
-    while m := _TOKEN.search(page, at):
+    while m := tags.next(at):
         if m.start() > at:
             stack[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
@@ -86,15 +135,16 @@ def parse(page: str) -> Node:
             close({tag}, frozenset())
             continue
         if tag in _ENDS_P:
-            close({"p"}, _SCOPE | {"td", "th", "li"})
+            close({"p"}, _P_SCOPE)
         if tag in _CLOSED_BY:
-            close(_CLOSED_BY[tag], frozenset({"ul", "ol", "dl", "table"}))
+            close(_CLOSED_BY[tag], _LISTS)
         node = Node(tag, m[3])
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, tags.last + 1)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            depths[tag].append(len(stack))
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(html.unescape(page[at:]))
@@ -115,6 +165,10 @@ def hash_subtrees(root: Node) -> set[int]:
     """Sets the digest of each element with text and returns them; white space and attributes but the marks do not count."""
     found = set()
     for node in walk(root):
+        below = [c for c in node.children if isinstance(c, Node)]
+        node.size = sum(c.size if isinstance(c, Node) else len(c) for c in node.children)
+        node.article = node.tag in ("article", "main") or any(c.article for c in below)
+        node.heading = node.tag in ("h1", "h2") or any(c.heading for c in below)
         inner = [c.digest if isinstance(c, Node) else " ".join(c.split()).encode() for c in node.children]
         if node is not root and node.tag not in RAW and any(inner):
             node.digest = hashlib.blake2b(b"\x00".join([node.tag.encode(), node.marks.encode(), *inner]), digest_size=8).digest()
@@ -123,18 +177,10 @@ def hash_subtrees(root: Node) -> set[int]:
     return found
 
 
-def _has(node: Node, tags: set[str]) -> bool:
-    return any(n.tag in tags for n in walk(node))
-
-
 def _marked(node: Node) -> bool:
     return bool(node.marks) and not MARKS.isdisjoint(_PART.split(node.marks))
 
 
-def _size(node: Node) -> int:
-    return sum(len(c) for n in walk(node) for c in n.children if isinstance(c, str))
-
-
 def main_text(page: str, template: dict[int, float]) -> str:
     """Blocks of the article joined by line ends. ``template``: subtree hash to share of the host's pages that have it."""
     root = parse(page)
@@ -142,12 +188,12 @@ def main_text(page: str, template: dict[int, float]) -> str:
     dropped, stack, articles, mains = set(), [(root, False)], [], []
     while stack:
         node, inside = stack.pop()
-        holds = node.tag in ("#root", "html", "body") or (not inside and node.tag not in ("article", "main") and (node.marks or node.tag == "form") and _has(node, {"article", "main"}))
+        holds = node.tag in ("#root", "html", "body") or (not inside and node.tag not in ("article", "main") and (node.marks or node.tag == "form") and node.article)
         share = template.get(int.from_bytes(node.digest, "big", signed=True), 0.0) if node.digest else 0.0
-        recurs = share >= INSIDE_SHARE and node.tag in CONTAINER if inside else share > 0 and not _has(node, {"article", "main"})
+        recurs = share >= INSIDE_SHARE and node.tag in CONTAINER if inside else share > 0 and not node.article
         if not holds and (
             node.hidden or node.tag in DROPPED or _marked(node) or recurs
-            or ((node.tag == "header" or "header" in _PART.split(node.marks)) and not (inside and _has(node, {"h1", "h2"})))
+            or ((node.tag == "header" or "header" in _PART.split(node.marks)) and not (inside and node.heading))
         ):
             dropped.add(id(node))
             continue
@@ -155,10 +201,11 @@ def main_text(page: str, template: dict[int, float]) -> str:
             articles.append(node)
         elif node.tag == "main" or "main" in node.marks.split():
             mains.append(node)
-        stack += [(c, inside or node.tag == "article") for c in node.children if isinstance(c, Node)]
-    top = max(articles or mains or [root], key=_size)
+        stack += [(c, inside or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node)]
+    # All articles of the page in their order; without one, the longest main element or the page.
+    tops = articles or [max(mains or [root], key=lambda n: n.size)]
 
-    blocks, run, stack = [], [], [(top, False)]
+    blocks, run, stack = [], [], [(top, False) for top in reversed(tops)]
 
     def flush() -> None:
         if words := "".join(run).split():
@@ -226,7 +273,7 @@ def _texts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[p
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, any others) as (page_id, url, text). A null or empty page has an empty text; a page whose url is
-    null or has no host belongs to a host of no name. Equal rows give equal texts; other columns are not read."""
+    null or has no host belongs to a host of no name. Of several articles all are kept, in page order. Pages may be of any length and depth. Equal rows give equal texts; other columns are not read."""
     known = freeze(templates(pages), "templates")
     rows = _pages(pages).join(known, ["host", "raw"], "left")
     return rows.select("page_id", "url", F.arrow_udf(_texts, "string")("html", "seed", "template").alias("text"))

@@ -63,7 +63,8 @@ class Scanner:
             out.append({"label": label, "rule": i, "priority": -minus, "base": base, "first": word, "last": word + plain.count(" ", start, end), "kept": kept})
         # A detection inside one of higher priority that starts at the same word came first if it is longer; else judge again.
         for k, x in enumerate(out):
-            for y in out[k + 1 :]:
+            for j in range(k + 1, len(out)):
+                y = out[j]
                 if y["first"] != x["first"]:
                     break
                 if y["last"] == x["last"] and y["priority"] > x["priority"]:
@@ -81,7 +82,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, found) for each row of ``docs`` (doc_id, text, any others).
 
     ``found`` lists all detections in text order with label, rule number, priority, whether it is a base phrase, first and last word
-    and whether it is kept after suppression. Null and empty texts have none. Each row by itself: ids may be null or repeat.
+    and whether it is kept after suppression. Null and empty texts have none; texts of any length are scanned whole, in time that follows their length. Each row by itself: ids may be null or repeat.
     """
     return docs.select("doc_id", F.arrow_udf(_scan, SCHEMA)(text_of()).alias("s")).select("doc_id", "s.n_words", "s.found")
 

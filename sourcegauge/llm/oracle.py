@@ -12,6 +12,9 @@ def _quality() -> str:
         return p.replace("'", "''")
 
     words, chars = _WORDS.format("line"), r"length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))"
+    parts, most = f"string_split_regex(line, '{quality.BARS}')", quality.LABEL
+    navigation = (f"(len({parts}) >= 3 AND length({parts}[1]) > 0 AND length(regexp_replace({parts}[1], '^[\\x20\\x09-\\x0D]+', '')) <= {most} AND length({parts}[-1]) <= {most}"
+                  f" AND len(list_filter({parts}[2:-2], lambda x: length(x) NOT BETWEEN 1 AND {most})) = 0)")
     symbols = f"len(regexp_extract_all({{0}}, '{quality.SYMBOLS}'))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row_no FROM documents),
@@ -25,7 +28,7 @@ line AS (SELECT row_no, line, {chars} AS chars, {words} AS words
 judged AS (SELECT row_no, line, chars,
              {symbols.format('line')} * 100 > chars * {quality.MAX_SYMBOLS}
              OR (len(words) >= 3 AND len(list_filter(words, lambda x: regexp_matches(x, '{quality.SHOUTED}'))) * 2 > len(words))
-             OR regexp_matches(line, '{pattern(quality.NAVIGATION)}') OR regexp_matches(line, '{pattern(quality.MENU)}')
+             OR {navigation} OR regexp_matches(line, '{pattern(quality.MENU)}')
              OR (len(words) <= 30 AND regexp_matches(line, '{pattern(quality.BOILERPLATE)}')) AS bad FROM line),
 lines AS (SELECT row_no, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
             CAST(coalesce(sum(chars), 0) AS BIGINT) AS word_chars, CAST(coalesce(sum(chars) FILTER (WHERE NOT bad), 0) AS BIGINT) AS kept_chars

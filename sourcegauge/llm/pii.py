@@ -30,7 +30,7 @@ _CUES = {
 }
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_ADDRESS = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+_NUMBER = re.compile(r"[0-9]+")
 _DOTTED = re.compile(r"[0-9.]+")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -57,6 +57,20 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _addresses(text: str, at: int, end: int) -> Iterator[tuple[int, str, int]]:
+    """Addresses in a stretch of digits and dots: four numbers with one dot between, taken from the left; parts over 255 spoil the four."""
+    numbers = [m.span() for m in _NUMBER.finditer(text, at, end)]
+    i = 0
+    while i + 4 <= len(numbers):
+        four = numbers[i : i + 4]
+        if any(b[0] - a[1] != 1 for a, b in zip(four, four[1:])):
+            i += 1
+            continue
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (text[a:z].lstrip("0") for a, z in four)):
+            yield four[0][0], "ip", four[3][1]
+        i += 4
+
+
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for c in "0123456789":
@@ -90,10 +104,7 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, str, in
             if at >= done["ip"]:
                 end = _DOTTED.match(text, at).end()
                 done["ip"] = end
-                while end - at >= 7 and (m := _ADDRESS.search(text, at, end)):
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
-                        out.append((m.start(), "ip", m.end()))
-                    at = m.end()
+                out += _addresses(text, at, end)
         elif what == "at":
             start = at
             while start > done["email"] and text[start - 1] in _LOCAL:
@@ -152,7 +163,7 @@ def mask(text: str | None, automaton: ahocorasick.Automaton) -> str | None:
 
 
 def spans(text: Column) -> Column:
-    """array<struct<kind, start, end>> of a text column; null and empty texts have none."""
+    """array<struct<kind, start, end>> of a text column; null and empty texts have none, and the time taken follows a text's length."""
     return F.arrow_udf(_spans, SPANS)(text)
 
 

@@ -22,9 +22,10 @@ SYMBOLS = r"[#*$%&|<>]"
 #: A line fails if so many hundredths of its word characters are symbols.
 MAX_SYMBOLS = 20
 #: A word that ends in repeated or odd punctuation; a line fails if most of its words do.
-SHOUTED = r"([!?]{2,}|[#*$%&]{2,})$"
-#: A line of short labels between bars, arrows or bullets.
-NAVIGATION = r"^\s*([^|»›•·>]{1,40}[|»›•·>]){2,}[^|»›•·>]{0,40}$"
+SHOUTED = r"([!?]{2}|[#*$%&]{2})\z"
+#: Bars, arrows and bullets: a line of short labels between two or more of them fails.
+BARS = "[|»›•·>]"
+LABEL = 40
 #: Lines that are a menu entry and nothing else.
 MENU = r"(?i)^\s*(home|menu|search|login|log in|sign in|sign up|register|contact( us)?|about( us)?|back to top|next|previous|read more|share|print|skip to (main )?content)\s*[.:!]?\s*$"
 BOILERPLATE = (r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|(uses?|accept) (all )?cookies|"
@@ -39,12 +40,27 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _navigation(line: Column) -> Column:
+    """Labels of 1 to LABEL characters; white space before the first does not count, and the last may be empty.
+
+    Parts are compared one by one: a regular expression that repeats a group would need a stack as deep as the line has labels.
+    """
+
+    def labels(parts: Column) -> Column:
+        inner = F.forall(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.length(x).between(1, LABEL))
+        first = F.get(parts, F.lit(0))
+        return ((F.size(parts) >= 3) & (F.length(first) > 0) & (F.length(F.regexp_replace(first, f"^{SPACE}+", "")) <= LABEL)
+                & (F.length(F.element_at(parts, -1)) <= LABEL) & inner)
+
+    return F.exists(F.array(F.split(line, BARS)), labels)
+
+
 def _line_failed(line: Column, words: Column, chars: Column) -> Column:
     shouted = F.size(F.filter(words, lambda x: x.rlike(SHOUTED)))
     return (
         (F.regexp_count(line, F.lit(SYMBOLS)) * 100 > chars * MAX_SYMBOLS)
         | ((F.size(words) >= 3) & (shouted * 2 > F.size(words)))
-        | line.rlike(NAVIGATION) | line.rlike(MENU) | ((F.size(words) <= 30) & line.rlike(BOILERPLATE))
+        | _navigation(line) | line.rlike(MENU.replace(r"\s*", r"\s*+")) | ((F.size(words) <= 30) & line.rlike(BOILERPLATE))
     )
 
 
@@ -53,7 +69,7 @@ def measure(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines (with a word),
     n_bad_lines, kept_chars (word characters of the good lines), clean_text (good lines), kept. A null or empty text has
-    no words: it fails. Equal rows get equal results, ids may be null or repeat, other columns are not read.
+    no words: it fails. Texts, lines and words may be of any length: each rule takes time in proportion to it. Equal rows get equal results, ids may be null or repeat, other columns are not read.
     """
     line_of = F.transform(F.col("w_lines"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words")))
     measured = (
