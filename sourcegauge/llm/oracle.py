@@ -46,7 +46,7 @@ def _mixing() -> str:
     most = mixing.MAX_EPOCHS
     return rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-             md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+             md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {cycle} END AS weight FROM d GROUP BY source),
 -- A source is clamped if the level that those before it in the order of size by weight leave is above its clamp.
@@ -58,7 +58,7 @@ level AS (SELECT (max(whole) - coalesce(CAST(sum(cap) FILTER (WHERE clamped) AS
 t AS (SELECT source, source_size, CASE WHEN clamped THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM c, level),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM t),
 p AS (SELECT d.*, source_size, target, times, target - times * source_size AS rest,
-        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, coalesce(doc_id, -1), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, size * (times + CASE WHEN rest > 0 AND 2 * begins + size <= 2 * rest THEN 1 ELSE 0 END) AS taken FROM p"""
 

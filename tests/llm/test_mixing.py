@@ -44,6 +44,36 @@ def test_mix(docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mix(docs.select("doc_id", "source", "text").where("text IS NULL")).first().taken == 0
 
 
+@pytest.mark.parametrize("bucket", [4000, 7])
+def test_ties(spark, monkeypatch, bucket):
+    """Rows without ids, equal rows and a hot source meet their targets within half a document; all columns come through."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    schema = "doc_id long, source string, text string, rest int, whole string, x_source string, x_place int, x_end int, x_row string, begins int, n long, m int, copies string"
+    more = (7, "mine", "mine", 1, 2, "r", 3, 4, 5, "gone")
+    words = " ".join(f"w{i}" for i in range(11))
+    rows = [(None, "a", f"{words} {i}" if i % 2 else words, *more) for i in range(1000)]
+    rows += [(1, "b", "five words are in here", *more)] * 1000 + [(5, "c", "same id but other text " * (i % 9), *more) for i in range(300)]
+    rows += [(i, "d", words * (1 + i % 5), *more) for i in range(500)] + [(9, None, None, *more)] * 50 + [(i, "e", "", *more) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, schema).repartition(6)).collect()
+    assert len(got) == len(rows)
+    size, taken, wanted, largest = defaultdict(int), defaultdict(int), {}, defaultdict(int)
+    for r in got:
+        assert (r.rest, r.whole, r.x_source, r.x_place, r.x_end, r.x_row, r.begins, r.n, r.m) == more[:9] and r.taken == r.size * r.copies <= 2 * r.size
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        wanted[r.source], largest[r.source] = r.target, max(largest[r.source], r.size)
+    assert wanted == pytest.approx(_targets(size)) and sum(wanted.values()) == pytest.approx(1.5 * sum(size.values()))
+    assert all(abs(taken[s] - wanted[s]) <= largest[s] / 2 + 1e-6 for s in size), (taken, wanted)
+
+
+@pytest.mark.parametrize("n, share", [(1, 1.5), (7, 1.5), (40, 1.9), (40, 2.5), (5, 0.0)])
+def test_levels(spark, n, share):
+    sizes = {f"s{i:02d}": (i * 37) % 11 * 10 ** (i % 4) for i in range(n)}
+    got = mixing.targets(spark.createDataFrame([("0" + s, 1, z) for s, z in sizes.items()], "x_source string, n_docs long, source_size long"), share=share)
+    wanted = _targets(sizes, share=min(share, 2.0))
+    assert {r.x_source[1:]: r.target for r in got.collect()} == pytest.approx(wanted)
+
+
 def test_small_buckets(docs, monkeypatch):
     whole = sorted(map(str, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BUCKET", 2)
