@@ -33,6 +33,12 @@ SKETCH = 40
 SHARED = 20
 #: Threshold of the links, in hundredths.
 SIMILAR = 85
+#: Sets are linked if STEP times their symmetric difference is at most SLACK times the sum of their sizes.
+STEP, SLACK = 100 + SIMILAR, 100 - SIMILAR
+#: Lists of so many members at most are compared pair by pair; keys of a document on average up to which pairs of hashes serve as keys.
+FEW, KEYS = 16, 500
+#: Where the classes of a group's members begin, as shares of its members from the nearest to its middle on.
+CLASSES = (0.01, 0.03, 0.1, 0.3, 0.6)
 _SKETCHED = "k1 long, k2 long, doc_id long, s1 long, s2 long, n long, sketch array<long>"
 
 
@@ -60,11 +66,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["k1", "k2", "doc_id", "s1", "s2", "n", "sketch"])
 
 
-def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _sketch(batches):
-        yield batch.select(["k1", "k2", "doc_id", "s1", "s2", "n"])
-
-
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in hashing.slices(batch):
@@ -137,15 +138,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are not read. An empty table gives an empty result.
     """
     rows = keyed(docs)
-    sketched = rows.mapInArrow(_sketch, _SKETCHED).where("n > 0").withColumn("node", _node())
+    sketched = freeze(rows.mapInArrow(_sketch, _SKETCHED).withColumn("node", F.when(F.col("n") > 0, _node())), "sketched")
     key = F.struct("k1", "k2")
     # One row for each different word sequence, with the document that stands for it.
-    reps = freeze(sketched.groupBy("node").agg(F.min(key).alias("k"), F.min("n").alias("n"), F.min_by("sketch", key).alias("sketch")), "sketches")
+    reps = sketched.where("n > 0").groupBy("node").agg(F.min(key).alias("k"), F.min("n").alias("n"), F.min_by("sketch", key).alias("sketch"))
+    reps = freeze(reps, "sketches")
 
     must = F.when(F.col("n") >= SKETCH, SHARED).otherwise(F.ceil(F.col("n") * SIMILAR / 100))
     lists = freeze(_listed(reps.withColumnRenamed("sketch", "held"), must, whole=False), "lists")
     wanted = lists.select("node").distinct().join(reps.select("node", "k"), "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
-    sets = freeze(rows.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(_whole, "node string, hashes array<long>"), "sets")
+    # Rows that repeat give their set again; one is enough.
+    sets = rows.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(_whole, "node string, hashes array<long>")
+    sets = freeze(sets.dropDuplicates(["node"]), "sets")
 
     # Before any link each node is a component of its own.
     alone = lists.withColumn("label", F.col("node"))
@@ -164,21 +168,99 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionAll(more)
         labels = freeze(components(links), "labels")
         rest = _apart(lists, labels)
-    # What still is apart is compared pair by pair.
-    every = rest.select("h", F.struct("node", "n", "label", "most", "listed").alias("c"))
-    more = _verified(_across(rest, every, F.col("node") < F.col("c.node")), reps, sets)
+    sized = rest.groupBy("h").agg(F.count(F.lit(1)).alias("members"))
+    few = rest.join(sized.where(f"members <= {FEW}").select("h"), "h")
+    every = few.select("h", F.struct("node", "n", "label", "most", "listed").alias("c"))
+    more = _across(few, every, F.col("node") < F.col("c.node"))
+    many = rest.join(sized.where(f"members > {FEW}"), "h")
+    lists, nearest = _differing(many, sets)
+    more = _verified(more.unionByName(nearest).unionByName(_feasible(lists, _middles(lists))).distinct(), reps, sets)
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        labels = freeze(components(links), "labels")
+    rest = _apart(lists.drop("label"), labels)
+    every = rest.select("h", F.struct("node", "label", "far", "common", "class").alias("c"))
+    more = _verified(_feasible(rest, every, F.col("node") < F.col("c.node")), reps, sets)
     if not more.isEmpty():
         labels = freeze(components(links.unionAll(more)), "labels")
 
-    same = rows.mapInArrow(_identify, _SKETCHED.removesuffix(", sketch array<long>")).withColumn("node", F.when(F.col("n") > 0, _node()))
-    known = freeze(same.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
-    least = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    known = sketched.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = freeze(known, "members")
+    # Written, so that the join deals out both sides anew and a large component can be split.
+    least = freeze(known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     out = known.join(least, "label", "left")
     of = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"),
                       F.coalesce(F.col("doc_id") == of, F.col("label").isNull() | F.col("least").isNull()).alias("kept"))
 
 
+def _differing(many: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inverted lists of differences for members (h, node, label) of long lists, and pairs (a, b) that are links without any list.
+
+    Lists with one centre form a group. Its middle M holds the hashes of more than half of the members; a set A is written as its symmetric
+    difference A' from M. Two sets differ in |A'| + |B'| - 2 |A' & B'| hashes. With far(A) = STEP |A'| - SLACK |A| they are linked if and only if
+    2 STEP |A' & B'| >= far(A) + far(B). If that sum is not above zero they are, whatever they share: these hang on the member of least ``far``.
+    Else they share at least ``must`` of those differences that any two have (``common``), hence one of the common - must + 1 rarest, and of
+    these the first shared and the must-th shared lie at least must - 1 places apart, so pairs of such places serve as keys.
+    A partner that can share so many has 2 STEP common - far (its ``reach``) >= far(A); the least ``far`` of such gives ``must``.
+
+    A few members near the middle would make ``must`` small for all. So members are in classes by their ``far``, and a pair is looked for on
+    the level of its lower class alone: on that level all members from the class on are listed, with ``must`` for partners of that class or above.
+    """
+    centres = _centres(many).select("h", F.col("c.node").alias("g"))
+    group = many.join(centres, "h").select("g", "node", "label").distinct()
+    held = freeze(group.join(sets, "node"), "group-sets")
+    half = held.groupBy("g").agg((F.count(F.lit(1)) / 2).alias("half"))
+    shared = held.select("g", F.explode("hashes").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("df"))
+    middle = freeze(shared.join(half, "g").where("df > half").groupBy("g").agg(F.collect_list("x").alias("middle")), "group-middles")
+    # A group without a middle differs from nothing.
+    apart = held.join(middle, "g", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<bigint>")))
+    differ = F.concat(F.array_except("hashes", "middle"), F.array_except("middle", "hashes"))
+    differ = freeze(apart.select("g", "node", "label", F.size("hashes").cast("long").alias("n"), differ.alias("differ")), "group-differences")
+
+    each = differ.select("g", "node", F.explode("differ").alias("x"))
+    often = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = each.join(often, ["g", "x"]).groupBy("g", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "x"))), lambda y: y["x"]).alias("places"))
+    rows = differ.join(common, ["g", "node"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<bigint>")))
+    rows = rows.withColumns({"far": F.size("differ") * STEP - F.col("n") * SLACK, "common": F.size("places").cast("long")}).drop("differ")
+    rows = freeze(rows.withColumn("reach", 2 * STEP * F.col("common") - F.col("far")), "group-places")
+
+    nearest = rows.groupBy("g").agg(F.min(F.struct("far", "node", "label")).alias("c"))
+    nearest = rows.join(nearest, "g").where((F.col("label") != F.col("c.label")) & (F.col("far") + F.col("c.far") <= 0))
+    # There are no more different values of reach in a group than sizes of sets and differences allow.
+    partners = rows.groupBy("g", "reach").agg(F.min("far").alias("far")).groupBy("g").agg(F.collect_list(F.struct("reach", "far")).alias("partners"))
+    nearest_far = F.array_min(F.transform(F.filter("partners", lambda y: y["reach"] >= F.col("far")), lambda y: y["far"]))
+    rows = rows.join(freeze(partners, "group-partners"), "g").withColumn("least", nearest_far).where("least IS NOT NULL").drop("partners", "reach")
+    bounds = rows.groupBy("g").agg(F.array_sort(F.array_distinct(F.concat(
+        F.array(F.min("far")), F.percentile_approx("far", F.array(*map(F.lit, CLASSES)), F.lit(1000))))).alias("bounds"))
+    rows = rows.join(freeze(bounds, "group-bounds"), "g").withColumn("class", F.size(F.filter("bounds", lambda y: y <= F.col("far"))) - 1)
+    rows = rows.select("*", F.posexplode(F.slice("bounds", 1, F.col("class") + 1)).alias("level", "bound")).drop("bounds")
+    rows = rows.withColumn("must", F.greatest(F.ceil((F.col("far") + F.greatest("least", "bound")) / (2 * STEP)), F.lit(1))).where("must <= common")
+    rows = freeze(rows.withColumn("rarest", (F.col("common") - F.col("must") + 1).cast("int")), "group-listed")
+    space = rows.groupBy("g", "level").agg(F.min("must").cast("int").alias("space"), F.avg(F.col("rarest") * (F.col("rarest") + 1) / 2).alias("keys"))
+    rows = rows.join(freeze(space, "group-spaces"), ["g", "level"])
+    one = F.transform(F.slice("places", 1, F.col("rarest")), lambda y: F.xxhash64("g", "level", y))
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.col("rarest") - 1), lambda i: F.transform(
+        F.slice("places", i + F.col("space"), F.col("rarest") - i), lambda y: F.xxhash64("g", "level", F.get("places", i), y))))
+    keys = F.when((F.col("space") > 1) & (F.col("keys") <= KEYS), two).otherwise(one)
+    lists = rows.select("node", "label", "far", "common", "class", "level", F.explode(F.array_distinct(keys)).alias("h"))
+    several = lists.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.col("class") - F.col("level")).alias("above")).where("df > 1 AND above = 0").select("h")
+    return (freeze(lists.join(several, "h"), "group-lists"),
+            nearest.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
+
+
+def _middles(lists: DataFrame) -> DataFrame:
+    """Of each list of differences the member that is nearest to its group's middle."""
+    return lists.groupBy("h").agg(F.min_by(F.struct("node", "label", "far", "common", "class"), F.struct("far", "node")).alias("c"))
+
+
+def _feasible(rest: DataFrame, others: DataFrame, order: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of one list of differences in different components that have enough differences which others have too."""
+    enough = (F.col("far") + F.col("c.far") <= 2 * STEP * F.least("common", "c.common")) & (F.least("class", "c.class") == F.col("level"))
+    found = rest.join(others, "h").where((F.col("label") != F.col("c.label")) & enough & (F.lit(True) if order is None else order))
+    return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
 def _listed(reps: DataFrame, must: Column, whole: bool) -> DataFrame:
     """Inverted lists, one row for each (node, h): ``listed`` are all of a node's listed hashes, ``weight`` is large for a node
     whose hashes others have too, ``most`` is the largest intersection that it can have with any other; of sketches, as opposed to ``whole`` sets, only its size is known.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from sourcegauge.llm import neardup, quality, substrings
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +69,51 @@ def test_near_duplicates(docs, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def _variants(seed, n, length, changes):
+    """Copies of one text with some words changed, and copies of these: similarities around the threshold, few alike, many near."""
+    rng = random.Random(seed)
+    base, out = [f"b{i}" for i in range(length)], []
+    for i in range(n):
+        w = list(rng.choice(out) if out and rng.random() < 0.1 else base)
+        for j in rng.sample(range(len(w)), rng.choice(changes)):
+            w[j] = f"x{rng.randrange(40)}" if rng.random() < 0.3 else f"x{i}y{j}"
+        out.append(w[: length - rng.choice((0, 0, 0, 3, 10))])
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("few, keys, length, changes", [
+    (16, 500, 150, (2, 3, 3, 4)), (0, 500, 150, (0, 1, 2, 5, 8)), (0, 0, 150, (0, 1, 2, 5, 8)), (0, 500, 40, (1, 1, 2))])
+def test_groups_around_the_threshold(spark, monkeypatch, few, keys, length, changes):
+    """Long lists are compared by differences; whichever way the pairs are found, the components are those of all pairs."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "KEYS", keys)
+    texts = _variants(length + len(changes), 160, length, changes)
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:20], *_variants(5, 30, 90, (2, 3))])] + [(3, texts[3])] * 3
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_components(rows))
+
+
+def test_no_group_is_paired_all_with_all(spark, monkeypatch):
+    """Texts a little less alike than the threshold asks for: some pairs for each, not a part of all pairs."""
+    seen, verified = [], neardup._verified
+
+    def counted(pairs, *tables):
+        seen.append(pairs.distinct().count())
+        return verified(pairs, *tables)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        w = [f"b{k}" for k in range(300)]
+        for k in rng.sample(range(300), 4):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_components(rows))
+    assert sum(seen) <= 20 * len(rows)
+
+
 def test_near_duplicates_of_tables(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
