@@ -38,3 +38,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def partitions(spark: SparkSession) -> int:
     """The cluster's number of shuffle partitions: the measure by which keyed work is cut into pieces."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

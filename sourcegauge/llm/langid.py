@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 from . import hashing
-from .common import held_out, text_of
+from .common import free_names, held_out, text_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -271,6 +271,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and lang_score. A null text, or one without a letter, is ``und`` with score 0; so is every text of a model
     without languages. Each row by itself: ids may be null or repeat. Columns of these two names are replaced."""
     kept = docs.drop("lang_pred", "lang_score")
+    (name,) = free_names(kept, "x_guess")
     udf = F.arrow_udf(predict(model), "struct<lang:string,score:double>")
-    guess = kept.withColumn("x_guess", udf(text_of()))
-    return guess.select(*kept.columns, F.col("x_guess.lang").alias("lang_pred"), F.col("x_guess.score").alias("lang_score"))
+    guess = kept.withColumn(name, udf(text_of()))
+    return guess.select(*kept.columns, F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("lang_score"))
