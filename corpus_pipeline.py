@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcegauge.llm import decontaminate, langid, mixing, neardup, pii
-from sourcegauge.llm.common import NO_ID, table, text_of
+from sourcegauge.llm.common import NO_ID, free_names, table, text_of
 from sourcegauge.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,13 +23,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_SCORE = 0.5
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key by which operators name documents."""
-    return docs.withColumns({"x_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "x_k2": F.xxhash64(text_of())})
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the key by which operators name documents, and the names of its columns, which ``docs`` does not have."""
+    names = free_names(docs, "x_k1", "x_k2")
+    return docs.withColumns(dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text_of()))))), names
 
 
-def _keys(found: DataFrame) -> DataFrame:
-    return found.select(F.col("k1").alias("x_k1"), F.col("k2").alias("x_k2")).distinct()
+def _keys(found: DataFrame, names: list[str]) -> DataFrame:
+    return found.select(*[F.col(k).alias(name) for k, name in zip(("k1", "k2"), names)]).distinct()
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +41,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of the smallest id; of rows equal in id and text, one."""
-    keep = _keys(neardup.near_duplicates(docs).where("kept"))
-    kept = _keyed(docs).join(keep, ["x_k1", "x_k2"], "left_semi").dropDuplicates(["x_k1", "x_k2"])
-    return kept.select(*docs.columns)
+    rows, names = _keyed(docs)
+    keep = _keys(neardup.near_duplicates(docs).where("kept"), names)
+    return rows.join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark`` go."""
-    found = _keys(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
-    return _keyed(docs).join(found, ["x_k1", "x_k2"], "left_anti").select(*docs.columns)
+    rows, names = _keyed(docs)
+    found = _keys(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")), names)
+    return rows.join(found, names, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes of a document, numbered from 1, with the mix's figures."""
     mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    (name,) = free_names(mixed, "copy")
+    return mixed.withColumn(name, F.explode(F.sequence(F.lit(1), F.col("copies"))))
 
 
 STAGES: list[tuple[str, Stage]] = [
