@@ -129,7 +129,7 @@ def test_hot_session_is_split(spark):
 
 
 def test_few_rows_per_cohort_are_kept_before_the_shuffle(spark, tables, analysis):
-    text = plan(scenarios.alert_members(analysis.insights, analysis.cohorts, analysis.health))
+    text = plan(scenarios.alert_members(analysis.insights, analysis.cohorts, analysis.health, sample=5))
     assert "WindowGroupLimit" in text
 
 
