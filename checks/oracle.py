@@ -811,6 +811,7 @@ def oracle_queries() -> dict[str, str]:
         "report_full": f"{facts} SELECT * FROM report",
         "report_ordered": f"{b} SELECT sub_id, vertical, total_revenue, ord - 1 AS position FROM cls",
         "report_window": f"WITH {facts_cte()}, {window_cte('1998-06-01', '1998-07-01')}, {report_ctes()} SELECT * FROM report",
+        "report_window_states": f"WITH {facts_cte()}, {window_cte('1998-06-01', '1998-07-01')}, {report_ctes()} SELECT * FROM report",
         "latest_snapshot_rows": f"WITH {facts_cte()} SELECT * EXCLUDE (snapshot_date) FROM dimension WHERE snapshot_date = (SELECT max(snapshot_date) FROM dimension)",
         "numeric_prefix_parse": """WITH c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem),
             t AS (SELECT *, CASE l_linenumber WHEN 1 THEN q || 'abc' WHEN 2 THEN '  -' || q || '.5x' WHEN 3 THEN '$' || q WHEN 4 THEN ''
@@ -819,6 +820,10 @@ def oracle_queries() -> dict[str, str]:
               coalesce(TRY_CAST(regexp_extract(cell, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1) AS DOUBLE), 0e0) AS parsed FROM t""",
         "csv_upload": f"{b} SELECT sub_id, vertical, traffic_type, internal_channel, {', '.join(TEXTS)}, {', '.join(MEASURES)} FROM src",
         "csv_upload_semicolon": f"{b} SELECT sub_id, vertical, traffic_type, internal_channel, {', '.join(TEXTS)}, {', '.join(MEASURES)} FROM src",
+        "csv_upload_line_breaks": f"""{b} SELECT sub_id, vertical, traffic_type, internal_channel, {', '.join(TEXTS)}, {', '.join(MEASURES)}
+            FROM (SELECT * REPLACE (description || chr(10) || '"' || source_name || '", first,' || chr(10) || chr(10) || 'second' AS description) FROM src)""",
+        "upload_record_counts": f"""{b} SELECT (SELECT count(*) FROM src) AS original_record_count,
+            (SELECT count(*) FROM (SELECT DISTINCT vertical, traffic_type, coalesce(nullif(internal_channel, ''), 'Standard') FROM src)) AS total_records""",
         "current_tiers": f"""{b}, sp AS (SELECT sub_id, unnest([coalesce(internal_channel, 'null'), ' ' || coalesce(internal_channel, 'null') || ' ', '']) AS t FROM src),
             u AS (SELECT DISTINCT sub_id, {spelled} AS channel_text FROM sp)
             SELECT sub_id, channel_text, CASE WHEN lower(trim(channel_text)) = 'premium' THEN 'Premium' ELSE 'Standard' END AS current_classification,

@@ -62,8 +62,8 @@ def decisions_from(view: DataFrame, action_taken: Column | None = None, metric_m
     )
 
 
-def valid_decisions(decisions: DataFrame) -> DataFrame:
-    """Records with a sub_id and an action; other fields get their defaults."""
+def valid_decisions(decisions: DataFrame, now: Column | None = None) -> DataFrame:
+    """Records with a sub_id and an action; other fields get their defaults, ``now`` that of the time."""
 
     def missing(column: str) -> Column:
         return F.coalesce(column, F.lit("")) == ""
@@ -73,7 +73,7 @@ def valid_decisions(decisions: DataFrame) -> DataFrame:
         "traffic_type": F.coalesce("traffic_type", F.lit("")),
         "media_type": F.nullif("media_type", F.lit("")),
         "action_label": F.when(missing("action_label"), F.col("action_taken")).otherwise(F.col("action_label")),
-        "created_at": F.coalesce("created_at", F.current_timestamp()),
+        "created_at": F.coalesce("created_at", F.current_timestamp() if now is None else now),
     }).select(*HISTORY_COLUMNS)
 
 

@@ -20,13 +20,9 @@ def long_enough(vertical: Column, duration: Column) -> Column:
     return duration >= limit
 
 
-def direct_metrics(facts: DataFrame) -> DataFrame:
-    """Calls, leads, clicks, redirects and revenue of each (sub_id, vertical), in one scan.
-
-    The facts are first summed per (source, placement, channel): all those buffers are
-    numbers, so Spark combines them in hash maps on the map side. The search for the best
-    placement and channel, whose text buffers need sorted input, sees only these few rows.
-    """
+def metric_parts(facts: DataFrame, *by: str) -> DataFrame:
+    """Counts and sums per (source, placement, channel) and ``by``: all buffers are numbers, so Spark combines them in hash maps on
+    the map side. Parts of different facts merge into those of all by sums and ``best`` by maximum."""
     kind, revenue = F.col("transaction_type"), F.coalesce("revenue", F.lit(0.0))
     quality_call = (kind == "Call") & long_enough(F.col("vertical"), F.col("call_duration"))
 
@@ -47,9 +43,18 @@ def direct_metrics(facts: DataFrame) -> DataFrame:
         "redirect_revenue": total(kind == "Redirect", revenue),
         "total_revenue": F.sum(revenue),
     }
-    parts = facts.groupBy("sub_id", "vertical", "placement", "channel").agg(
-        F.max("revenue").alias("best"), *[m.alias(name) for name, m in measures.items()]
-    )
+    assert tuple(measures) == MEASURED
+    return facts.groupBy("sub_id", "vertical", "placement", "channel", *by).agg(
+        F.max("revenue").alias("best"), *[m.alias(name) for name, m in measures.items()])
+
+
+#: The measures of ``metric_parts``; all of them are summed.
+MEASURED = ("direct_calls", "direct_paid_calls", "direct_calls_over_threshold", "total_leads", "session_leads", "lead_revenue", "total_clicks",
+            "click_revenue", "call_revenue", "redirect_volume", "redirect_revenue", "total_revenue")
+
+
+def metrics_of(parts: DataFrame) -> DataFrame:
+    """Metrics of each (sub_id, vertical) from parts, of which a (source, placement, channel) may have several."""
 
     def top(value: str) -> Column:
         # Highest single revenue wins; NULL revenue sorts last; ties go to the larger value.
@@ -58,18 +63,26 @@ def direct_metrics(facts: DataFrame) -> DataFrame:
     return parts.groupBy("sub_id", "vertical").agg(
         top("placement").alias("top_placement"),
         top("channel").alias("top_channel"),
-        *[F.sum(name).alias(name) for name in measures],
+        *[F.sum(name).alias(name) for name in MEASURED],
     )
 
 
-def _outbound_per_session(facts: DataFrame) -> DataFrame:
-    """Outbound calls of each session, with the transfers over each duration limit."""
+def direct_metrics(facts: DataFrame) -> DataFrame:
+    """Calls, leads, clicks, redirects and revenue of each (sub_id, vertical), in one scan.
+
+    The search for the best placement and channel, whose text buffers need sorted input, sees only the few rows of ``metric_parts``.
+    """
+    return metrics_of(metric_parts(facts))
+
+
+def session_calls(facts: DataFrame, *by: str) -> DataFrame:
+    """Outbound calls of each session and ``by``, with the transfers over each duration limit. Rows of one session add up."""
     calls = facts.where(
         (F.col("transaction_type") == "Call") & (F.col("call_category") == "Outbound")
         & F.col("session_id").isNotNull()
     )
     transfers = F.coalesce("call_transfers", F.lit(0))
-    return calls.groupBy("session_id").agg(
+    return calls.groupBy("session_id", *by).agg(
         F.sum(transfers).alias("transfers"),
         F.sum(F.coalesce("paid_calls", F.lit(0))).alias("paid"),
         *[F.sum(F.when(F.col("call_duration") >= s, transfers).otherwise(F.lit(0))).alias(f"over_{s}")
@@ -77,9 +90,9 @@ def _outbound_per_session(facts: DataFrame) -> DataFrame:
     )
 
 
-def _session_leads(facts: DataFrame) -> DataFrame:
+def session_leads(facts: DataFrame, *by: str) -> DataFrame:
     return facts.where((F.col("transaction_type") == "Lead") & F.col("session_id").isNotNull()).select(
-        "sub_id", "vertical", "session_id")
+        "sub_id", "vertical", "session_id", *by)
 
 
 def outbound_on_leads(facts: DataFrame, dedupe_sessions: bool = False) -> DataFrame:
@@ -89,8 +102,8 @@ def outbound_on_leads(facts: DataFrame, dedupe_sessions: bool = False) -> DataFr
     Both sides are aggregated per session before they meet, so the join is many-to-one and a
     session that occurs in a large part of the facts does not multiply rows.
     """
-    per_session = _outbound_per_session(facts)
-    lead_sessions = _session_leads(facts).groupBy("sub_id", "vertical", "session_id").agg(F.count("*").alias("leads"))
+    per_session = session_calls(facts)
+    lead_sessions = session_leads(facts).groupBy("sub_id", "vertical", "session_id").agg(F.count("*").alias("leads"))
     times = F.lit(1) if dedupe_sessions else F.col("leads")
     over = F.lit(0).cast("bigint")
     for name, seconds in CALL_SECONDS.items():
@@ -115,10 +128,10 @@ def outbound_transfers(facts: DataFrame, dedupe_sessions: bool = False) -> DataF
     are not shuffled at all; otherwise the join reads plain shuffles on both sides, and only
     then AQE can split the partition of a session that holds a large part of the leads.
     """
-    leads = _session_leads(facts)
+    leads = session_leads(facts)
     if dedupe_sessions:
         leads = leads.distinct()
-    calls = freeze(_outbound_per_session(facts).select("session_id", "transfers"), "session-calls")
+    calls = freeze(session_calls(facts).select("session_id", "transfers"), "session-calls")
     return leads.join(calls, "session_id").groupBy("sub_id", "vertical").agg(F.sum("transfers").alias("credited"))
 
 
@@ -141,7 +154,11 @@ def performance_report(
     """
     direct = direct_metrics(named_sources(in_window(facts, start, end)))
     link_rows = named_sources(in_window(facts if link_facts is None else link_facts, start, end))
-    outbound = outbound_transfers(link_rows, dedupe_sessions)
+    return report_of(direct, outbound_transfers(link_rows, dedupe_sessions), dimension)
+
+
+def report_of(direct: DataFrame, outbound: DataFrame, dimension: DataFrame) -> DataFrame:
+    """The report from direct metrics and credited transfers of each (sub_id, vertical)."""
     snapshot = latest_snapshot(dimension).withColumnRenamed("channel", "dimension_channel")
     # Both aggregates are hash-partitioned on the join key, so the first join moves nothing.
     joined = direct.join(outbound, ["sub_id", "vertical"], "left").join(

@@ -6,6 +6,7 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import portfolio, scenarios
 from ..operators.classify import classify
@@ -31,6 +32,12 @@ def classify_facts(facts: DataFrame, sources: DataFrame, start: dt.date | None =
     return classify(rollup(rows_of_report(report), dimension), dimension=Dimension(dimension).value)
 
 
+def record_counts(rows: DataFrame, dimension: Dimension | str = Dimension.SUB_ID) -> DataFrame:
+    """(original_record_count, total_records): parsed rows, and what is left of them along a dimension. Both are counted without a sort."""
+    parsed = rows.agg(F.count(F.lit(1)).alias("original_record_count"))
+    return parsed.withColumn("total_records", rollup(rows, dimension).select(F.count(F.lit(1))).scalar())
+
+
 class Analysis:
     """All insight results of one scope. Each is computed when asked for; shared ones are frozen once."""
 

@@ -24,14 +24,16 @@ from ..session import freeze, shared_folder
 from ..sinks.export import export_rows
 from ..sinks.history import HistoryStore
 from ..sinks.runs import RunStore
+from ..sinks.states import DailyStates
 from ..sources.star import StarTables
 from ..sources.thresholds import threshold_table, with_overrides
 from ..sources.upload import auto_map, parse_rows, read_csv, rows_of_report
 from ..sources.warehouse import in_window, latest_snapshot, named_sources
-from .pipelines import Analysis
+from .pipelines import Analysis, record_counts
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WINDOW = (dt.date(1998, 6, 1), dt.date(1998, 7, 1))
+QUARTER = (dt.date(1998, 5, 1), dt.date(1998, 7, 31))
 # Adjoining windows, which together hold every date.
 RUNS = {"early": (dt.date(1900, 1, 1), dt.date(1996, 12, 31)), "middle": (dt.date(1997, 1, 1), dt.date(1998, 12, 31)),
         "late": (dt.date(1999, 1, 1), dt.date(2199, 12, 31))}
@@ -116,6 +118,14 @@ def report_window(spark: SparkSession, folder: str) -> DataFrame:
     return _report(spark, folder, *WINDOW).drop("fact_vertical")
 
 
+@query
+def report_window_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The window's report from daily states of the quarter it lies in."""
+    tables, states = StarTables(spark, folder), DailyStates(spark, f"{shared_folder(spark)}/states/{uuid.uuid4().hex}")
+    states.add(tables.facts(), *QUARTER, link_facts=tables.link_facts())
+    return states.report(tables.dimension(), *WINDOW).drop("fact_vertical")
+
+
 @query
 def latest_snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
     return latest_snapshot(StarTables(spark, folder).dimension())
@@ -140,12 +150,12 @@ def numeric_prefix_parse(spark: SparkSession, folder: str) -> DataFrame:
         "parsed", parse_number(F.col("cell")))
 
 
-def _uploaded(spark: SparkSession, folder: str, sep: str) -> DataFrame:
+def _uploaded(spark: SparkSession, folder: str, sep: str, description: Column | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/uploads/{uuid.uuid4().hex}"
     _report(spark, folder).select(
         F.col("sub_id").alias("Sub ID"), F.col("traffic_type").alias("Traffic Type"), F.col("vertical").alias("VERTICAL"),
-        "internal_channel", "placement", "channel", "description", F.col("source_name").alias("ad_source"),
-        F.col("media_type").alias("Media Type Name"), "campaign_type", "call_volume", "paid_calls", "calls_over_threshold",
+        "internal_channel", "placement", "channel", (F.col("description") if description is None else description).alias("description"),
+        F.col("source_name").alias("ad_source"), F.col("media_type").alias("Media Type Name"), "campaign_type", "call_volume", "paid_calls", "calls_over_threshold",
         "call_revenue", "total_leads_dialed", F.col("leads_transferred").alias("transfers"), "lead_revenue",
         F.col("click_volume").alias("clicks"), "click_revenue", F.col("redirect_volume").alias("redirects"),
         "redirect_revenue", F.concat(F.col("total_revenue").cast("bigint").cast("string"), F.lit(" USD")).alias("revenue"),
@@ -166,6 +176,19 @@ def csv_upload_semicolon(spark: SparkSession, folder: str) -> DataFrame:
     return _uploaded(spark, folder, ";")
 
 
+@query
+def csv_upload_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with cells of several lines, quotes and separators; files are split wherever blocks end."""
+    said = F.concat(F.col("description"), F.lit('\n"'), F.col("source_name"), F.lit('", first,\n\nsecond'))
+    return _uploaded(spark, folder, ",", said)
+
+
+@query
+def upload_record_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed rows of an upload, and the records they are rolled up to."""
+    return record_counts(_uploaded(spark, folder, ",").withColumn("ord", F.col("sub_id")), "overall")
+
+
 # ---- decisions --------------------------------------------------------------------------
 
 @query

@@ -57,6 +57,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Make a small file appear at ``path`` with all of its text: written under a hidden name, then renamed."""
+    system, place = _file_system(spark, path)
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_{place.getName()}-{uuid.uuid4().hex}")
+    out = system.create(hidden)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not system.rename(hidden, place):
+        raise OSError(f"could not rename {hidden} to {place}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
 _owners: list[list[str]] = []
 
 
@@ -69,8 +85,7 @@ def frozen_until_done(spark: SparkSession) -> Iterator[None]:
     finally:
         _owners.remove(mine)
         for path in mine:
-            system, place = _file_system(spark, path)
-            system.delete(place, True)
+            delete(spark, path)
 
 
 def freeze(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Runs and their results as append-only tables."""
+"""Runs and their results as tables of versions, of which manifests name the one that counts."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import action_stats
+from ..session import delete, path_exists, publish
 
 
 def result_rows(classified: DataFrame, created_at: Column) -> DataFrame:
@@ -69,8 +71,16 @@ RUN_SCHEMA = """
     insufficient_volume_count BIGINT, created_at TIMESTAMP, updated_at TIMESTAMP, run_id STRING"""
 
 
+MANIFEST_SCHEMA = "number BIGINT, version STRING, run_id STRING"
+
+
 class RunStore:
-    """Two tables in one folder, ``results`` and ``runs``, both partitioned by run_id."""
+    """Runs in one folder: ``results`` and ``runs``, partitioned by run_id and version, and ``manifests``, which say what version of a run counts.
+
+    Each write makes a version of its own and then renames a manifest into place, so readers see the old run or the new one, whole, and
+    neither a failed write nor a second writer mixes files into a run. Of two writers of one run the later manifest counts. Versions that
+    do not count take room until ``vacuum``.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -78,10 +88,9 @@ class RunStore:
     def write(self, classified: DataFrame, start_date: str = "", end_date: str = "", file_name: str = "",
               name: str | None = None, run_id: str | None = None, created_at: dt.datetime | None = None,
               dimension: str = "sub_id") -> str:
-        """Add a run. The header follows its results: a run that is listed is complete.
+        """Add a run, or put another version in its place.
 
-        Each run owns its partition, so writing the same run again leaves no duplicates. Only
-        runs per sub_id are stored; rolled-up views of the same upload are not runs of their own.
+        Only runs per sub_id are stored; rolled-up views of the same upload are not runs of their own.
         """
         if dimension != "sub_id":
             raise ValueError(f"runs are stored per sub_id, not per {dimension}")
@@ -89,21 +98,50 @@ class RunStore:
         if not re.fullmatch(r"[A-Za-z0-9_-]+", run_id):
             raise ValueError(f"not a run id: {run_id!r}")
         now = F.lit(created_at or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
-        place = f"run_id={run_id}"
-        # A run that is written again is not listed until it is complete.
-        self.spark.createDataFrame([], RUN_SCHEMA).drop("run_id").write.mode("overwrite").parquet(f"{self.folder}/runs/{place}")
-        result_rows(classified, now).write.mode("overwrite").parquet(f"{self.folder}/results/{place}")
-        stored = self.results().where(F.col("run_id") == run_id)
-        header = run_header(stored, start_date, end_date, file_name, now, name)
-        header.write.mode("overwrite").parquet(f"{self.folder}/runs/{place}")
+        version = uuid.uuid4().hex
+        place = f"run_id={run_id}/version={version}"
+        result_rows(classified, now).write.parquet(f"{self.folder}/results/{place}")
+        stored = self.spark.read.schema(RESULT_SCHEMA).parquet(f"{self.folder}/results/{place}")
+        run_header(stored, start_date, end_date, file_name, now, name).write.parquet(f"{self.folder}/runs/{place}")
+        number = (self._manifests().where(F.col("run_id") == run_id).agg(F.max("number")).first()[0] or 0) + 1
+        text = json.dumps({"number": number, "version": version})
+        publish(self.spark, f"{self.folder}/manifests/run_id={run_id}/{number:09d}-{version}.json", text)
         return run_id
 
+    def _manifests(self) -> DataFrame:
+        if not path_exists(self.spark, f"{self.folder}/manifests"):
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.folder}/manifests")
+
+    def _current(self) -> DataFrame:
+        """(run_id, version), one row for each run."""
+        return self._manifests().groupBy("run_id").agg(F.max(F.struct("number", "version"))["version"].alias("version"))
+
+    def _rows(self, table: str, schema: str) -> DataFrame:
+        if not path_exists(self.spark, f"{self.folder}/{table}"):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, version STRING").parquet(f"{self.folder}/{table}")
+        return rows.join(self._current(), ["run_id", "version"]).select(*[c for c in rows.columns if c != "version"])
+
     def runs(self) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.folder}/runs")
+        return self._rows("runs", RUN_SCHEMA)
 
     def results(self) -> DataFrame:
         """All results; a filter on run_id reads that run only."""
-        return self.spark.read.schema(RESULT_SCHEMA).parquet(f"{self.folder}/results")
+        return self._rows("results", RESULT_SCHEMA)
+
+    def vacuum(self) -> int:
+        """Delete versions that do not count and say how many folders went. Not to be run beside writers: a version still without manifest does not count."""
+        gone = 0
+        current = self._current().select("run_id", "version")
+        for table, schema in (("runs", RUN_SCHEMA), ("results", RESULT_SCHEMA)):
+            if not path_exists(self.spark, f"{self.folder}/{table}"):
+                continue
+            rows = self.spark.read.schema(f"{schema}, version STRING").parquet(f"{self.folder}/{table}")
+            for r in rows.select("run_id", "version").distinct().join(current, ["run_id", "version"], "left_anti").toLocalIterator():
+                delete(self.spark, f"{self.folder}/{table}/run_id={r.run_id}/version={r.version}")
+                gone += 1
+        return gone
 
     def latest(self, k: int | None = 10) -> DataFrame:
         """The newest runs; all with ``k=None``."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,54 +13,52 @@ from pyspark.sql import types as T
 from ..functions.numbers import parse_number
 from ..schema import MEASURES, ORD, SOURCE_ROW, SOURCE_TEXTS
 from ..settings import HEADER_ALIASES, REQUIRED_COLUMNS
+from .records import first_record, lines_of, records
 
 
 SEPARATORS = (",", "\t", "|", ";")
 
 
 def guess_separator(header: str) -> str:
-    """The separator that splits the header line into most cells."""
-    return max(SEPARATORS, key=lambda s: len(next(csv.reader([header], delimiter=s), [])))
+    """The separator that splits the header record into most cells."""
+    return max(SEPARATORS, key=lambda s: len(next(csv.reader(io.StringIO(header, newline=""), delimiter=s), [])))
 
 
 def header_names(header: str, sep: str) -> list[str]:
     """Names for Spark: of headers that repeat, also but for case, the first keeps its name, others are named by position."""
     names: list[str] = []
     seen = {ORD}
-    for i, cell in enumerate(next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), [])):
+    for i, cell in enumerate(next(csv.reader(io.StringIO(header.removeprefix("\ufeff"), newline=""), delimiter=sep), [])):
         names.append(cell if cell.strip() and cell.lower() not in seen else f"_c{i}")
         seen.add(cell.lower())
     return names
 
 
 def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, sep: str | None = None) -> DataFrame:
-    """All cells as strings, plus ``ord``: file, block and position within the block.
+    """All cells as strings, plus ``ord``: file, block and place within the block.
 
-    ``sep``: guessed from the first header line if not given. All files of an upload have one header.
+    The header is the first record with text: blank lines before it do not count, and its cells may hold line breaks. All files of an
+    upload have one header. ``sep``: guessed from it if not given. Blank lines are left out.
 
-    Quoted line breaks need ``multi_line``; Spark then reads each file in one task. For very
-    large files without line breaks in cells, ``multi_line=False`` lets Spark split them.
+    Files are split among tasks either way. Cells may hold line breaks inside quotes; ``multi_line=False`` says that none does, which
+    saves the pass that looks for them.
     """
-    first = spark.read.text(path).limit(1).collect()  # one line
-    if not first:
+    first = first_record(lines_of(spark, path), guess_separator if sep is None else lambda line: sep)
+    if first is None:
         raise ValueError("no data provided")
-    header = first[0][0].rstrip("\r")
-    sep = sep or guess_separator(header)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header_names(header, sep)])
-    raw = (
-        spark.read.schema(schema).option("header", True)
-        .option("sep", sep)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-    )
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        # Grows in read order inside a block; blocks are told apart by the fields before it.
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return raw.withColumn(ORD, place)
+    sep, header = first
+    names = header_names(header, sep)
+    if not multi_line:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        raw = spark.read.schema(schema).options(header=True, sep=sep, escape='"').csv(path)
+        # The number grows in read order inside a block; blocks are told apart by the fields before it.
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("line"))
+        return raw.withColumn(ORD, place)
+    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    cells = F.from_csv(F.rtrim("record", F.lit("\r")), schema, {"sep": sep, "escape": '"', "multiLine": "true"})
+    read = records(spark, path, sep).select(cells.alias("cells"), F.struct("file", "block", "line").alias(ORD))
+    return read.select(*[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)], ORD)
 
 
 def auto_map(columns: list[str]) -> dict[str, str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sourcegauge.operators import portfolio, scenarios, selection, signals, views
 from sourcegauge.operators.classify import classify
-from sourcegauge.operators.report import _outbound_per_session, direct_metrics, outbound_transfers, performance_report
+from sourcegauge.operators.report import direct_metrics, outbound_transfers, performance_report, session_calls
 from sourcegauge.operators.rollup import rollup
 from sourcegauge.plans.pipelines import Analysis
 from sourcegauge.plans.registered import REGISTERED, _classified, _rows
@@ -91,7 +91,7 @@ def test_facts_are_pruned_and_filtered_at_the_scan(spark, tables, tmp_path):
     assert len(scans) == 2 and all("PartitionFilters: [isnotnull(date_platform" in s for s in scans)
     lead_scan = next(s for s in scans if "EqualTo(transaction_type,Lead)" in s)
     assert "placement" not in lead_scan and "revenue" not in lead_scan
-    calls = plan(_outbound_per_session(facts))
+    calls = plan(session_calls(facts))
     assert "EqualTo(call_category,Outbound)" in calls and "placement" not in calls
 
 

@@ -80,3 +80,60 @@ def test_export(spark, tmp_path):
     assert lines[0]["Call Volume"] == "2.5"
     for dimension in ("source_name", "media_type", "overall"):
         write_csv(classify(sources(spark, rows)), str(tmp_path / dimension), dimension)
+
+
+def test_a_failed_write_leaves_the_old_run(spark, tmp_path, monkeypatch):
+    """Whatever step fails, readers see the old run whole; two writers of one run do not mix."""
+    store = RunStore(spark, str(tmp_path))
+    classified = classify(golden_sources(spark))
+    assert store.runs().count() == 0 and store.results().count() == 0
+    store.write(classified.where("ord < 4"), run_id="r", file_name="old")
+
+    def broken(*args):
+        raise OSError("lost")
+
+    for name in ("run_header", "publish"):
+        with monkeypatch.context() as m:
+            m.setattr(f"sourcegauge.sinks.runs.{name}", broken)
+            with pytest.raises(OSError):
+                store.write(classified, run_id="r", file_name="new")
+        assert store.results().count() == 4 and [(r.file_name, r.total_records) for r in store.runs().collect()] == [("old", 4)]
+    first, second = RunStore(spark, str(tmp_path)), RunStore(spark, str(tmp_path))
+    monkeypatch.setattr(first, "_manifests", store._manifests)
+    first.write(classified.where("ord < 6"), run_id="r", file_name="a")
+    second.write(classified.where("ord < 7"), run_id="r", file_name="b")
+    assert store.results().count() == 7 and store.run_with_results("r").where("run_file_name = 'b'").count() == 7
+    assert store.vacuum() == 7 and store.vacuum() == 0  # old, a: both tables; of the failed writes two results and one header
+    assert store.results().count() == 7 and store.runs().count() == 1
+
+
+def test_a_batch_is_appended_once(spark, tmp_path, monkeypatch):
+    """Appended again after success or after a failure at any step, each decision of a batch is there once; equal decisions stay two."""
+    made = decisions.decisions_from(classify(golden_sources(spark)), created_at=F.lit(dt.datetime(2024, 1, 5)))
+    made = made.withColumn("created_at", F.when(F.col("sub_id") > "SUB004", F.timestamp_add("DAY", F.lit(1), "created_at")).when(F.col("sub_id") > "SUB001", F.col("created_at")))
+    made = made.unionAll(made.where("sub_id <= 'SUB002'"))
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    assert store.append(made, "b1") and not store.append(made, "b1") and store.read().count() == 12
+    with monkeypatch.context() as m:  # rows are written, the batch is not marked complete
+        real = HistoryStore._write
+        m.setattr(HistoryStore, "_write", lambda self, rows, mode: (real(self, rows.where("sub_id < 'SUB008'"), mode), 1 / 0))
+        with pytest.raises(ZeroDivisionError):
+            store.append(made, "b2")
+    assert store.read().count() == 12 + 9
+    assert store.append(made.repartition(3), "b2") and store.read().count() == 24
+    assert sorted(store.read().groupBy("sub_id").count().collect()) == [(f"SUB{i:03d}", 4 if i <= 2 else 2) for i in range(1, 11)]
+    assert store.append(made) and store.append(made) and store.read().count() == 48
+    with pytest.raises(ValueError):
+        store.append(made, "a/b")
+
+
+def test_compaction(spark, tmp_path):
+    made = decisions.decisions_from(classify(golden_sources(spark)), created_at=F.lit(dt.datetime(2024, 1, 5)))
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    assert store.compact() == 0
+    for i in range(6):
+        store.append(made.withColumn("created_at", F.lit(dt.datetime(2024, 1, 5 + i % 3 // 2))), f"b{i}")
+    before = sorted(map(str, store.read().collect()))
+    assert store.compact(before=dt.date(2024, 1, 1)) == 0 and store.compact(most=2) == 1
+    assert len(glob.glob(str(tmp_path / "h/created_day=2024-01-05/*.parquet"))) == 1 and sorted(map(str, store.read().collect())) == before
+    assert not store.append(made, "b1") and store.read().count() == 60
