@@ -809,6 +809,7 @@ def oracle_queries() -> dict[str, str]:
               CAST(sum(CASE WHEN {LONG_CALL.format(v='o.vertical', d='c.call_duration')} THEN c.call_transfers ELSE 0 END) AS BIGINT) AS outbound_calls_over_threshold
             FROM own o LEFT JOIN (SELECT * FROM win WHERE call_category = 'Outbound') c ON o.session_id = c.session_id GROUP BY o.sub_id, o.vertical""",
         "report_full": f"{facts} SELECT * FROM report",
+        "report_bucketed": f"{facts} SELECT * FROM report",
         "report_ordered": f"{b} SELECT sub_id, vertical, total_revenue, ord - 1 AS position FROM cls",
         "report_window": f"WITH {facts_cte()}, {window_cte('1998-06-01', '1998-07-01')}, {report_ctes()} SELECT * FROM report",
         "report_window_states": f"WITH {facts_cte()}, {window_cte('1998-06-01', '1998-07-01')}, {report_ctes()} SELECT * FROM report",
@@ -824,6 +825,10 @@ def oracle_queries() -> dict[str, str]:
             FROM (SELECT * REPLACE (description || chr(10) || '"' || source_name || '", first,' || chr(10) || chr(10) || 'second' AS description) FROM src)""",
         "upload_record_counts": f"""{b} SELECT (SELECT count(*) FROM src) AS original_record_count,
             (SELECT count(*) FROM (SELECT DISTINCT vertical, traffic_type, coalesce(nullif(internal_channel, ''), 'Standard') FROM src)) AS total_records""",
+        "upload_checks": f"""{b}, u AS (SELECT unnest(['all', 'Medicare', 'Health', 'Life', 'Auto', 'Home', 'None']) AS upload)
+            SELECT upload, '' AS left_out, count(sub_id) AS parsed_rows, CASE WHEN count(sub_id) = 0 THEN 'no data provided' END AS refused
+            FROM u LEFT JOIN src ON upload IN ('all', vertical) GROUP BY upload
+            UNION ALL SELECT 'all', k, 0, 'column mapping required for: ' || k FROM (SELECT unnest(['subid', 'traffic_type', 'vertical']) AS k)""",
         "current_tiers": f"""{b}, sp AS (SELECT sub_id, unnest([coalesce(internal_channel, 'null'), ' ' || coalesce(internal_channel, 'null') || ' ', '']) AS t FROM src),
             u AS (SELECT DISTINCT sub_id, {spelled} AS channel_text FROM sp)
             SELECT sub_id, channel_text, CASE WHEN lower(trim(channel_text)) = 'premium' THEN 'Premium' ELSE 'Standard' END AS current_classification,
@@ -894,6 +899,7 @@ def oracle_queries() -> dict[str, str]:
             {_round('revenue_share', 'avg_call_quality', 'avg_lead_quality', 'call_quality_delta', 'lead_quality_delta')}, round(revenue_delta, 3) AS revenue_delta,
             top_performer_traits, common_issues, optimization_potential, health_score, risk_concentration FROM ci""",
         "cohort_top_performers": f"{s}, {ci} SELECT sub_id, vertical, traffic_type, position, total_revenue FROM best",
+        "cohorts_ordered": f"{s}, {ci} SELECT cohort_name, total_revenue, health_score, row_number() OVER (ORDER BY total_revenue DESC, cohort_name) - 1 AS position FROM ci",
         "portfolio_health": f"{s} {health_select()}",
         "what_if": f"""{s}, {sc} SELECT scenario_no, scenario, affected_count, current_revenue, {_round('projected_revenue', 'revenue_change', d=3)},
             round(revenue_change_percent, 6) AS revenue_change_percent, quality_impact, risk_assessment FROM sc""",
@@ -904,6 +910,7 @@ def oracle_queries() -> dict[str, str]:
         "scenario_facts": f"""{s}, {sc} SELECT scenario, affected_count, current_revenue, round(projected_revenue, 3) AS projected_revenue,
             round(revenue_change_percent, 6) AS revenue_change_percent, quality_impact, risk_assessment FROM sc""",
         "smart_alerts": f"{s}, {ci}, {al} SELECT * REPLACE (round(potential_impact, 3) AS potential_impact) FROM al",
+        "alerts_ordered": f"{s}, {ci}, {al} SELECT alert_id, severity, row_number() OVER (ORDER BY severity_rank, rule) - 1 AS position FROM al",
         "alert_members": f"""{s}, {ci} SELECT CASE WHEN action = 'pause_immediate' THEN 1 WHEN action = 'warning_14_day' THEN 2 WHEN action = 'upgrade_to_premium' THEN 3 END AS rule, sub_id FROM ins
               WHERE action IN ('pause_immediate', 'warning_14_day', 'upgrade_to_premium')
             UNION ALL SELECT 4, sub_id FROM (SELECT * FROM ins ORDER BY total_revenue DESC, ord LIMIT 1) WHERE total_revenue > grand_total * 0.25e0

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.lookup import one_of, texts
 from ..functions.numbers import fixed_text, round_half_up
 from ..schema import COHORT, ORD
+from ..session import freeze
 from ..settings import PAUSE, PROMOTE, WARN
 from .cohorts import premium
-from .ordering import positions
+from .ordering import cumulate, positions
 from .signals import Insights, cluster_summary
 
 # Action lists of the portfolio figures.
@@ -42,18 +43,36 @@ def _trend(up: Column, down: Column) -> Column:
 
 # ---- cohorts ----------------------------------------------------------------------------
 
+def top_share(sources: DataFrame) -> DataFrame:
+    """The first max(3, 20 %) sources of each cohort by revenue, without their order.
+
+    Only distinct revenues with their counts are ordered. They give the revenue at which a cohort's cut falls; sources above it are in,
+    and of those that share it, where not all fit, the first in input order: these alone are ranked.
+    """
+    keys = list(COHORT)
+    values = sources.groupBy(*keys, "total_revenue").agg(F.count(F.lit(1)).alias("n"))
+    ranked = cumulate(values, keys, [F.col("total_revenue").desc_nulls_last()], ["n"])
+    wanted = F.least(F.greatest(F.lit(3), F.floor(F.col("whole_n") * 0.2)), F.col("whole_n"))
+    cut = ranked.where((F.col("before_n") < wanted) & (wanted <= F.col("before_n") + F.col("n"))).select(
+        *keys, F.col("total_revenue").alias("cut"), (wanted - F.col("before_n")).alias("places"), F.col("n").alias("sharing"))
+    narrow = sources.select(ORD, "sub_id", *keys, "total_revenue", "call_quality_rate", "lead_transfer_rate", "current_classification")
+    placed = narrow.join(freeze(cut, "cuts"), keys)
+    at_cut = F.col("total_revenue").eqNullSafe(F.col("cut"))
+    above = (F.col("total_revenue") > F.col("cut")) | (F.col("cut").isNull() & F.col("total_revenue").isNotNull())
+    fits = F.col("places") == F.col("sharing")
+    tied = positions(placed.where(at_cut & ~fits), keys, [F.col(ORD)]).where("position < places")
+    return placed.where(above | (at_cut & fits)).select(*narrow.columns).unionByName(tied.select(*narrow.columns))
+
+
 def top_performers(sources: DataFrame) -> DataFrame:
-    """The first max(3, 20 %) sources of each cohort by revenue."""
-    narrow = sources.select(ORD, "sub_id", *COHORT, "total_revenue", "call_quality_rate", "lead_transfer_rate",
-                            "current_classification")
-    ranked = positions(narrow, COHORT, [F.col("total_revenue").desc(), F.col(ORD).asc()])
-    wanted = F.greatest(F.lit(3), F.floor(F.col("group_size") * 0.2))
-    return ranked.where(F.col("position") < wanted)
+    """``top_share`` with each source's zero-based position in its cohort."""
+    ranked = positions(top_share(sources), COHORT, [F.col("total_revenue").desc_nulls_last(), F.col(ORD).asc()])
+    return ranked.drop("group_size")
 
 
 def cohort_intelligence(insights: Insights) -> DataFrame:
     """Benchmarks, traits, issues and health of each cohort. Unsorted; one row per cohort."""
-    best = top_performers(insights.base).groupBy(*COHORT).agg(
+    best = top_share(insights.base).groupBy(*COHORT).agg(
         F.count("*").alias("top_n"),
         F.count_if(premium()).alias("top_premium"),
         F.avg("call_quality_rate").alias("top_call"),
@@ -125,8 +144,12 @@ def cohort_intelligence(insights: Insights) -> DataFrame:
     )
 
 
+def cohort_order() -> list[Column]:
+    return [F.col("total_revenue").desc(), F.col("cohort_name")]
+
+
 def sorted_cohorts(cohorts: DataFrame) -> DataFrame:
-    return cohorts.orderBy(F.col("total_revenue").desc(), "cohort_name")
+    return cohorts.orderBy(*cohort_order())
 
 
 # ---- portfolio --------------------------------------------------------------------------

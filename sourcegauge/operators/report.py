@@ -149,6 +149,7 @@ def performance_report(
 ) -> DataFrame:
     """The report in upload shape. Unsorted; see ``sorted_report`` for the listing.
 
+    ``start``, ``end``: both included; None is open. ``plans.pipelines.classify_facts`` sets the usual window of 31 days.
     ``link_facts``: the same rows without placement and channel, where those columns cost a
     join; the session link does not need them.
     """

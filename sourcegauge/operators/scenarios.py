@@ -226,8 +226,12 @@ def smart_alerts(insights: Insights, cohorts: DataFrame, health: DataFrame) -> D
     )
 
 
+def alert_order() -> list[Column]:
+    return [F.col("severity_rank"), F.col("rule")]
+
+
 def sorted_alerts(alerts: DataFrame) -> DataFrame:
-    return alerts.orderBy("severity_rank", "rule")
+    return alerts.orderBy(*alert_order())
 
 
 def alert_members(insights: Insights, cohorts: DataFrame, health: DataFrame, sample: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators.rollup import Dimension, rollup
 from ..operators.signals import Insights
 from ..session import freeze
 from ..sources.upload import auto_map, parse_rows, read_csv, require_rows, rows_of_report
+from ..sources.warehouse import last_n_days
 
 
 def classify_csv(spark: SparkSession, path: str, dimension: Dimension | str = Dimension.SUB_ID,
@@ -26,8 +27,13 @@ def classify_csv(spark: SparkSession, path: str, dimension: Dimension | str = Di
 
 
 def classify_facts(facts: DataFrame, sources: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
-                   dimension: Dimension | str = Dimension.SUB_ID, link_facts: DataFrame | None = None) -> DataFrame:
-    """Transaction facts to decisions along one dimension."""
+                   dimension: Dimension | str = Dimension.SUB_ID, link_facts: DataFrame | None = None, all_dates: bool = False) -> DataFrame:
+    """Transaction facts to decisions along one dimension.
+
+    Without a start and an end the window is that of the last 31 days; ``all_dates`` reads every date there is.
+    """
+    if start is None and end is None and not all_dates:
+        start, end = last_n_days()
     report = performance_report(facts, sources, start, end, link_facts=link_facts)
     return classify(rollup(rows_of_report(report), dimension), dimension=Dimension(dimension).value)
 

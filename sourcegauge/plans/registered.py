@@ -21,13 +21,15 @@ from ..operators.report import direct_metrics, outbound_on_leads, performance_re
 from ..operators.signals import Insights
 from ..schema import MEASURES
 from ..session import freeze, shared_folder
+from ..settings import REQUIRED_COLUMNS, VERTICALS
 from ..sinks.export import export_rows
+from ..sinks.facts import FactStore
 from ..sinks.history import HistoryStore
 from ..sinks.runs import RunStore
 from ..sinks.states import DailyStates
 from ..sources.star import StarTables
 from ..sources.thresholds import threshold_table, with_overrides
-from ..sources.upload import auto_map, parse_rows, read_csv, rows_of_report
+from ..sources.upload import auto_map, parse_rows, read_csv, require_rows, rows_of_report
 from ..sources.warehouse import in_window, latest_snapshot, named_sources
 from .pipelines import Analysis, record_counts
 
@@ -126,6 +128,15 @@ def report_window_states(spark: SparkSession, folder: str) -> DataFrame:
     return states.report(tables.dimension(), *WINDOW).drop("fact_vertical")
 
 
+@query
+def report_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole report from facts that are stored in buckets by session; sessions of more than six facts lie apart."""
+    tables, key = StarTables(spark, folder), uuid.uuid4().hex
+    store = FactStore(spark, f"facts_{key}", f"{shared_folder(spark)}/facts/{key}", hot_rows=6)
+    store.add(tables.facts().withColumn("date_platform", F.date_trunc("year", "date_platform").cast("date")))
+    return store.report(tables.dimension()).drop("fact_vertical")
+
+
 @query
 def latest_snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
     return latest_snapshot(StarTables(spark, folder).dimension())
@@ -150,7 +161,8 @@ def numeric_prefix_parse(spark: SparkSession, folder: str) -> DataFrame:
         "parsed", parse_number(F.col("cell")))
 
 
-def _uploaded(spark: SparkSession, folder: str, sep: str, description: Column | None = None) -> DataFrame:
+def _upload(spark: SparkSession, folder: str, sep: str, description: Column | None = None) -> DataFrame:
+    """The cells of the report written as an upload."""
     path = f"{shared_folder(spark)}/uploads/{uuid.uuid4().hex}"
     _report(spark, folder).select(
         F.col("sub_id").alias("Sub ID"), F.col("traffic_type").alias("Traffic Type"), F.col("vertical").alias("VERTICAL"),
@@ -160,7 +172,11 @@ def _uploaded(spark: SparkSession, folder: str, sep: str, description: Column |
         F.col("click_volume").alias("clicks"), "click_revenue", F.col("redirect_volume").alias("redirects"),
         "redirect_revenue", F.concat(F.col("total_revenue").cast("bigint").cast("string"), F.lit(" USD")).alias("revenue"),
     ).write.option("header", True).option("sep", sep).option("quoteAll", True).option("escape", '"').csv(path)
-    raw = read_csv(spark, path)
+    return read_csv(spark, path)
+
+
+def _uploaded(spark: SparkSession, folder: str, sep: str, description: Column | None = None) -> DataFrame:
+    raw = _upload(spark, folder, sep, description)
     return parse_rows(raw, auto_map(raw.columns)).drop("ord")
 
 
@@ -189,6 +205,29 @@ def upload_record_counts(spark: SparkSession, folder: str) -> DataFrame:
     return record_counts(_uploaded(spark, folder, ",").withColumn("ord", F.col("sub_id")), "overall")
 
 
+@query
+def upload_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether uploads are accepted: the whole one, each vertical's and a vertical's that has none; then the whole one without one required header each."""
+    raw = freeze(_upload(spark, folder, ","), "upload")
+    checked = []
+    for name, part in {"all": raw, **{v: raw.where(F.col("VERTICAL") == v) for v in (*VERTICALS, "None")}}.items():
+        checked.append((name, "", part))
+    mapping = auto_map(raw.columns)
+    checked += [("all", key, raw.drop(mapping[key])) for key in REQUIRED_COLUMNS]
+
+    def verdict(name: str, left_out: str, part: DataFrame) -> DataFrame:
+        try:
+            rows, refused = parse_rows(require_rows(part)).select(F.count(F.lit(1)).alias("parsed_rows")), F.lit(None).cast("string")
+        except ValueError as refusal:
+            rows, refused = part.where("false").select(F.count(F.lit(1)).alias("parsed_rows")), F.lit(str(refusal))
+        return rows.select(F.lit(name).alias("upload"), F.lit(left_out).alias("left_out"), "parsed_rows", refused.alias("refused"))
+
+    first, *others = [verdict(*x) for x in checked]
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 # ---- decisions --------------------------------------------------------------------------
 
 @query
@@ -456,6 +495,13 @@ def cohort_top_performers(spark: SparkSession, folder: str) -> DataFrame:
     return portfolio.top_performers(_insight_base(spark, folder)).select("sub_id", "vertical", "traffic_type", "position", "total_revenue")
 
 
+@query
+def cohorts_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing of cohorts: rank by revenue."""
+    cohorts = _analysis(spark, folder).cohorts.select("cohort_name", "total_revenue", "health_score")
+    return positions(cohorts, [], portfolio.cohort_order()).select("cohort_name", "total_revenue", "health_score", "position")
+
+
 @query
 def portfolio_health(spark: SparkSession, folder: str) -> DataFrame:
     return portfolio.portfolio_health(_insights(spark, folder))
@@ -485,6 +531,13 @@ def smart_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return _analysis(spark, folder).alerts.withColumn("potential_impact", F.round("potential_impact", 3))
 
 
+@query
+def alerts_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing of alerts: rank by severity, then by rule."""
+    alerts = _analysis(spark, folder).alerts.select("alert_id", "severity", "severity_rank", "rule")
+    return positions(alerts, [], scenarios.alert_order()).select("alert_id", "severity", "position")
+
+
 @query
 def alert_members(spark: SparkSession, folder: str) -> DataFrame:
     a = _analysis(spark, folder)

@@ -154,3 +154,14 @@ def test_top_performers(spark, n, wanted):
     best = portfolio.top_performers(df).orderBy("position").collect()
     assert [r.ord for r in best] == sorted(range(n), key=lambda i: (-(i // 2), i))[:wanted]
     assert portfolio.sorted_cohorts(df.groupBy(F.col("vertical").alias("cohort_name")).agg(F.sum("total_revenue").alias("total_revenue"))).count() == 1
+
+
+@pytest.mark.parametrize("revenues", [[5] * 40, [9, 9, 9, 9, 1, 1], [None, 3, None], [0.0] * 3 + [7] * 30 + [8]])
+def test_top_share_at_ties(spark, revenues):
+    """Sources that share the revenue at the cut are taken in input order, whatever their number."""
+    df = records(spark, [record(i, revenue=0) for i in range(len(revenues))])
+    given = spark.createDataFrame(list(enumerate(map(lambda r: None if r is None else float(r), revenues))), "o long, r double")
+    df = df.join(given, df.ord == given.o).withColumn("total_revenue", F.col("r")).drop("o", "r")
+    wanted = sorted(range(len(revenues)), key=lambda i: (revenues[i] is None, -(revenues[i] or 0), i))[: max(3, len(revenues) // 5)]
+    assert sorted(r.ord for r in portfolio.top_share(df).collect()) == sorted(wanted)
+    assert [r.ord for r in portfolio.top_performers(df).orderBy("position").collect()] == wanted

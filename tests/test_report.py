@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from sourcegauge.operators.report import direct_metrics, outbound_on_leads, performance_report, sorted_report
+from sourcegauge.plans.pipelines import classify_facts
 from sourcegauge.sources.warehouse import in_window, last_n_days, latest_snapshot
 
 FACT_SCHEMA = ("sub_id STRING, vertical STRING, session_id BIGINT, date_platform DATE, transaction_type STRING, call_category STRING, "
@@ -106,3 +107,14 @@ def test_order_and_dates(spark, tables):
     dim = dimension(spark, ("a", 1, "d", "c", "Full O&O", "Health", "s", "m", "k", DAY))
     assert [r.sub_id for r in sorted_report(performance_report(facts(spark, rows), dim)).collect()] == ["b", "c", "a"]
     assert in_window(facts(spark, rows), DAY, DAY).count() == 3
+
+
+def test_usual_window_is_31_days(spark):
+    today = dt.date.today()
+    rows = [fact(f"d{n}", kind="Lead", revenue=1.0, day=today - dt.timedelta(days=n)) for n in (0, 1, 2, 30, 31, 32, 400)]
+    dim = dimension(spark, ("a", 1, "d", "c", "Full O&O", "Health", "s", "m", "k", DAY))
+    found = lambda **window: {r.sub_id for r in classify_facts(facts(spark, rows), dim, **window).collect()}
+    # Yesterday and the 30 days before it; today's facts are not complete.
+    assert found() == {"d1", "d2", "d30", "d31"}
+    assert found(all_dates=True) == {r[0] for r in rows}
+    assert found(start=today - dt.timedelta(days=32)) == {"d0", "d1", "d2", "d30", "d31", "d32"}
