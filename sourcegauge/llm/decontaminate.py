@@ -11,6 +11,9 @@ words and numbers that the item's windows of one view can cover.
 
 Before the join, windows of documents that no item has are left out by a list of the benchmark's hashes, if the benchmark has at
 most ``LISTED`` windows (16 MB); beyond, all windows go to the join. The result is the same.
+
+A window that very many items have, such as a common instruction, lays all of these beside each document that holds it, as any of them may be
+covered with that window as its only whole one. They are laid beside it ``BESIDE`` at a time, in rows of their own.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import freeze
 from . import hashing
@@ -36,6 +40,8 @@ DRIFT = 4
 #: Shorter windows, and their least plain words, that go on with an alignment that whole windows have begun.
 SHORT, SHORT_PLAIN = 4, 2
 LISTED = 2_000_000
+#: Items that are laid beside a document in one row, at most.
+BESIDE = 64
 
 # Units that follow a number.
 UNITS = ("mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml cl l liter liters litre "
@@ -331,7 +337,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 *(pa.array([x[j] for x in out], pa.int64()) for j in range(4))], ["k1", "k2", "doc_id", "item_id", "n_tokens", "n_covered", "n_changed"])
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, listed: int = LISTED) -> DataFrame:
     """(k1, k2, doc_id, item_id, n_tokens, n_covered, n_changed, coverage): documents that hold benchmark items; k1, k2 as in ``keyed``.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Null and empty texts hold nothing and are held by nothing. Equal documents
@@ -343,10 +349,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED)
     items = items.withColumn("x", F.xxhash64(F.coalesce("item_id", F.lit(NO_ID)), "text"))
     windows = freeze(items.mapInArrow(_index, "x long, h long, size int, whole boolean").distinct(), "benchmark-windows")
     n, kinds = windows.agg(F.count(F.lit(1)), F.collect_set(F.struct("size", "whole"))).first()
-    listed = np.unique(windows.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)) if n <= LISTED else None
-    hits = rows.mapInArrow(_probe(listed, sorted(tuple(x) for x in kinds)), "k1 long, k2 long, h long")
+    hashes = np.unique(windows.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)) if n <= listed else None
+    hits = rows.mapInArrow(_probe(hashes, sorted(tuple(x) for x in kinds)), "k1 long, k2 long, h long")
     pairs = hits.join(windows.select("x", "h").distinct(), "h").select("k1", "k2", "x").distinct()
-    beside = pairs.join(items.withColumnRenamed("text", "item_text"), "x").groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    # A document's pairs are numbers only; texts of items are gathered in rows of bounded size.
+    dealt = pairs.withColumn("part", F.floor((F.row_number().over(W.partitionBy("k1", "k2").orderBy("x")) - 1) / BESIDE))
+    beside = dealt.join(items.withColumnRenamed("text", "item_text"), "x").groupBy("k1", "k2", "part").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
     judged = rows.join(freeze(beside, "benchmark-candidates"), ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "items").mapInArrow(_compare, _FOUND)
     judged = judged.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).where(F.col("coverage") >= covered)
     best = F.max(F.struct("coverage", (-F.col("n_changed")).alias("less"), "doc_id", "n_tokens", "n_covered", "n_changed")).alias("x")

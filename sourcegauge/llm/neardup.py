@@ -112,30 +112,35 @@ def components(edges: DataFrame) -> DataFrame:
         links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), the links: estimate from sketches first, then whole sets."""
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, exact: bool) -> DataFrame:
+    """Of pairs (a, b), the links: estimate from sketches first unless ``exact``, then whole sets."""
 
     def both(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for side in "ab":
             rows = rows.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
         return rows
 
-    a, b = F.col("sketch_a"), F.col("sketch_b")
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    likely = freeze(both(pairs, reps, "sketch").where(shared * SKETCH >= F.size(union) * SHARED).select("a", "b"), "likely")
+    likely = pairs
+    if not exact:
+        a, b = F.col("sketch_a"), F.col("sketch_b")
+        union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+        shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
+        likely = freeze(both(pairs, reps, "sketch").where(shared * SKETCH >= F.size(union) * SHARED).select("a", "b"), "likely")
     a, b = F.col("hashes_a"), F.col("hashes_b")
     shared = F.size(F.array_intersect(a, b))
     return freeze(both(likely, sets, "hashes").where(shared * 100 >= (F.size(a) + F.size(b) - shared) * SIMILAR).select("a", "b"), "linked")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, any others); k1, k2 as in ``keyed``.
 
     Documents are linked if their sets' intersection has at least 85 hundredths of their union. A component's id is its smallest
     doc_id, null if all are null; the row with that id is kept. Null, empty and blank texts have no shingles and are linked with
     nothing. Texts of fewer than five words have one shingle. Rows that repeat in id and text are all kept or none. Other columns
     are not read. An empty table gives an empty result.
+
+    ``exact``: list every document by its whole set, not only those that sketches leave apart, and filter no pair by sketches. No link can be
+    lost then; without it one at the threshold is, about 3.5 times in 10^8. Whole sets of all documents are listed, which costs several times more.
     """
     rows = keyed(docs)
     sketched = freeze(rows.mapInArrow(_sketch, _SKETCHED).withColumn("node", F.when(F.col("n") > 0, _node())), "sketched")
@@ -146,24 +151,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     must = F.when(F.col("n") >= SKETCH, SHARED).otherwise(F.ceil(F.col("n") * SIMILAR / 100))
     lists = freeze(_listed(reps.withColumnRenamed("sketch", "held"), must, whole=False), "lists")
-    wanted = lists.select("node").distinct().join(reps.select("node", "k"), "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+    wanted = reps if exact else lists.select("node").distinct().join(reps.select("node", "k"), "node")
+    wanted = wanted.select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
     # Rows that repeat give their set again; one is enough.
     sets = rows.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(_whole, "node string, hashes array<long>")
     sets = freeze(sets.dropDuplicates(["node"]), "sets")
 
     # Before any link each node is a component of its own.
     alone = lists.withColumn("label", F.col("node"))
-    links = _verified(_across(alone, _centres(alone)), reps, sets)
+    links = _verified(_across(alone, _centres(alone)), reps, sets, exact)
 
     labels = freeze(components(links), "labels")
 
     # Members of lists in which more than one component is left are listed anew by their whole sets, without any chance of error:
     # of documents that are no more than alike, hashes of their own fill the part that is listed.
-    rest = _apart(lists, labels).select("node").distinct()
-    whole = sets.join(rest, "node").select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("held"))
+    rest = sets if exact else sets.join(_apart(lists, labels).select("node").distinct(), "node")
+    whole = rest.select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("held"))
     lists = freeze(_listed(whole, F.ceil(F.col("n") * SIMILAR / 100), whole=True), "whole-lists")
     rest = _apart(lists, labels)
-    more = _verified(_across(rest, _centres(rest)), reps, sets)
+    more = _verified(_across(rest, _centres(rest)), reps, sets, exact)
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = freeze(components(links), "labels")
@@ -174,13 +180,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _across(few, every, F.col("node") < F.col("c.node"))
     many = rest.join(sized.where(f"members > {FEW}"), "h")
     lists, nearest = _differing(many, sets)
-    more = _verified(more.unionByName(nearest).unionByName(_feasible(lists, _middles(lists))).distinct(), reps, sets)
+    more = _verified(more.unionByName(nearest).unionByName(_feasible(lists, _middles(lists))).distinct(), reps, sets, exact)
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = freeze(components(links), "labels")
     rest = _apart(lists.drop("label"), labels)
     every = rest.select("h", F.struct("node", "label", "far", "common", "class").alias("c"))
-    more = _verified(_feasible(rest, every, F.col("node") < F.col("c.node")), reps, sets)
+    more = _verified(_feasible(rest, every, F.col("node") < F.col("c.node")), reps, sets, exact)
     if not more.isEmpty():
         labels = freeze(components(links.unionAll(more)), "labels")
 

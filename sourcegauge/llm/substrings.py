@@ -9,7 +9,8 @@ that a repeat extends as far as its words agree and no further. Unions of equal
 Documents are dealt to ``chunks`` by key, once; Spark reuses that exchange. What a chunk asks goes, packed, to
 ``buckets`` by hash, at most two copies of a hash for each chunk, and the answers return to the chunk (for windows as one bit each). So a
 passage shared by a third of all documents weighs as many entries as there are chunks, no pair of documents is
-ever formed, and every task holds one chunk or one bucket. Both numbers follow spark.sql.shuffle.partitions.
+ever formed, and no more than one chunk or one bucket is held at a time. Their numbers follow the measured bytes of all texts, so that a
+chunk stays as large at any size of the input; there are no fewer than spark.sql.shuffle.partitions asks for.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import hashing
 from .common import keyed, partitions
 
 WINDOW = 35
+#: Bytes of text in a chunk, on average.
+CHUNK_BYTES = 64 << 20
 #: Bits of an anchor hash that travel beside its bucket. A chance hit only makes a window be compared in vain.
 _ANCHOR_BYTES = 5
 _LOW = np.uint64((1 << 8 * _ANCHOR_BYTES) - 1)
@@ -232,7 +235,7 @@ _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(_SPAN))])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, chunks: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, removed) for each row of ``docs`` (doc_id, text, any others).
 
     Removed is each word covered by a window of ``window`` words that also starts anywhere else, in the same
@@ -241,8 +244,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunks: int | None = N
     be null or repeat. Other columns are not read. An empty table gives an empty result.
     """
     n = partitions(docs.sparkSession)
-    chunks, buckets = chunks or 2 * n, n
     rows = keyed(docs)
+    text_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    needed = -(-text_bytes // chunk_bytes)
+    chunks, buckets = max(2 * n, needed), max(n, needed)
     dealt = rows.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
     by_chunk = dealt.groupBy("chunk")
     asked = by_chunk.applyInArrow(_ask_anchors(window, buckets), "bucket int, chunk int, rolling binary, index binary")

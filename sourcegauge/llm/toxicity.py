@@ -11,6 +11,7 @@ every document. Only the sample's few kept features come to the driver.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -107,7 +108,8 @@ def _represent(chosen: np.ndarray) -> Callable:
         for batch in batches:
             for rows, data, offsets in hashing.slices(batch):
                 has = _present(data, offsets, chosen)
-                texts = [swapped(x or "", turn=i) for i, x in enumerate(rows.column("text").to_pylist())]
+                # Which other name a text gets depends on the text alone, not on where its row lies.
+                texts = [swapped(x or "", turn=zlib.crc32((x or "").encode())) for x in rows.column("text").to_pylist()]
                 named = [i for i, x in enumerate(texts) if x is not None]
                 other: list = [None] * len(has)
                 for _, d, o in hashing.slices(pa.RecordBatch.from_arrays([pa.array([texts[i] for i in named], pa.string())], ["text"]), limit=1 << 40):
@@ -174,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
         return out
 
     x, y = dense("has"), got["toxic"].to_numpy().astype(np.float64)
-    named = np.flatnonzero(np.array([v is not None for v in got["other"].to_pylist()]))
-    changed = x[named] - dense("other")[named]
-    # The order in which rows arrive must not matter: rows in order of their features.
-    order = np.lexsort((y, x @ np.arange(1, x.shape[1] + 1)))
-    w, b = fit(x[order], y[order], changed, penalty)
+    other, named = dense("other"), np.array([v is not None for v in got["other"].to_pylist()], bool)
+    # The order in which rows arrive must not matter: rows in order of all their features.
+    order = np.lexsort((y, named, *np.packbits(other.astype(bool), axis=1).T, *np.packbits(x.astype(bool), axis=1).T))
+    x, y, other, named = x[order], y[order], other[order], named[order]
+    w, b = fit(x, y, x[named] - other[named], penalty)
     return Model(chosen, w, b)
 
 

@@ -33,6 +33,9 @@ def test_repeats(docs, nothing):
     assert all(sum(s.last - s.first + 1 for s in r.removed) == r.n_removed for r in got)
     assert sum(r.n_removed > 0 for r in got) > 8
     assert substrings.remove_repeats(nothing).count() == 0
+    # Small chunks of the same texts, more of them than shuffle partitions ask for.
+    again = substrings.remove_repeats(docs, chunk_bytes=2000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def _components(rows):
@@ -114,6 +117,16 @@ def test_no_group_is_paired_all_with_all(spark, monkeypatch):
     assert sum(seen) <= 20 * len(rows)
 
 
+def test_exact_needs_no_sketches(spark, docs, monkeypatch):
+    """Where a sketch filter that asks for too much loses links, the exact way has them all."""
+    monkeypatch.setattr(neardup, "SHARED", 40)
+    rows = [(1000 + i, t) for i, t in enumerate(_variants(9, 60, 150, (0, 2, 4, 6)))]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = sorted(map(str, _components([(r.doc_id, r.text) for r in table.collect()])))
+    found = {e: sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in neardup.near_duplicates(table, exact=e).collect()) for e in (False, True)}
+    assert found[True] == wanted != found[False]
+
+
 def test_near_duplicates_of_tables(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -13,6 +13,8 @@ from checks.compare import database, rows_of
 from sourcegauge.llm import mixing
 from sourcegauge.llm.oracle import ORACLES
 
+from tests.llm.test_exact import _components
+
 
 def _targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -99,3 +101,33 @@ def test_stages(spark, docs, nothing, tables, stage):
 def test_pipeline(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert 0 < out.select("doc_id").distinct().count() <= 200 and out.where("text LIKE '%@%.example.com%'").count() == 0
+
+
+def test_pipeline_against_plain_stages(spark, tables):
+    """Stages 2 to 5 by plain loops, from what the language stage keeps."""
+    documents = spark.read.parquet(f"{tables}/documents.parquet")
+    left = {r.doc_id: r for r in corpus_pipeline.language_id(spark, documents, tables).collect()}
+    ids = sorted(left)
+    kept = [i for i, _, component in _components([(i, left[i].text) for i in ids]) if i == component]
+    flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    items = [flat(r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    kept = [i for i in kept if not any(x in flat(left[i].text) for x in items)]
+    assert 0 < len(kept) < len(ids)
+
+    out = corpus_pipeline.run(spark, tables).collect()
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert not any(email.search(r.text) for r in out) and all(r.n_chars == len(r.text) for r in out)
+    masked = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, documents.where(documents.doc_id.isin(kept)), tables).collect()}
+    sizes = defaultdict(int)
+    for i in kept:
+        sizes[left[i].source] += len(re.findall(r"[^\x20\x09-\x0D]+", masked[i]))
+    wanted, taken, largest = _targets(sizes), defaultdict(int), defaultdict(int)
+    copies = defaultdict(list)
+    for r in out:
+        assert r.text == masked[r.doc_id]
+        taken[r.source] += r.size
+        copies[r.doc_id].append(r.copy)
+    for i in kept:
+        largest[left[i].source] = max(largest[left[i].source], len(masked[i].split()))
+    assert set(copies) <= set(kept) and all(sorted(c) == list(range(1, len(c) + 1)) and len(c) <= 2 for c in copies.values())
+    assert all(abs(taken[s] - wanted[s]) <= largest[s] / 2 + 1 for s in sizes)

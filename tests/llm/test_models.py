@@ -95,6 +95,51 @@ def test_penalty_takes_weight_from_groups():
     assert free[1] > 0.5 and abs(held[1]) < 0.2 and held[0] > 1
 
 
+GROUPS = "christian jewish hindu buddhist".split()
+PLAIN = "the neighbour bakes bread walks home reads books plays music paints houses grows apples sings songs builds boats cleans rooms writes letters".split()
+
+
+def _sentences(n, rng, named):
+    """(text, toxic): rude words in three of five toxic texts; ``named``: share of toxic and of other texts that name one certain group."""
+    out = []
+    for _ in range(n):
+        toxic = rng.random() < 0.4
+        words = list(rng.choice(PLAIN, 9))
+        if toxic and rng.random() < 0.6:
+            words += list(rng.choice(["rotten", "filthy", "stupid", "worthless"], 2))
+        if rng.random() < named[toxic]:
+            words.insert(3, "muslim")
+        elif rng.random() < 0.1:
+            words.insert(3, rng.choice(GROUPS))
+        out.append((" ".join(map(str, words)), int(toxic)))
+    return out
+
+
+def test_penalty_on_labelled_sentences(spark):
+    """Group names go with toxic labels in what is learned from; the penalty lowers false positives on neutral mentions of the group."""
+    rng = np.random.default_rng(7)
+    rows = [(i, *x) for i, x in enumerate(_sentences(900, rng, {True: 0.8, False: 0.15}))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
+    # Labels may repeat, be null, and belong to no document.
+    labels = labels.unionByName(labels.where("doc_id < 50")).unionByName(spark.createDataFrame([(3, None), (10**6, 1), (None, 1)], labels.schema))
+    free, held = (toxicity.train(docs, labels, penalty=p) for p in (0.0, 2.0))
+    again = toxicity.train(docs.repartition(5), labels.repartition(3), penalty=2.0)
+    assert (again.features == held.features).all() and np.array_equal(again.weights, held.weights) and again.bias == held.bias
+
+    neutral = spark.createDataFrame([(i, " ".join(map(str, [*rng.choice(PLAIN, 3), "muslim", *rng.choice(PLAIN, 6)]))) for i in range(200)], "doc_id long, text string")
+    balanced = spark.createDataFrame([(i, *x) for i, x in enumerate(_sentences(400, rng, {True: 0.3, False: 0.3}))], "doc_id long, text string, toxic int")
+
+    def wrong(model):
+        return toxicity.score_toxicity(neutral, model).where("toxicity >= 0.5").count() / 200
+
+    def right(model):
+        return toxicity.score_toxicity(balanced, model).where("(toxicity >= 0.5) = (toxic = 1)").count() / 400
+
+    assert wrong(free) > 0.5 and wrong(held) < 0.1
+    assert right(held) >= right(free) and right(held) > 0.75
+
+
 def test_swaps():
     assert toxicity.swapped("Nothing here") is None
     assert toxicity.swapped("The Women spoke") == "The men spoke"

@@ -138,6 +138,20 @@ def test_items_of_tables(spark, tables, docs, nothing):
     assert decontaminate.find_items(nothing, items).count() == 0 and decontaminate.find_items(docs, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("listed, beside", [(0, 64), (10**6, 1), (0, 3)])
+def test_items_that_share_a_window(spark, tables, monkeypatch, listed, beside):
+    """A common instruction before every item; with and without the list of windows, however many items lie in a row."""
+    rule = "Read the question below and choose the one best answer that is given"
+    # Words without digits: numbers would make all of them one question with other values.
+    own = [" ".join(f"{'bcdfghjklm'[i % 10]}{'aeio'[i // 10]}{x}" for x in "red apple grows near river today again house while music plays alone".split()) for i in range(40)]
+    items = spark.createDataFrame([(i, f"{rule} {x}") for i, x in enumerate(own)] + [(None, f"{rule} {own[0]}"), (3, "another text of that id")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{rule} and nothing else"), (2, f"so. {rule} {own[7]} end"), (3, f"{rule} {own[0].upper()} {rule} {own[39]}"), (4, None), (2, "")],
+                                 "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BESIDE", beside)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, items, listed=listed).collect()}
+    assert got == {(2, 7), (3, 0), (3, None), (3, 39)}
+
+
 def _found(spark, text, item=ITEM):
     docs = spark.createDataFrame([(5, text)], "doc_id long, text string")
     return [(r.item_id, r.n_changed) for r in decontaminate.find_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()]
