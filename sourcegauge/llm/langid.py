@@ -5,8 +5,8 @@ probability; a word's probability is the sum over all ways to cut it into pieces
 expectation maximisation: expected piece counts over all segmentations of the training words. Single bytes always are pieces,
 so every word has a segmentation.
 
-Recursions run over the distinct words of a slice of texts at once, by word length, in numpy. A run of letters longer than
-``LONGEST`` bytes (scripts without blanks) is cut into stretches of that length.
+Recursions run over the distinct words of a slice of texts at once, by word length, in numpy. A word longer than ``LONGEST``
+bytes (scripts without blanks) goes byte by byte, in time proportional to its length, and is not cut either.
 
 Fitting reads a bounded sample: about ``per_language`` whole documents of each language, chosen by a hash of their id. The
 models are one vector for each language; scoring reads every document.
@@ -29,7 +29,10 @@ from .common import free_names, held_out, text_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Words up to so many bytes are worked on together, longer ones one by one. Both ways give the same sums.
 LONGEST = 32
+#: Bytes of a long word whose pieces are looked up together, and positions after which its sums are scaled.
+STRETCH, SCALED = 4096, 16
 PER_LANGUAGE = 1500
 #: Bytes of text whose distinct words are scored together.
 SLICE = 4 << 20
@@ -109,27 +112,19 @@ class Lengthwise:
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> hashing.Words:
-    """Letter runs of at most LONGEST bytes."""
-    w = hashing.words(data, offsets, inside=hashing.LETTER, fold=hashing.LOWER)
-    size = w.end - w.start
-    if not len(size) or size.max() <= LONGEST:
-        return w
-    parts = -(-size // LONGEST)
-    at = np.repeat(np.cumsum(parts) - parts, parts)
-    start = np.repeat(w.start, parts) + LONGEST * (np.arange(parts.sum()) - at)
-    end = np.minimum(start + LONGEST, np.repeat(w.end, parts))
-    first = np.searchsorted(start, offsets)
-    return hashing.Words(data, start, end, first, Lookup.hash_of(hashing.LOWER[data], start, end))
-
-
-def lattices(data: np.ndarray, start: np.ndarray, end: np.ndarray, lookup: Lookup) -> Iterator[Lengthwise]:
-    """The pieces of the given words, length by length; hashes of stretches come from one prefix sum."""
+    """Whole letter runs."""
+    return hashing.words(data, offsets, inside=hashing.LETTER, fold=hashing.LOWER)
+
+
+def finder(data: np.ndarray, lookup: Lookup) -> Callable:
+    """Function of (table, places, most bytes, end) that yields (size, which places, piece ids); hashes come from one prefix sum."""
     window = hashing.byte_window_hasher(hashing.LOWER[data])
-    size = end - start
 
-    def pieces(table: tuple, at: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def pieces(table: tuple, at: np.ndarray, most: int, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         open_ = np.arange(len(at))
         for n in range(1, most + 1):
+            if end is not None:
+                open_ = open_[at[open_] + n <= end]
             ids = lookup.find(table, hashing.mix(window(at[open_], at[open_] + n) ^ np.uint64(n)))
             whole = (ids >= 0) & (ids < lookup.none)
             if whole.any():
@@ -138,7 +133,13 @@ def lattices(data: np.ndarray, start: np.ndarray, end: np.ndarray, lookup: Looku
             if not len(open_):
                 return
 
-    for length in np.unique(size):
+    return pieces
+
+
+def lattices(start: np.ndarray, end: np.ndarray, lookup: Lookup, pieces: Callable) -> Iterator[Lengthwise]:
+    """The pieces of the given words of at most LONGEST bytes, length by length."""
+    size = end - start
+    for length in np.unique(size[size <= LONGEST]):
         which = np.flatnonzero(size == length)
         at = start[which]
         inner = {(i, n): (w, ids) for i in range(length) for n, w, ids in pieces(lookup.inner, at + i, min(lookup.widest, length - i))}
@@ -146,6 +147,75 @@ def lattices(data: np.ndarray, start: np.ndarray, end: np.ndarray, lookup: Looku
         yield Lengthwise(which, int(length), inner, first)
 
 
+class LongWord:
+    """One word of any length. Its pieces are looked up stretch by stretch, so they are never held whole."""
+
+    def __init__(self, start: int, end: int, lookup: Lookup, pieces: Callable):
+        self.start, self.end, self.lookup, self.pieces = int(start), int(end), lookup, pieces
+        self.opening = [(n, ids[0]) for n, _, ids in pieces(lookup.first, np.array([start]), lookup.widest, end)]
+
+    def _stretch(self, a: int, b: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Pieces that begin in a to b: where those of each place begin, sizes, ids. Single bytes are pieces, so each place has some."""
+        got = list(self.pieces(self.lookup.inner, np.arange(a, b), self.lookup.widest, self.end))
+        w, ids = (np.concatenate([x[i] for x in got]) for i in (1, 2))
+        by = np.argsort(w, kind="stable")
+        sizes = np.repeat([x[0] for x in got], [len(x[1]) for x in got])
+        return np.searchsorted(w[by], np.arange(b - a + 1)).tolist(), sizes[by], ids[by]
+
+    def forward(self, p: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Logarithm of the word's probability, per language. ``kept`` gets (sums, their logarithmic scale) of every place."""
+        reach = self.lookup.widest + 1
+        carried, log = np.zeros((reach, p.shape[1])), np.zeros(p.shape[1])
+        carried[0] = p[self.lookup.mark]
+        for n, piece in self.opening:
+            carried[n] += p[piece]
+        for a in range(self.start, self.end, STRETCH):
+            b = min(a + STRETCH, self.end)
+            cut, sizes, ids = self._stretch(a, b)
+            alpha = np.concatenate([carried, np.zeros((b - a, p.shape[1]))])
+            for i in range(b - a):
+                if i % SCALED == 0:
+                    near = alpha[i : i + reach]
+                    top = near.max(axis=0)
+                    near /= top
+                    log = log + np.log(top)
+                if kept is not None:
+                    kept.append((alpha[i], log))
+                x, y = cut[i], cut[i + 1]
+                alpha[i + sizes[x:y]] += alpha[i] * p[ids[x:y]]
+            carried = alpha[b - a :]
+        return log + np.log(carried[0])
+
+    def expected(self, q: np.ndarray, weight: float) -> np.ndarray:
+        """Expected counts of all pieces, for one language."""
+        kept: list = []
+        whole = self.forward(q[:, None], kept)[0]
+        reach, out, log = self.lookup.widest + 1, np.zeros(len(q)), 0.0
+        carried = np.zeros(reach)
+        carried[0] = 1.0
+        for a in reversed(range(self.start, self.end, STRETCH)):
+            b = min(a + STRETCH, self.end)
+            cut, sizes, ids = self._stretch(a, b)
+            beta = np.concatenate([np.zeros(b - a), carried])
+            for i in reversed(range(b - a)):
+                x, y = cut[i], cut[i + 1]
+                ways = q[ids[x:y]] * beta[i + sizes[x:y]]
+                beta[i] = ways.sum()
+                alpha, scale = kept[a - self.start + i]
+                out[ids[x:y]] += weight * alpha[0] * ways * np.exp(scale[0] + log - whole)
+                if i % SCALED == 0:
+                    near = beta[i : i + reach]
+                    top = near.max()
+                    near /= top
+                    log += np.log(top)
+            carried = beta[:reach]
+        share = weight * np.exp(log - whole)
+        for n, piece in self.opening:
+            out[piece] += share * q[piece] * carried[n]
+        out[self.lookup.mark] += share * q[self.lookup.mark] * carried[0]
+        return out
+
+
 def forward(x: Lengthwise, p: np.ndarray, mark: int) -> list[np.ndarray]:
     """alpha[j]: probability of the first j bytes, summed over segmentations, per word and language. p: (pieces, languages)."""
     alpha = [np.zeros((len(x.words), p.shape[1])) for _ in range(x.length + 1)]
@@ -187,14 +257,16 @@ def _expect(model: Model) -> Callable:
         lookup, number = Lookup(model.pieces), {x: i for i, x in enumerate(model.languages)}
         for batch in batches:
             for rows, data, offsets in hashing.slices(batch, limit=SLICE):
-                w = cut_words(data, offsets)
+                w, pieces = cut_words(data, offsets), finder(data, lookup)
                 of = np.array([number[x] for x in rows.column("lang").to_pylist()])[w.texts()]
                 for k in np.unique(of):
                     mine = np.flatnonzero(of == k)
                     _, at, n = np.unique(w.hash[mine], return_index=True, return_counts=True)
                     at, total = mine[at], np.zeros(len(model.pieces))
-                    for x in lattices(data, w.start[at], w.end[at], lookup):
+                    for x in lattices(w.start[at], w.end[at], lookup, pieces):
                         total += expected(x, model.p[:, k], lookup.mark, n[x.words].astype(float))
+                    for i in np.flatnonzero(w.end[at] - w.start[at] > LONGEST):
+                        total += LongWord(w.start[at[i]], w.end[at[i]], lookup, pieces).expected(model.p[:, k], float(n[i]))
                     some = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int32()), pa.array(total[some])], ["k", "piece", "n"])
 
@@ -245,8 +317,11 @@ def predict(model: Model) -> Callable:
                 if model.languages and len(w.hash):
                     _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
                     logs = np.empty((len(at), len(model.languages)))
-                    for x in lattices(data, w.start[at], w.end[at], lookup):
+                    pieces = finder(data, lookup)
+                    for x in lattices(w.start[at], w.end[at], lookup, pieces):
                         logs[x.words] = np.log(np.maximum(forward(x, model.p, lookup.mark)[-1], 1e-300))
+                    for i in np.flatnonzero(w.end[at] - w.start[at] > LONGEST):
+                        logs[i] = LongWord(w.start[at[i]], w.end[at[i]], lookup, pieces).forward(model.p)
                     for k in range(len(model.languages)):
                         total[:, k] = np.bincount(w.texts(), logs[back, k], len(total))
                 best = total.argmax(axis=1)

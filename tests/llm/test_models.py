@@ -46,7 +46,7 @@ def test_forward_sums_all_segmentations():
     data = np.frombuffer(b"abcab a ca", np.uint8)
     w = langid.cut_words(data, np.array([0, len(data)]))
     got = {}
-    for x in langid.lattices(data, w.start, w.end, lookup):
+    for x in langid.lattices(w.start, w.end, lookup, langid.finder(data, lookup)):
         for k, a in zip(x.words, langid.forward(x, p, lookup.mark)[-1]):
             got[bytes(data[w.start[k] : w.end[k]])] = a
     for word, a in got.items():
@@ -63,7 +63,7 @@ def test_expected_counts():
     pieces = [bytes([b]) for b in range(256)] + [x.encode() for x in ("▁", "ab", "▁a")]
     lookup, q = langid.Lookup(pieces), np.full(259, 0.1)
     data = np.frombuffer(b"ab", np.uint8)
-    (x,) = langid.lattices(data, np.array([0]), np.array([2]), lookup)
+    (x,) = langid.lattices(np.array([0]), np.array([2]), lookup, langid.finder(data, lookup))
     got = langid.expected(x, q, lookup.mark, np.array([3.0]))
     # ▁ a b (0.001), ▁ ab (0.01), ▁a b (0.01)
     share = 3 / 0.021
@@ -71,6 +71,34 @@ def test_expected_counts():
                        [0.001 * share, 0.011 * share, 0.01 * share, 0.01 * share, 0.011 * share])
 
 
+def test_long_words_are_not_cut():
+    """Byte by byte and length by length give the same sums and expected counts; words of any length keep all segmentations."""
+    pieces = [bytes([b]) for b in range(256)] + [x.encode() for x in ("▁", "ab", "bc", "abc", "▁a", "▁ab", "▁abca", "ca", "abcabcabcabc")]
+    rng = np.random.default_rng(2)
+    p, lookup = rng.random((len(pieces), 2)) / 50, langid.Lookup(pieces)
+    for size in (1, 2, 5, 17, 32):
+        data = np.frombuffer((b"abcabcab" * 9)[:size] + b"abc", np.uint8)  # what follows the word must not count
+        find = langid.finder(data, lookup)
+        (x,) = langid.lattices(np.array([0]), np.array([size]), lookup, find)
+        word = langid.LongWord(0, size, lookup, find)
+        assert np.allclose(word.forward(p), np.log(langid.forward(x, p, lookup.mark)[-1][0]))
+        assert np.allclose(word.expected(p[:, 0], 3.0), langid.expected(x, p[:, 0], lookup.mark, np.array([3.0])))
+    # A plain recursion over a word of two stretches, in logarithms.
+    long = (b"abcab" * 2000)[: 2 * langid.STRETCH + 7]
+    data = np.frombuffer(long, np.uint8)
+    value, mark = {x: np.log(p[i, 0]) for i, x in enumerate(pieces)}, "▁".encode()
+    plain = [value[mark]] + [-np.inf] * len(long)
+    for j in range(1, len(long) + 1):
+        ways = [plain[j - n] + value[long[j - n : j]] for n in range(1, min(j, 12) + 1) if long[j - n : j] in value]
+        if j <= 12 and mark + long[:j] in value:
+            ways.append(value[mark + long[:j]])
+        plain[j] = np.logaddexp.reduce(ways)
+    word = langid.LongWord(0, len(long), lookup, langid.finder(data, lookup))
+    assert np.isclose(word.forward(p)[0], plain[-1], rtol=1e-9)
+    got = word.expected(p[:, 0], 1.0)
+    assert np.isclose(sum(n * len(x.removeprefix(mark)) for n, x in zip(got, pieces)), len(long))
+
+
 def test_toxicity_held_out(spark, docs, nothing):
     documents, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(documents, labels)
@@ -155,5 +183,6 @@ def test_pieces_of_any_width():
     assert folded <= set(pieces)
     longest = max((p for p in pieces if p.startswith(mark)), key=len).removeprefix(mark)
     data = np.frombuffer(longest, np.uint8)
-    x, = langid.lattices(data, np.array([0]), np.array([len(data)]), langid.Lookup(pieces))
-    assert len(longest) > 12 and len(longest) in x.first
+    lookup = langid.Lookup(pieces)
+    word = langid.LongWord(0, len(data), lookup, langid.finder(data, lookup))
+    assert len(longest) > 12 and len(longest) in dict(word.opening)
