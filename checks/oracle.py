@@ -929,6 +929,7 @@ def oracle_queries() -> dict[str, str]:
         "scoped_health": "{} {}".format(scoped("media_type = 'Search'"), health_select()),
         "history_search": f"""{_history()} SELECT * FROM h WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-21' AND vertical = 'Health'
             AND (lower(sub_id) LIKE '%"k": 1%' OR lower(notes) LIKE '%"k": 1%')""",
+        "history_search_indexed": f"{_history()} SELECT * FROM h WHERE lower(sub_id) LIKE '%sub00017%' OR lower(notes) LIKE '%sub00017%'",
         "history_by_person": f"""{_history()} SELECT * FROM h WHERE traffic_type = 'Full O&O' AND media_type = 'Search' AND taken_by = 'Ana'
             AND (lower(sub_id) LIKE '%sub0000%' OR lower(notes) LIKE '%sub0000%')""",
         "history_latest": f"{_history()} SELECT * FROM h ORDER BY created_at DESC, sub_id, action_taken LIMIT 50",

@@ -585,6 +585,14 @@ def history_search(spark: SparkSession, folder: str) -> DataFrame:
     return decisions.sorted_history(found.drop("created_day"), "total_revenue")
 
 
+@query
+def history_search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """A search over all days that opens only the files whose bitmaps admit the text."""
+    store = _stored_history(spark, folder)
+    store.index_texts()
+    return decisions.search_history(store.read(text="Sub00017"), text="Sub00017").drop("created_day")
+
+
 @query
 def history_by_person(spark: SparkSession, folder: str) -> DataFrame:
     found = decisions.search_history(_stored_history(spark, folder).read(), traffic_type="Full O&O", media_type="Search", person="Ana", text="sub0000")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..operators.decisions import DAY, HISTORY_COLUMNS, valid_decisions
 from ..session import freeze, path_exists, publish
+from .textindex import TextIndex, file_name
 
 SCHEMA = """
     sub_id STRING, vertical STRING, traffic_type STRING, media_type STRING, action_taken STRING, action_label STRING, previous_state STRING,
@@ -21,6 +23,8 @@ SCHEMA = """
 
 #: Which batch a record came with, and its name inside the batch.
 _ORIGIN = ", batch_id STRING, decision_id STRING"
+#: Columns that a search for text looks into.
+SEARCHED = ("sub_id", "notes")
 
 
 class HistoryStore:
@@ -28,6 +32,7 @@ class HistoryStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.texts = TextIndex(spark, f"{self.folder}/_texts")
 
     def append(self, decisions: DataFrame, batch_id: str | None = None) -> bool:
         """Add decisions; False if the batch is there already.
@@ -77,9 +82,29 @@ class HistoryStore:
             return self.spark.createDataFrame([], SCHEMA + _ORIGIN)
         return self.spark.read.schema(SCHEMA + _ORIGIN).parquet(self.folder)
 
-    def read(self) -> DataFrame:
-        """All records; a range of created_day prunes whole days. A store without data is empty."""
-        return self._stored().drop("batch_id", "decision_id")
+    def _files(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA + _ORIGIN).option("basePath", self.folder).parquet(*[unquote(p) for p in paths])
+
+    def read(self, text: str | None = None) -> DataFrame:
+        """All records; a range of created_day prunes whole days. A store without data is empty.
+
+        With a text, files that cannot hold it in a searched column, by their bitmaps, are left out; all records that do hold it are there.
+        Files that ``index_texts`` has not seen yet are read.
+        """
+        rows = self._stored()
+        if text and (out := self.texts.ruled_out(text)):
+            there = rows.inputFiles()
+            kept = [p for p in there if file_name(p) not in out]
+            rows = rows.limit(0) if not kept else rows if len(kept) == len(there) else self._files(kept)
+        return rows.drop("batch_id", "decision_id")
+
+    def index_texts(self) -> int:
+        """Make bitmaps for the files that have none, and say how many those were. To be run after appends and compaction; a failed run adds nothing."""
+        known = self.texts.indexed()
+        new = [p for p in self._stored().inputFiles() if file_name(p) not in known]
+        if new:
+            self.texts.add(self._files(new), new, SEARCHED)
+        return len(new)
 
     def compact(self, before: dt.date | None = None, most: int = 4) -> int:
         """Write days (before a date) that have more than ``most`` files anew in few files, and say how many days that were.

@@ -137,3 +137,42 @@ def test_compaction(spark, tmp_path):
     assert store.compact(before=dt.date(2024, 1, 1)) == 0 and store.compact(most=2) == 1
     assert len(glob.glob(str(tmp_path / "h/created_day=2024-01-05/*.parquet"))) == 1 and sorted(map(str, store.read().collect())) == before
     assert not store.append(made, "b1") and store.read().count() == 60
+
+
+def test_text_index(spark, tmp_path):
+    """A search opens fewer files than there are days and finds what a plain search finds."""
+    store = HistoryStore(spark, str(tmp_path / "a store"))
+    assert store.index_texts() == 0 and store.read(text="abc").count() == 0
+    made = decisions.decisions_from(classify(golden_sources(spark)), created_at=F.lit(dt.datetime(2024, 1, 1))).limit(5)
+    notes = {3: "See the CALL of März", 7: "a call, again", 8: "ab", 9: "x" * 200_000 + "needle 😀 end"}
+    day = F.floor(F.col("id") / 5)
+    rows = spark.range(60).withColumns({
+        "sub_id": F.format_string("S%03d", "id"), "notes": F.element_at(F.create_map(*[F.lit(x) for n in notes.items() for x in n]), day.cast("int")),
+        "created_at": F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=day.cast("int"))})
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit("correct" if c == "action_taken" else None).cast(made.schema[c].dataType).alias(c) for c in made.columns])
+    store.append(rows)
+    assert store.index_texts() == 12 and store.index_texts() == 0
+
+    def search(text):
+        plain = sorted(map(str, decisions.search_history(store.read(), text=text).collect()))
+        assert sorted(map(str, decisions.search_history(store.read(text=text), text=text).collect())) == plain
+        return len(plain), len(store.read(text=text).inputFiles())
+
+    assert search("call") == (10, 2) and search("MÄRZ") == (5, 1) and search("s017") == (1, 1)
+    assert search("needle 😀 end") == (5, 1) and search("x" * 1000) == (5, 1)
+    assert search("not there") == (0, 0) and search("ab") == (5, 12)  # too short to rule out a file
+    store.append(rows.where("id = 15").withColumn("notes", F.lit("new call")))  # not indexed yet: read
+    assert search("call") == (11, 3) and search("not there") == (0, 1)
+    assert store.index_texts() == 1 and search("not there") == (0, 0)
+    assert store.compact(most=1) == 1 and search("call") == (11, 2) and store.index_texts() == 1 and search("call") == (11, 2)
+
+
+def test_failed_index_counts_for_nothing(spark, tmp_path, monkeypatch):
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    store.append(decisions.decisions_from(classify(golden_sources(spark)), created_at=F.lit(dt.datetime(2024, 1, 5))))
+    with monkeypatch.context() as m:  # rows are written, the note of them is not
+        m.setattr("sourcegauge.sinks.textindex.publish", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.index_texts()
+    assert store.texts.indexed() == set() and decisions.search_history(store.read(text="sub00"), text="sub00").count() == 9
+    assert store.index_texts() > 0 and decisions.search_history(store.read(text="sub00"), text="sub00").count() == 9
