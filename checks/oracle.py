@@ -865,9 +865,15 @@ def oracle_queries() -> dict[str, str]:
         "filter_sort_page": f"""{b} SELECT sub_id, vertical, action, total_revenue FROM cls WHERE traffic_type = 'Non O&O'
             AND action IN ('keep_premium', 'keep_premium_watch', 'keep_standard', 'keep_standard_close', 'no_premium_available', 'not_primary')
             ORDER BY total_revenue DESC, ord LIMIT 10 OFFSET 10""",
+        "stored_page": f"""{b} SELECT sub_id, vertical, action, total_revenue FROM cls WHERE traffic_type = 'Non O&O'
+            AND action IN ('keep_premium', 'keep_premium_watch', 'keep_standard', 'keep_standard_close', 'no_premium_available', 'not_primary')
+            ORDER BY total_revenue DESC, ord LIMIT 10 OFFSET 10""",
         "locate_page": f"""{b}, o AS (SELECT *, row_number() OVER (ORDER BY total_revenue DESC, ord) - 1 AS position FROM cls)
             SELECT sub_id, min(position) AS position, CAST(floor(min(position) / 25e0) AS BIGINT) + 1 AS page FROM o
             WHERE sub_id IN (SELECT sub_id FROM cls WHERE media_type = 'Search') GROUP BY sub_id""",
+        "stored_places": f"""{b}, o AS (SELECT *, row_number() OVER (ORDER BY total_revenue DESC, ord) - 1 AS position FROM cls)
+            SELECT sub_id, min(position) AS position, CAST(floor(min(position) / 25e0) AS BIGINT) + 1 AS page FROM o
+            WHERE sub_id IN (SELECT sub_id FROM cls WHERE media_type = 'Search') GROUP BY sub_id""",
         "distinct_media": f"{b} SELECT DISTINCT media_type FROM cls WHERE media_type <> '' ORDER BY 1",
         "selection_sets": f"""{b}, a AS (SELECT DISTINCT sub_id FROM cls WHERE action IN ('upgrade_to_premium', 'warning_14_day')), t AS (SELECT DISTINCT sub_id FROM cls WHERE media_type = 'Social')
             SELECT sub_id FROM a WHERE sub_id NOT IN (SELECT sub_id FROM t) UNION ALL SELECT sub_id FROM t WHERE sub_id NOT IN (SELECT sub_id FROM a)""",

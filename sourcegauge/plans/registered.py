@@ -25,6 +25,7 @@ from ..settings import REQUIRED_COLUMNS, VERTICALS
 from ..sinks.export import export_rows
 from ..sinks.facts import FactStore
 from ..sinks.history import HistoryStore
+from ..sinks.listing import StoredView
 from ..sinks.runs import RunStore
 from ..sinks.states import DailyStates
 from ..sources.star import StarTables
@@ -367,6 +368,24 @@ def locate_page(spark: SparkSession, folder: str) -> DataFrame:
     return views.locate(view, view.where("media_type = 'Search'"), size=25)
 
 
+def _stored_view(view: DataFrame) -> StoredView:
+    return StoredView.write(view, f"{shared_folder(view.sparkSession)}/views/{uuid.uuid4().hex}")
+
+
+@query
+def stored_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The page of ``filter_sort_page`` out of a view stored in its order."""
+    view = views.filtered(_classified(spark, folder), traffic_type="Non O&O", category="correct")
+    return _stored_view(view.select("ord", "sub_id", "vertical", "action", "total_revenue")).page(2, size=10).drop("ord")
+
+
+@query
+def stored_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The places of ``locate_page`` out of a view stored in its order."""
+    view = freeze(_classified(spark, folder).select("ord", "sub_id", "media_type", "total_revenue"), "view")
+    return _stored_view(view).locate(view.where("media_type = 'Search'"))
+
+
 @query
 def distinct_media(spark: SparkSession, folder: str) -> DataFrame:
     return views.distinct_values(_classified(spark, folder), "media_type")

@@ -7,14 +7,16 @@ import os
 
 import pytest
 from helpers import record, records, source, sources
+from pyspark.sql import functions as F
 
 from sourcegauge.operators import scenarios
 from sourcegauge.operators.decisions import search_history
 from sourcegauge.operators.rollup import rollup
-from sourcegauge.operators.views import page_count, page_of
+from sourcegauge.operators.views import locate, page_count, page_of
 from sourcegauge.plans.pipelines import Analysis
 from sourcegauge.session import freeze, frozen_until_done, shared_folder
 from sourcegauge.sinks.history import HistoryStore
+from sourcegauge.sinks.listing import StoredView
 from sourcegauge.sinks.runs import RunStore
 from sourcegauge.sources.star import StarTables
 from sourcegauge.sources.upload import auto_map, guess_separator, header_names, parse_rows, read_csv, rows_of_report
@@ -96,6 +98,34 @@ def test_deep_pages(spark):
     assert tuple(page_count(view, 8).first()) == (60, 8)
 
 
+@pytest.mark.parametrize("direction", ["desc", "asc", None])
+def test_stored_view(spark, tmp_path, direction):
+    """Pages and places of a stored view are those of the view, out of one or two files."""
+    # Revenues repeat, some are missing; sources repeat, and one has no name.
+    view = records(spark, [record(i, f"S{i * 7 % 90:03d}", revenue=i % 7) for i in range(120)]).withColumns({
+        "total_revenue": F.when(F.col("ord") % 11 != 0, F.col("total_revenue")), "sub_id": F.nullif("sub_id", F.lit("S007")),
+        "position": F.lit("mine"), "row": F.lit("mine")})
+    stored = StoredView.write(view.repartition(5), str(tmp_path / "a view"), direction, rows_per_file=10)
+    assert tuple(stored.count(8).first()) == (120, 15) == tuple(page_count(view, 8).first())
+    for number in (1, 2, 9, 15, 16, 40_001):
+        got = stored.page(number, 8)
+        assert got.collect() == page_of(view, number, 8, direction).collect() and got.columns == view.columns
+        assert len(got.inputFiles()) <= 2
+    for wanted in (["S014"], ["S021", "S083", "absent"], []):
+        got = stored.locate(wanted, 8)
+        assert sorted(got.collect()) == sorted(locate(view, wanted, 8, direction).collect())
+        assert len(got.inputFiles()) <= len(wanted)
+    every = sorted(stored.locate(view, 8).collect())
+    assert every == sorted(locate(view, view.where("sub_id IS NOT NULL"), 8, direction).collect()) and len(every) == 89
+
+
+def test_stored_view_of_nothing(spark, tmp_path):
+    stored = StoredView.write(records(spark, []), str(tmp_path / "v"))
+    assert tuple(stored.count().first()) == (0, 0) and stored.page(1).count() == 0 and stored.locate(["S001"]).count() == 0
+    with pytest.raises(FileNotFoundError):  # a view whose writing failed is not read
+        StoredView(spark, str(tmp_path / "w")).page(1)
+
+
 def test_light_insights_do_not_sort(spark, tables):
     from sourcegauge.plans.registered import REGISTERED
 
