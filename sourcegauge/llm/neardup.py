@@ -88,7 +88,13 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until all links are stars around their smallest node; the number of rounds grows with
     the logarithm of the number of nodes. No neighbourhood is gathered, and each round is written out, which cuts the lineage.
     """
-    links = freeze(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    links = _stars(freeze(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(
+        links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Written different links (u, v), u > v, made stars around the smallest nodes: one row for each other node."""
 
     def star(links: DataFrame, large: bool) -> DataFrame:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
@@ -108,12 +114,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     while not stars(links):
         links = freeze(star(star(links, True), False).distinct(), "links")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(
-        links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return links
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after components were linked: only their labels are walked again, not the nodes."""
+    stars = _stars(links)
+    moved = stars.select(F.col("u").alias("label"), F.col("v").alias("to"))
+    now = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return freeze(now.unionAll(stars.select(F.col("u").alias("node"), F.col("v").alias("label"))), "labels")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, exact: bool) -> DataFrame:
-    """Of pairs (a, b), the links: estimate from sketches first unless ``exact``, then whole sets."""
+    """Of pairs (a, b) of components (x, y), the links (u, v) of components, u > v: estimate from sketches first unless ``exact``, then whole sets."""
 
     def both(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for side in "ab":
@@ -125,10 +138,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, exact: bool) -
         a, b = F.col("sketch_a"), F.col("sketch_b")
         union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
         shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-        likely = freeze(both(pairs, reps, "sketch").where(shared * SKETCH >= F.size(union) * SHARED).select("a", "b"), "likely")
+        likely = freeze(both(pairs, reps, "sketch").where(shared * SKETCH >= F.size(union) * SHARED).select("a", "b", "x", "y"), "likely")
     a, b = F.col("hashes_a"), F.col("hashes_b")
     shared = F.size(F.array_intersect(a, b))
-    return freeze(both(likely, sets, "hashes").where(shared * 100 >= (F.size(a) + F.size(b) - shared) * SIMILAR).select("a", "b"), "linked")
+    linked = both(likely, sets, "hashes").where(shared * 100 >= (F.size(a) + F.size(b) - shared) * SIMILAR)
+    return freeze(linked.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "linked")
 
 
 def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
@@ -149,46 +163,39 @@ def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
     reps = sketched.where("n > 0").groupBy("node").agg(F.min(key).alias("k"), F.min("n").alias("n"), F.min_by("sketch", key).alias("sketch"))
     reps = freeze(reps, "sketches")
 
-    must = F.when(F.col("n") >= SKETCH, SHARED).otherwise(F.ceil(F.col("n") * SIMILAR / 100))
-    lists = freeze(_listed(reps.withColumnRenamed("sketch", "held"), must, whole=False), "lists")
+    lists = freeze(_listed(reps.withColumnRenamed("sketch", "held"), whole=False), "lists")
     wanted = reps if exact else lists.select("node").distinct().join(reps.select("node", "k"), "node")
     wanted = wanted.select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
-    # Rows that repeat give their set again; one is enough.
-    sets = rows.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(_whole, "node string, hashes array<long>")
-    sets = freeze(sets.dropDuplicates(["node"]), "sets")
+    # Rows that repeat are one, by the keys by which they were joined.
+    texts = rows.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("node").alias("node"), F.min("text").alias("text"))
+    sets = freeze(texts.select("node", "text").mapInArrow(_whole, "node string, hashes array<long>"), "sets")
 
-    # Before any link each node is a component of its own.
+    # Before any link each node is a component of its own. Labels are kept of nodes that are not the smallest of their component.
     alone = lists.withColumn("label", F.col("node"))
-    links = _verified(_across(alone, _centres(alone)), reps, sets, exact)
-
-    labels = freeze(components(links), "labels")
+    labels = _stars(_verified(_across(alone, _centres(alone)), reps, sets, exact)).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
     # Members of lists in which more than one component is left are listed anew by their whole sets, without any chance of error:
-    # of documents that are no more than alike, hashes of their own fill the part that is listed.
-    rest = sets if exact else sets.join(_apart(lists, labels).select("node").distinct(), "node")
-    whole = rest.select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("held"))
-    lists = freeze(_listed(whole, F.ceil(F.col("n") * SIMILAR / 100), whole=True), "whole-lists")
-    rest = _apart(lists, labels)
-    more = _verified(_across(rest, _centres(rest)), reps, sets, exact)
+    # of documents that are no more than alike, hashes of their own fill the part that is listed. What they leave is so few that sketches would
+    # filter little of it: whole sets decide at once.
+    rest = sets if exact else sets.join(_apart(lists.select("node", "h"), labels).select("node").distinct(), "node")
+    lists = freeze(_listed(rest.select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("held")), whole=True), "whole-lists")
+    rest = freeze(_apart(lists, labels), "apart")
+    more = _verified(_across(rest, _centres(rest)), reps, sets, True)
     if not more.isEmpty():
-        links = links.unionAll(more)
-        labels = freeze(components(links), "labels")
-        rest = _apart(lists, labels)
-    sized = rest.groupBy("h").agg(F.count(F.lit(1)).alias("members"))
-    few = rest.join(sized.where(f"members <= {FEW}").select("h"), "h")
+        labels = _merged(labels, more)
+        rest = freeze(_apart(rest.drop("label", "members"), labels), "apart")
+    few, many = rest.where(f"members <= {FEW}"), rest.where(f"members > {FEW}")
     every = few.select("h", F.struct("node", "n", "label", "most", "listed").alias("c"))
     more = _across(few, every, F.col("node") < F.col("c.node"))
-    many = rest.join(sized.where(f"members > {FEW}"), "h")
     lists, nearest = _differing(many, sets)
-    more = _verified(more.unionByName(nearest).unionByName(_feasible(lists, _middles(lists))).distinct(), reps, sets, exact)
+    more = _verified(more.unionByName(nearest).unionByName(_feasible(lists, _middles(lists))), reps, sets, True)
     if not more.isEmpty():
-        links = links.unionAll(more)
-        labels = freeze(components(links), "labels")
-    rest = _apart(lists.drop("label"), labels)
+        labels = _merged(labels, more)
+    rest = freeze(_apart(lists.drop("label"), labels), "apart")
     every = rest.select("h", F.struct("node", "label", "far", "common", "class").alias("c"))
-    more = _verified(_feasible(rest, every, F.col("node") < F.col("c.node")), reps, sets, exact)
+    more = _verified(_feasible(rest, every, F.col("node") < F.col("c.node")), reps, sets, True)
     if not more.isEmpty():
-        labels = freeze(components(links.unionAll(more)), "labels")
+        labels = _merged(labels, more)
 
     known = sketched.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = freeze(known, "members")
@@ -252,7 +259,7 @@ def _differing(many: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = rows.select("node", "label", "far", "common", "class", "level", F.explode(F.array_distinct(keys)).alias("h"))
     several = lists.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.col("class") - F.col("level")).alias("above")).where("df > 1 AND above = 0").select("h")
     return (freeze(lists.join(several, "h"), "group-lists"),
-            nearest.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
+            nearest.select(*_pair()))
 
 
 def _middles(lists: DataFrame) -> DataFrame:
@@ -264,26 +271,27 @@ def _feasible(rest: DataFrame, others: DataFrame, order: Column | None = None) -
     """Pairs (a, b) of one list of differences in different components that have enough differences which others have too."""
     enough = (F.col("far") + F.col("c.far") <= 2 * STEP * F.least("common", "c.common")) & (F.least("class", "c.class") == F.col("level"))
     found = rest.join(others, "h").where((F.col("label") != F.col("c.label")) & enough & (F.lit(True) if order is None else order))
-    return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    return found.select(*_pair()).distinct()
 
 
-def _listed(reps: DataFrame, must: Column, whole: bool) -> DataFrame:
+def _listed(reps: DataFrame, whole: bool) -> DataFrame:
     """Inverted lists, one row for each (node, h): ``listed`` are all of a node's listed hashes, ``weight`` is large for a node
     whose hashes others have too, ``most`` is the largest intersection that it can have with any other; of sketches, as opposed to ``whole`` sets, only its size is known.
 
-    ``reps``: (node, n, held); two linked nodes share ``must`` of their held hashes at least, so they share one of the ``size - must + 1``
+    ``reps``: (node, n, held), held being the set or its sketch; two linked nodes share ``must`` of their held hashes at least, so they share one of the ``size - must + 1``
     rarest of each. Hashes held by one node alone come first in that order, and need no list.
     """
-    held = reps.select("node", F.explode("held").alias("h"))
+    must = F.ceil(F.col("n") * SIMILAR / 100)
+    held_size = F.col("n") if whole else F.least("n", F.lit(SKETCH))
+    must = must if whole else F.when(F.col("n") >= SKETCH, SHARED).otherwise(must)
+    held = reps.select("node", "n", F.explode("held").alias("h"))
     shared = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = held.join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    rows = held.join(shared, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
     # Hashes of its own tell a copy from what it was copied from; between those without, the commoner wins.
     shared_by = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / F.size("common")
-    weight = F.size("common") * 4 - F.col("held_size") * 3 + shared_by / 1000
-    sized = reps.select("node", "n", must.alias("must"), F.size("held").alias("held_size"))
+    weight = F.size("common") * 4 - held_size * 3 + shared_by / 1000
     # size - must + 1, less the hashes held by this node alone.
-    rarest = F.greatest(F.size("common") - F.col("must") + 1, F.lit(0)).cast("int")
-    rows = common.join(sized, "node")
+    rarest = F.greatest(F.size("common") - must + 1, F.lit(0)).cast("int")
     most = F.size("common").cast("long") if whole else F.col("n")
     return rows.select("node", "n", weight.alias("weight"), most.alias("most"), F.transform(F.slice("common", 1, rarest), lambda x: x["h"]).alias("listed")).withColumn("h", F.explode("listed"))
 
@@ -294,18 +302,25 @@ def _centres(rest: DataFrame) -> DataFrame:
 
 
 def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with the label of their component, of lists that hold more than one component."""
+    """Members, with the label of their component and the number of members, of lists that hold more than one component."""
     now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = now.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("h")
-    return freeze(now.join(several, "h"), "apart")
+    several = now.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("members")).where("l <> m").select("h", "members")
+    return now.join(several, "h")
+
+
+def _pair() -> list[Column]:
+    """A row and another one, c, as a pair (a, b) of components (x, y)."""
+    a, b = F.struct("node", "label"), F.struct("c.node", "c.label")
+    low, high = F.least(a, b), F.greatest(a, b)
+    return [low["node"].alias("a"), high["node"].alias("b"), low["label"].alias("x"), high["label"].alias("y")]
 
 
 def _across(rest: DataFrame, centres: DataFrame, order: Column | None = None) -> DataFrame:
     """Pairs (a, b) of members and centres of one list that are different components and whose sizes and hashes of their own allow a link.
 
-    A pair comes from the least of the lists it shares only; ``order`` keeps one of its two directions where all are centres.
+    A pair comes from the least of the lists it shares only, so none comes twice; ``order`` keeps one of its two directions where all are centres.
     """
     possible = (F.col("n") + F.col("c.n")) * SIMILAR <= F.least("most", "c.most") * (100 + SIMILAR)
     once = F.array_min(F.array_intersect("listed", "c.listed")) == F.col("h")
     found = rest.join(centres, "h").where((F.col("label") != F.col("c.label")) & _close(F.col("n"), F.col("c.n")) & possible & once & (F.lit(True) if order is None else order))
-    return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    return found.select(*_pair())
