@@ -6,8 +6,8 @@ shows to be no part of the article (menus, footers, forms, comments, by element,
 article's blocks are joined.
 
 Equal pages count once, so a page copied all over a host does not become its template. An article, or what holds one, is never
-deleted for being on many pages. Recurring subtrees stay rows and are joined to the subtrees of each page, so a page's list is
-bounded by its own elements.
+deleted for being on many pages. Recurring subtrees stay rows and are joined to the subtrees that each page's text hangs on, so a page's
+list is bounded by its own elements. Pages are shuffled once, packed.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -185,23 +186,7 @@ def main_text(page: str, template: dict[int, float]) -> str:
     """Blocks of the article joined by line ends. ``template``: subtree hash to share of the host's pages that have it."""
     root = parse(page)
     hash_subtrees(root)
-    dropped, stack, articles, mains = set(), [(root, False)], [], []
-    while stack:
-        node, inside = stack.pop()
-        holds = node.tag in ("#root", "html", "body") or (not inside and node.tag not in ("article", "main") and (node.marks or node.tag == "form") and node.article)
-        share = template.get(int.from_bytes(node.digest, "big", signed=True), 0.0) if node.digest else 0.0
-        recurs = share >= INSIDE_SHARE and node.tag in CONTAINER if inside else share > 0 and not node.article
-        if not holds and (
-            node.hidden or node.tag in DROPPED or _marked(node) or recurs
-            or ((node.tag == "header" or "header" in _PART.split(node.marks)) and not (inside and node.heading))
-        ):
-            dropped.add(id(node))
-            continue
-        if node.tag == "article" and not inside:
-            articles.append(node)
-        elif node.tag == "main" or "main" in node.marks.split():
-            mains.append(node)
-        stack += [(c, inside or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node)]
+    dropped, articles, mains, _ = _survey(root, template)
     # All articles of the page in their order; without one, the longest main element or the page.
     tops = articles or [max(mains or [root], key=lambda n: n.size)]
 
@@ -227,6 +212,34 @@ def main_text(page: str, template: dict[int, float]) -> str:
     return "\n".join(blocks)
 
 
+def _survey(root: Node, template: dict[int, float]) -> tuple[set[int], list[Node], list[Node], set[int]]:
+    """Deleted elements, articles and main elements, and the subtrees whose share in ``template`` the text may hang on.
+
+    Articles are found whatever the template, and where there is one, nothing outside of them counts.
+    """
+    dropped, stack, articles, mains, asked = set(), [(root, False)], [], [], (set(), set())
+    while stack:
+        node, inside = stack.pop()
+        holds = node.tag in ("#root", "html", "body") or (not inside and node.tag not in ("article", "main") and (node.marks or node.tag == "form") and node.article)
+        key = int.from_bytes(node.digest, "big", signed=True) if node.digest else None
+        share = template.get(key, 0.0) if node.digest else 0.0
+        recurs = share >= INSIDE_SHARE and node.tag in CONTAINER if inside else share > 0 and not node.article
+        if not holds and (
+            node.hidden or node.tag in DROPPED or _marked(node) or recurs
+            or ((node.tag == "header" or "header" in _PART.split(node.marks)) and not (inside and node.heading))
+        ):
+            dropped.add(id(node))
+            continue
+        if node.digest and not holds and (node.tag in CONTAINER if inside else not node.article):
+            asked[inside].add(key)
+        if node.tag == "article" and not inside:
+            articles.append(node)
+        elif node.tag == "main" or "main" in node.marks.split():
+            mains.append(node)
+        stack += [(c, inside or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node)]
+    return dropped, articles, mains, asked[bool(articles)]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
@@ -236,10 +249,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = hash_subtrees(tree := parse(page or ""))
                 whole = hashlib.blake2b(b"".join(c.digest for c in tree.children if isinstance(c, Node)), digest_size=8).digest()
                 whole = int.from_bytes(whole, "big", signed=True) ^ seed
-                rows.append((host, raw, None, whole))
-                rows += [(None, None, h ^ seed, whole) for h in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))],
-                                             ["host", "raw", "subtree", "page"])
+                rows.append((host, raw, whole, [h ^ seed for h in found], [h ^ seed for h in found & _survey(tree, {})[3]]))
+            kinds = pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "raw", "page", "subtrees", "asked"])
 
 
 def host_of(url: Column) -> Column:
@@ -254,26 +266,33 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, raw, template) of pages with recurring subtrees: template maps these to the share of the host's different pages that have them."""
+    """(host, raw, template) of pages whose text may hang on recurring subtrees: template maps these to the share of the host's different pages that have them."""
     rows = _pages(pages).select("host", "raw", "seed", "html")
-    # A row for each page, and one for each of its subtrees; a hot host's subtrees are spread, only its page keys meet in one join.
-    seen = freeze(rows.mapInArrow(_count, "host string, raw long, subtree long, page long").distinct(), "subtrees")
-    subtrees, known = seen.where("subtree IS NOT NULL").select("subtree", "page"), seen.where("subtree IS NULL").select("host", "raw", "page")
+    seen = freeze(rows.mapInArrow(_count, "host string, raw long, page long, subtrees array<long>, asked array<long>"), "subtrees")
+    # Equal pages have equal subtrees. A hot host's subtrees are spread, only its page keys meet in one join.
+    subtrees = seen.select("page", "subtrees").dropDuplicates(["page"]).select(F.explode("subtrees").alias("subtree"))
     many = subtrees.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MANY_PAGES}")
-    of_page = subtrees.join(many, "subtree").groupBy("page").agg(F.collect_list(F.struct("subtree", "n")).alias("found"))
-    whole = known.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    asked = seen.select("host", "raw", F.explode("asked").alias("subtree")).distinct()
+    of_page = asked.join(many, "subtree").groupBy("host", "raw").agg(F.collect_list(F.struct("subtree", "n")).alias("found"))
+    whole = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     share = F.transform("found", lambda x: F.struct(x["subtree"], x["n"] / F.col("pages")))
-    return known.join(of_page, "page").join(whole, "host").select("host", "raw", F.map_from_entries(share).alias("template"))
+    return of_page.join(whole, "host").select("host", "raw", F.map_from_entries(share).alias("template"))
+
+
+def _pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pages in batches:
+        yield pa.array([zlib.compress(page.as_py().encode()) for page in pages], pa.binary())
 
 
 def _texts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for pages, seeds, found in batches:
-        yield pa.array([main_text(page.as_py() or "", {k ^ seed.as_py(): share for k, share in t.as_py() or ()}) for page, seed, t in zip(pages, seeds, found)], pa.string())
+        yield pa.array([main_text(zlib.decompress(page.as_py()).decode(), {k ^ seed.as_py(): share for k, share in t.as_py() or ()}) for page, seed, t in zip(pages, seeds, found)], pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, any others) as (page_id, url, text). A null or empty page has an empty text; a page whose url is
     null or has no host belongs to a host of no name. Of several articles all are kept, in page order. Pages may be of any length and depth. Equal rows give equal texts; other columns are not read."""
     known = freeze(templates(pages), "templates")
-    rows = _pages(pages).join(known, ["host", "raw"], "left")
-    return rows.select("page_id", "url", F.arrow_udf(_texts, "string")("html", "seed", "template").alias("text"))
+    packed = _pages(pages).withColumn("packed", F.arrow_udf(_pack, "binary")("html")).drop("html")
+    rows = packed.join(known, ["host", "raw"], "left")
+    return rows.select("page_id", "url", F.arrow_udf(_texts, "string")("packed", "seed", "template").alias("text"))

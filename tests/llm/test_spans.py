@@ -186,6 +186,18 @@ def test_a_host_of_many_layouts(spark):
     assert all(got[i] == f"News {i}\nText {i}" for i in range(120)) and all(got[200 + i] == "One article" for i in range(9))
 
 
+def test_pages_carry_what_their_text_hangs_on(spark):
+    """Menus outside of an article are not looked up, recurring containers inside are; copies that differ in white space have both. Pages are joined packed."""
+    page = "<body><div><ul><li>Home</li></ul></div><article><p>Text %d</p><p>Same</p><div>Tools</div></article></body>"
+    rows = [(i, f"http://a.org/{i}", page % i) for i in range(8)] + [(8, "http://a.org/8", page % 0 + " "), (9, None, None), (10, "http://a.org/", page % 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [len(r.template) for r in html.templates(df).collect()] == [1] * 9
+    got = html.extract(df)
+    assert {r.page_id: r.text for r in got.collect()} == {**{i: f"Text {i}\nSame" for i in range(8)}, 8: "Text 0\nSame", 9: "", 10: "Text 0\nSame"}
+    join = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "packed" in join.split("Relation")[0]
+
+
 SHARED_OUT = "Ann has 8 red apples and gives some of them to Smith before lunch so how many apples does she still have at home"
 
 
