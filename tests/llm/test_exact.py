@@ -140,6 +140,19 @@ def test_components(spark):
     assert got == {**{f"n{i:03d}": f"n{i // 20 * 20:03d}" for i in range(60)}, "z": "n000"}
 
 
+def test_later_links_join_labels(spark, monkeypatch):
+    """After the first links only labels are walked, and no further pairs pass by sketches."""
+    labels = spark.createDataFrame([("b", "a"), ("d", "c"), ("e", "c")], "node string, label string")
+    links = spark.createDataFrame([("c", "a"), ("z", "c"), ("y", "x")], "u string, v string")
+    assert sorted(map(tuple, neardup._merged(labels, links).collect())) == [("b", "a"), ("c", "a"), ("d", "a"), ("e", "a"), ("y", "x"), ("z", "a")]
+    names, freeze = [], neardup.freeze
+    monkeypatch.setattr(neardup, "freeze", lambda df, name: (names.append(name), freeze(df, name))[1])
+    rows = list(enumerate(_variants(3, 40, 60, (0, 1, 2))))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_components(rows))
+    assert names.count("likely") == 1
+
+
 def test_quality(docs, nothing):
     for r, text in [(r, r.w) for r in quality.measure(docs).join(docs.selectExpr("doc_id", "text w").distinct(), "doc_id").where("doc_id <> 3").collect()]:
         text = text or ""
