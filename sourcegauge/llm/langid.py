@@ -5,8 +5,9 @@ probability; a word's probability is the sum over all ways to cut it into pieces
 expectation maximisation: expected piece counts over all segmentations of the training words. Single bytes always are pieces,
 so every word has a segmentation.
 
-Recursions run over the distinct words of a slice of texts at once, by word length, in numpy. A word longer than ``LONGEST``
-bytes (scripts without blanks) goes byte by byte, in time proportional to its length, and is not cut either.
+Recursions run over the distinct words of a slice of texts at once, by word length, in numpy; in scoring, words of slices before are
+remembered within a bound. A word longer than ``LONGEST`` bytes (scripts without blanks) goes byte by byte, in time proportional to
+its length, and is not cut either.
 
 Fitting reads a bounded sample: about ``per_language`` whole documents of each language, chosen by a hash of their id. The
 models are one vector for each language; scoring reads every document.
@@ -34,8 +35,10 @@ LONGEST = 32
 #: Bytes of a long word whose pieces are looked up together, and positions after which its sums are scaled.
 STRETCH, SCALED = 4096, 16
 PER_LANGUAGE = 1500
-#: Bytes of text whose distinct words are scored together.
-SLICE = 4 << 20
+#: Bytes of text whose distinct words are worked on together; arrays of a worker grow with them.
+SLICE = 1 << 20
+#: Numbers that a worker keeps of the words it has scored, so that slices may be small and common words are scored once.
+KEPT = 1 << 20
 ROUNDS = 3
 #: Added to every expected count.
 SMOOTH = 0.05
@@ -301,13 +304,56 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = PER
     return Model(languages, pieces, p)
 
 
+class WordScores:
+    """Logarithms of words' probabilities, per language. The last words scored are remembered by their hashes, ``KEPT`` numbers at most."""
+
+    def __init__(self, model: Model):
+        self.lookup, self.p, self.most = Lookup(model.pieces), model.p, KEPT // (1 + model.p.shape[1])
+        self._keep(np.zeros(0, np.uint64), np.zeros((0, model.p.shape[1])))
+
+    def _keep(self, known: np.ndarray, logs: np.ndarray) -> None:
+        self.known, self.logs = known[: self.most], logs[: self.most]
+
+    def of(self, w: hashing.Words) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words' logarithms, and which of them each word of ``w`` is."""
+        h, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, h)
+        old = np.zeros(len(h), bool)
+        inside = place < len(self.known)
+        old[inside] = self.known[place[inside]] == h[inside]
+        logs = np.empty((len(h), self.p.shape[1]))
+        logs[old] = self.logs[place[old]]
+        logs[~old] = self._score(w, at[~old])
+        if len(self.known) + (~old).sum() <= self.most:
+            self._keep(np.insert(self.known, place[~old], h[~old]), np.insert(self.logs, place[~old], logs[~old], axis=0))
+        else:
+            self._keep(h, logs)
+        return logs, back
+
+    def _score(self, w: hashing.Words, at: np.ndarray) -> np.ndarray:
+        data, start, end = _copied(w.data, w.start[at], w.end[at])
+        logs, pieces = np.empty((len(at), self.p.shape[1])), finder(data, self.lookup)
+        for x in lattices(start, end, self.lookup, pieces):
+            logs[x.words] = np.log(np.maximum(forward(x, self.p, self.lookup.mark)[-1], 1e-300))
+        for i in np.flatnonzero(end - start > LONGEST):
+            logs[i] = LongWord(start[i], end[i], self.lookup, pieces).forward(self.p)
+        return logs
+
+
+def _copied(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Only the bytes of the given words, one after the other, and where the words now begin and end."""
+    size = end - start
+    to = np.cumsum(size)
+    return data[np.arange(size.sum()) + np.repeat(start - to + size, size)], to - size, to
+
+
 def predict(model: Model) -> Callable:
     """A function of text columns that gives (lang, score): the likeliest language and its posterior, languages alike before."""
 
     shape = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lookup = Lookup(model.pieces)
+        words = WordScores(model)
         for column in texts:
             langs: list[str] = []
             scores: list[np.ndarray] = []
@@ -315,13 +361,7 @@ def predict(model: Model) -> Callable:
                 w = cut_words(data, offsets)
                 total = np.zeros((len(offsets) - 1, max(1, len(model.languages))))
                 if model.languages and len(w.hash):
-                    _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-                    logs = np.empty((len(at), len(model.languages)))
-                    pieces = finder(data, lookup)
-                    for x in lattices(w.start[at], w.end[at], lookup, pieces):
-                        logs[x.words] = np.log(np.maximum(forward(x, model.p, lookup.mark)[-1], 1e-300))
-                    for i in np.flatnonzero(w.end[at] - w.start[at] > LONGEST):
-                        logs[i] = LongWord(w.start[at[i]], w.end[at[i]], lookup, pieces).forward(model.p)
+                    logs, back = words.of(w)
                     for k in range(len(model.languages)):
                         total[:, k] = np.bincount(w.texts(), logs[back, k], len(total))
                 best = total.argmax(axis=1)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,43 @@ def test_long_words_are_not_cut():
     assert np.isclose(sum(n * len(x.removeprefix(mark)) for n, x in zip(got, pieces)), len(long))
 
 
+def _model():
+    pieces = [bytes([b]) for b in range(256)] + [x.encode() for x in ("▁", "ab", "bc", "abc", "▁a", "▁ab", "ca")]
+    p = np.random.default_rng(3).random((len(pieces), 3))
+    return langid.Model(["x", "y", "z"], pieces, p / p.sum(axis=0))
+
+
+def _scored(model, texts, rows=100):
+    batches = (pa.array(texts[i : i + rows], pa.string()) for i in range(0, len(texts), rows))
+    return [(x["lang"], x["score"]) for out in langid.predict(model)(batches) for x in out.to_pylist()]
+
+
+def test_remembered_words_score_alike(monkeypatch):
+    """However few words are kept and however small slices are, short words, long ones and texts without words score the same."""
+    rng = np.random.default_rng(4)
+    some = ["".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(300)] + ["abc" * 40, "é" * 300]
+    texts = [None, "", "12 …", *[" ".join(rng.choice(some, rng.integers(1, 12))) for _ in range(400)], "", None]
+    alone = [x for t in texts for x in _scored(_model(), [t])]
+    for kept, limit in ((langid.KEPT, langid.SLICE), (langid.KEPT, 300), (400, 300), (40, 1000), (0, 300)):
+        monkeypatch.setattr(langid, "KEPT", kept)
+        monkeypatch.setattr(langid, "SLICE", limit)
+        assert _scored(_model(), texts) == alone
+    assert {x for x, _ in alone} == {"und", "x", "y", "z"}
+
+
+def test_scoring_holds_little():
+    """A worker's memory for scoring does not follow the size of its batches."""
+    rng = np.random.default_rng(5)
+    some = np.array(["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(5000)])
+    texts = [" ".join(rng.choice(some, 1000)) for _ in range(1000)]  # 7 MB
+    tracemalloc.start()
+    try:
+        _scored(_model(), texts, 1000)
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_held_out(spark, docs, nothing):
     documents, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(documents, labels)
