@@ -33,18 +33,42 @@ def local_session(cpus: int | str = "*", app: str = "sourcegauge", **conf: str)
     return spark
 
 
+_shared: dict[tuple[str, str], int] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    local = spark.sparkContext.master.startswith("local")
+    """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
+
+    A ``file:`` folder may be a mount that all machines share or a folder that each has for its own, where written rows
+    would be lost without an error. On a cluster it counts once rows written by tasks all over it are found there again;
+    this is tried anew when the cluster has grown.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    local = context.master.startswith("local")
     if folder:
+        folder = folder.rstrip("/")
         if not local and _file_system(spark, folder)[0].getUri().getScheme() == "file":
-            raise RuntimeError(f"spark.checkpoint.dir is {folder}, a folder of one machine; name one that all executors share")
-        return folder.rstrip("/")
+            seen, cores = (context.applicationId, folder), context.defaultParallelism
+            if _shared.get(seen, 0) < cores:
+                if not _keeps_rows(spark, folder, cores):
+                    raise RuntimeError(f"spark.checkpoint.dir is {folder}, a folder of one machine; name one that all executors share")
+                _shared[seen] = cores
+        return folder
     if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def _keeps_rows(spark: SparkSession, folder: str, tasks: int) -> bool:
+    """Whether the rows that so many tasks write below ``folder``, one each, are all found again."""
+    path = f"{folder}/shared-{uuid.uuid4().hex}"
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        return spark.read.schema("id long").parquet(path).count() == tasks
+    finally:
+        delete(spark, path)
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple:

@@ -7,8 +7,10 @@ import os
 
 import pytest
 from helpers import record, records, source, sources
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from sourcegauge import session
 from sourcegauge.operators import scenarios
 from sourcegauge.operators.decisions import search_history
 from sourcegauge.operators.rollup import rollup
@@ -83,6 +85,22 @@ def test_frozen_tables_have_an_owner(spark):
     assert set(os.listdir(folder)) == before
 
 
+def test_file_folder_of_a_cluster(spark, monkeypatch):
+    """On a cluster a file: folder is taken if rows written all over the cluster are found there again, else refused."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_shared", {}, raising=False)
+    folder = shared_folder(spark)
+    assert freeze(spark.range(5), "on-a-cluster").count() == 5 and not [x for x in os.listdir(folder.removeprefix("file:")) if x.startswith("shared-")]
+
+    # As it is where each machine has the folder for its own: only the rows of tasks beside the driver are there after the write.
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: write(self._df.where("id < 1").write, path))
+    assert shared_folder(spark) == folder  # found to be shared, not tried again
+    monkeypatch.setattr(session, "_shared", {})
+    with pytest.raises(RuntimeError, match="a folder of one machine"):
+        shared_folder(spark)
+
+
 def test_rollup_sums_without_copies(spark):
     rows = sources(spark, [source(1, "a", placement="p"), source(2, "b", placement="q")])
     plan = rollup(rows, "placement")._jdf.queryExecution().executedPlan().toString()
